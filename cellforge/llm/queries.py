@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, secret_scan
+from . import bpe, langid, packing, secret_scan, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -34,7 +42,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_secret_scan, op9_bpe_roundtrip, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_secret_scan, op5_token_counts, op6_language_id, op9_bpe_roundtrip, op10_best_fit_packing)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {}

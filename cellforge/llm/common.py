@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -74,3 +77,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h *= np.uint64(0xC4CEB9FE1A85EC53)
     h ^= h >> np.uint64(33)
     return h
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table for each run of rows that agree in ``keys``, which come sorted; runs may span batches."""
+    held: list[pa.RecordBatch] = []  # the last run so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changes = np.zeros(batch.num_rows, dtype=bool)
+        for key in keys:
+            column = batch.column(key)
+            changes[1:] |= ~np.asarray(pc.equal(column[1:], column[:-1]))
+            if held and not changes[0]:
+                changes[0] = held[-1].column(key)[-1].as_py() != column[0].as_py()
+        begin = 0
+        for cut in np.flatnonzero(changes).tolist():
+            if cut > begin:
+                held.append(batch.slice(begin, cut - begin))
+            if held:
+                yield pa.Table.from_batches(held)
+            held, begin = [], cut
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embdedup, knn, langid, packing, secret_scan, tokencount
+from . import bpe, embdedup, knn, langid, minhash, packing, secret_scan, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -51,7 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_voronoi_knn, op3_secret_scan, op5_token_counts, op6_language_id, op8_embedding_dedup, op9_bpe_roundtrip, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_dedup, op2_voronoi_knn, op3_secret_scan, op5_token_counts, op6_language_id, op8_embedding_dedup, op9_bpe_roundtrip, op10_best_fit_packing)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embdedup, knn, langid, minhash, packing, secret_scan, tokencount
+from . import bpe, embdedup, knn, langid, linededup, minhash, packing, secret_scan, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.deduplicate(table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_dedup, op2_voronoi_knn, op3_secret_scan, op5_token_counts, op6_language_id, op8_embedding_dedup, op9_bpe_roundtrip, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_dedup, op2_voronoi_knn, op3_secret_scan, op5_token_counts, op6_language_id, op7_line_dedup, op8_embedding_dedup, op9_bpe_roundtrip, op10_best_fit_packing)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,9 +39,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/cellforge-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    released(spark)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now; else they stay until the driver next collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def removed(df: DataFrame) -> None:
     """Delete what ``stored`` wrote for ``df``; only after every reader of it has finished."""
     spark = df.sparkSession

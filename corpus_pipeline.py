@@ -7,11 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellforge.llm import packing, queries, secret_scan
+from cellforge.llm import langid, linededup, minhash, packing, queries, secret_scan
 from cellforge.llm.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A document whose language is determined with less than this score is rejected.
+LEAST_SCORE = 0.1
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter, or in no language that was learned, go."""
+    judged = langid.predict(docs, langid.learned(docs))
+    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: lines that repeat an earlier one, but for an edit, go; so do documents of which nothing else was left."""
+    clean = linededup.deduplicate(docs)
+    empty = (F.col("_n_removed") > 0) & ~F.col("text").rlike(r"\S")
+    return clean.where(~empty).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group of similar documents the one with the smallest id stays."""
+    gone = minhash.deduplicate(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: every secret found is replaced in the text; no document goes."""
@@ -23,9 +45,15 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, queries.tokenizer())
 
 
-STAGES: list[tuple[str, Stage]] = [("secret scan", secrets), ("packing", packed)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("near-duplicates", near_duplicates),
+    ("secret scan", secrets),
+    ("packing", packed),
+]
 
-#: Language ID and similarity stages are beyond SQL; tests compare run() with brute force.
+#: SQL expresses neither the classifier nor the tokenizer; tests compare run() with a brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import groups, mixed, stored
+from .common import groups, mixed, stored, tasks
 from .graph import components
 
 WORDS = 5
@@ -195,18 +195,21 @@ def candidates(own: DataFrame, percent: int) -> DataFrame:
             registers = registers_of(table.column("registers"))
             cross = table.column("p")[0].as_py() != table.column("q")[0].as_py()
             value = np.full((len(ids), len(ids)), -1.0)
-            for i in range(len(ids)):
-                others = np.flatnonzero((side != side[i]) & (np.arange(len(ids)) > i)) if cross else np.arange(i + 1, len(ids))
-                others = others[100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others])]
-                if len(others):
-                    value[i, others] = value[others, i] = plausible_pairs(np.broadcast_to(registers[i], (len(others), registers.shape[1])), registers[others], np.full(len(others), n[i]), n[others], percent)
+            i, j = np.triu_indices(len(ids), 1)
+            if cross:
+                i, j = i[side[i] != side[j]], j[side[i] != side[j]]
+            fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            for k in range(0, len(i), 1 << 13):
+                x, y = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
+                value[x, y] = value[y, x] = plausible_pairs(registers[x], registers[y], n[x], n[y], percent)
             yield pa.record_batch([pa.array(x) for x in greatest_forest(ids, value)], names=["a", "b"])
 
     parts = F.ceil(F.col("size") / SKETCH_BLOCK).cast("long")
     dealt = members.where(F.col("size") > SMALL).join(sketch, "id")
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     dealt = dealt.select("t", "key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "id", "n", "registers")
-    many = dealt.repartition("t", "key", "p", "q").sortWithinPartitions("t", "key", "p", "q").mapInArrow(span, "a long, b long")
+    many = dealt.repartition(tasks(dealt), "t", "key", "p", "q").sortWithinPartitions("t", "key", "p", "q").mapInArrow(span, "a long, b long")
     return few.union(many).distinct()
 
 
@@ -259,7 +262,7 @@ def confirmed(members: DataFrame, percent: int, words: int) -> DataFrame:
                         b.append(int(ids[j]))
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q").mapInArrow(run, "a long, b long")
+    return dealt.repartition(tasks(dealt), "group", "p", "q").sortWithinPartitions("group", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def deduplicate(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,7 +281,7 @@ def deduplicate(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col:
     grouped = stored(components(near))
     sizes = grouped.groupBy("component_id").agg(F.count("*").alias("size"))
     inside = grouped.join(sizes, "component_id").select(F.col("component_id").alias("group"), "size", "id")
-    members = inside.join(slim, "id")
+    members = slim.join(inside.hint("shuffle_hash"), "id")  # texts are shuffled at every size
     links = stored(confirmed(members, percent, words))
     linked = components(links)
     of_kind = kind.select("digest", F.col("id").alias("rep")).join(linked, F.col("rep") == F.col("id"), "left").select(F.col("digest").alias("of_digest"), F.coalesce("component_id", "rep").alias("component_id"))

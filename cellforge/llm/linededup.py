@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import groups, mixed, stored
+from .common import groups, mixed, stored, tasks
 
 THRESHOLD = 1
 MIN_CHARS = 20
@@ -217,7 +217,7 @@ def met(keys: DataFrame) -> DataFrame:
             rest = [pa.array(np.append(pairs[:, i], np.zeros(len(alone), dtype=np.int64)), mask=np.arange(len(pairs) + len(alone)) >= len(pairs)) for i in (3, 4)]
             yield pa.record_batch([*map(pa.array, columns), *rest], names=["key", "a1", "a2", "b1", "b2"])
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a1 long, a2 long, b1 long, b2 long")
+    return keys.repartition(tasks(keys), "key").sortWithinPartitions("key").mapInArrow(run, "key long, a1 long, a2 long, b1 long, b2 long")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -260,7 +260,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, first: DataFrame) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h1", "h2", "id", "line", "text"])
 
-    found = docs.join(by_doc, "id").select("id", "text", "of").mapInArrow(run, f"{LINE}, id long, line long, text string")
+    found = docs.join(by_doc.hint("shuffle_hash"), "id").select("id", "text", "of").mapInArrow(run, f"{LINE}, id long, line long, text string")
     return found.dropDuplicates(["h1", "h2"])
 
 
@@ -298,7 +298,7 @@ def later_in(members: DataFrame, threshold: int) -> DataFrame:
                     late.append(rows[i])
             yield pa.record_batch([pa.array([x[c] for x in late], pa.int64()) for c in ("h1", "h2")], names=["h1", "h2"])
 
-    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, LINE)
+    return dealt.repartition(tasks(dealt), "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, LINE)
 
 
 def removals(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
@@ -332,7 +332,7 @@ def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     key = F.col(f"`{id_col}`").cast("long")
     slim = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     gone = removals(slim, threshold, min_chars).select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, key == F.col("_id"), "left")
+    joined = docs.join(gone.hint("shuffle_hash"), key == F.col("_id"), "left")
     others = [f for f in docs.schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

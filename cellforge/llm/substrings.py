@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import mixed, stored
+from .common import mixed, stored, tasks
 
 SIZE = 50
 GRAM = 16
@@ -158,7 +158,7 @@ def settled(found: DataFrame) -> DataFrame:
         some = batch.select(["h", "id", "place", "lo", "hi"]).filter(pa.array(keep))
         return pa.record_batch([*some.columns, pa.array(whole[keep])], names=["h", "id", "place", "lo", "hi", "whole"])
 
-    return found.repartition("h").sortWithinPartitions("h", "c", "id").mapInArrow(run, "h long, id long, place long, lo int, hi int, whole boolean")
+    return found.repartition(tasks(found), "h").sortWithinPartitions("h", "c", "id").mapInArrow(run, "h long, id long, place long, lo int, hi int, whole boolean")
 
 
 def contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
                 parts = [texts[r][a:b] for r, a, b in zip(row.tolist(), (place - lo).tolist(), (place + hi).tolist(), strict=True)]
                 yield pa.record_batch([pa.array(h), batch.column("id").take(pa.array(row)), pa.array(place - lo), pa.array(parts, pa.binary())], names=["h", "id", "begin", "part"])
 
-    return docs.join(by_doc, "id").select("id", "text", "of").mapInArrow(run, "h long, id long, begin long, part binary")
+    return docs.join(by_doc.hint("shuffle_hash"), "id").select("id", "text", "of").mapInArrow(run, "h long, id long, begin long, part binary")
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -271,7 +271,7 @@ def compared(found: DataFrame, size: int) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, start long, end long")
+    return found.repartition(tasks(found), "h").sortWithinPartitions("h").mapInArrow(run, "id long, start long, end long")
 
 
 def cover(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -304,7 +304,7 @@ def strip(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "do
     if unclear.head(1):
         named = named.join(unclear, "id", "left_anti")
     spans = cover(named, size, gram).withColumnRenamed("id", "of_id")
-    joined = slim.join(spans, F.col("id") == F.col("of_id"), "left").select("id", "text", "spans")
+    joined = slim.join(spans.hint("shuffle_hash"), F.col("id") == F.col("of_id"), "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

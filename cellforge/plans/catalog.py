@@ -1,14 +1,474 @@
-"""The registered raster queries and their DuckDB equivalents."""
+"""The registered raster queries and their DuckDB equivalents.
+
+Values that come from transcendental functions or averages are compared as integers, in steps of 1e-4.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.algebra import compile_expression
+from ..operators import contour, focal, hydro, render, sampling, stats, zones
+from ..operators.grid import Grid, crop, dense, overview
+from . import rasters
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql is not None:
+            ORACLE[query.__name__] = sql
+        return query
+
+    return add
+
+
+def steps(value: Column | str, scale: float = 1e4) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return F.floor(value.cast("double") * scale + 0.5).cast("long")
+
+
+def sql_steps(value: str, scale: str = "1e4") -> str:
+    return f"CAST(floor(CAST({value} AS DOUBLE) * {scale} + 0.5) AS BIGINT)"
+
+
+def algebra(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    cells, _ = rasters.days(spark, sf_dir)
+    return cells.select("row", "col", compile_expression(text, {"b1": F.col("b1"), "b2": F.col("b2")}).alias("v"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Map algebra over the events raster, summarised by groups of ten rows."""
+    cells = algebra(spark, sf_dir, "iif(b1 > 100, b1 / b2, -1)").withColumn("rows", F.floor(F.col("row") / 10).cast("int"))
+    return stats.statistics(cells, "v", "rows")
+
+
+ALGEBRA = f'WITH {rasters.DAYS} SELECT "row", col, {{}} AS v FROM days'
+
+
+@registered(ALGEBRA.format("CAST((CAST(b1 AS DOUBLE) - b2) / nullif(CAST(b1 AS DOUBLE) + b2, 0) AS FLOAT)"))
+def algebra_ndvi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra(spark, sf_dir, "(b1 - b2) / (b1 + b2)")
+
+
+@registered(ALGEBRA.format("CAST(CASE WHEN b1 > 100 THEN CAST(b1 AS DOUBLE) / b2 ELSE -1 END AS FLOAT)"))
+def algebra_iif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra(spark, sf_dir, "iif(B1 > 100, b1 / b2, -1)")
+
+
+@registered(ALGEBRA.format(sql_steps("CAST(sqrt(abs(CAST(b1 AS DOUBLE) - 50)) + ln(CAST(b2 AS DOUBLE) + 1) + least(CAST(b1 AS DOUBLE), 10 * CAST(b2 AS DOUBLE)) AS FLOAT)", "1e2")))
+def algebra_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra(spark, sf_dir, "sqrt(abs(b1 - 50)) + log(b2 + 1) + min(b1, 10 * b2)").withColumn("v", steps("v", 1e2))
+
+
+@registered(ALGEBRA.format("CAST(CAST(CAST(b1 AS DOUBLE) >= 10 * CAST(b2 AS DOUBLE) AS INT) AS FLOAT)"))
+def algebra_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra(spark, sf_dir, "b1 >= 10 * b2")
+
+
+STATS = f"count(v) AS n, {sql_steps('min(CAST(v AS DOUBLE))')} AS min, {sql_steps('max(CAST(v AS DOUBLE))')} AS max, {sql_steps('avg(CAST(v AS DOUBLE))')} AS mean, {sql_steps('stddev_pop(CAST(v AS DOUBLE))')} AS std"
+
+
+@registered(f"WITH {rasters.VECTORS} SELECT {STATS} FROM emb")
+def band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.statistics(rasters.vectors(spark, sf_dir), "v").select("n", *(steps(c).alias(c) for c in ("min", "max", "mean", "std")))
+
+
+@registered(f"WITH {rasters.VECTORS} SELECT label, {STATS} FROM emb GROUP BY label")
+def band_stats_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.statistics(rasters.vectors(spark, sf_dir), "v", "label").select("label", "n", *(steps(c).alias(c) for c in ("min", "max", "mean", "std")))
+
+
+@registered(f"""WITH {rasters.VECTORS}, s AS (SELECT min(CAST(v AS DOUBLE)) lo, max(CAST(v AS DOUBLE)) hi, avg(CAST(v AS DOUBLE)) m, stddev_pop(CAST(v AS DOUBLE)) d FROM emb)
+SELECT {sql_steps('greatest(lo, m - 2 * d)')} AS low, {sql_steps('least(hi, m + 2 * d)')} AS high FROM s""")
+def sigma_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.sigma_range(stats.statistics(rasters.vectors(spark, sf_dir), "v"), 2.0)
+    return found.select(steps("low").alias("low"), steps("high").alias("high"))
+
+
+BINNED = f"""WITH {rasters.VECTORS}, s AS (SELECT min(CAST(v AS DOUBLE)) AS low, max(CAST(v AS DOUBLE)) AS high FROM emb),
+h AS (SELECT CAST(least(1023, greatest(0, trunc((CAST(v AS DOUBLE) - low) * (1024 / (high - low))))) AS INT) AS bin, count(*) AS n, any_value(low) AS low, any_value(high) AS high FROM emb, s GROUP BY 1)"""
+
+
+@registered(f"{BINNED} SELECT bin, n FROM h")
+def histogram_1024(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(rasters.vectors(spark, sf_dir), "v").select("bin", "n")
+
+
+@registered(f"""{BINNED}, r AS (SELECT *, sum(n) OVER (ORDER BY bin) AS running, sum(n) OVER () AS total FROM h),
+p AS (SELECT unnest([2.0, 98.0]) AS percent)
+SELECT CAST(percent AS DOUBLE) AS percent, {sql_steps('min(low) + (min(bin) + 0.5) / (1024 / (min(high) - min(low)))')} AS value FROM r, p
+WHERE running >= round_even(percent / 100 * total, 0) GROUP BY percent""")
+def percentile_2_98(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.percentiles(stats.histogram(rasters.vectors(spark, sf_dir), "v"), [2.0, 98.0])
+    return found.select("percent", steps("value").alias("value"))
+
+
+@registered(f'WITH {rasters.DAYS} SELECT (SELECT (max("row") + 1) * (max(col) + 1) FROM days) - count(b1) AS n_missing, (SELECT (max("row") + 1) * (max(col) + 1) FROM days) AS n_cells FROM days')
+def nodata_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.days(spark, sf_dir)
+    found = stats.no_data(dense(cells, grid, "b1"), "b1")
+    return found.select(F.col("n_missing").cast("long").alias("n_missing"), F.col("n_cells").cast("long").alias("n_cells"))
+
+
+PAIRED = """pair AS (SELECT CAST(l_suppkey % 25 AS INT) AS "row", CAST(l_partkey % 40 AS INT) AS col,
+  CAST(sum(l_quantity) FILTER (l_returnflag = 'A') AS FLOAT) AS a, CAST(sum(l_quantity) FILTER (l_returnflag = 'R') AS FLOAT) AS r FROM lineitem GROUP BY 1, 2)"""
+
+
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = lambda f: F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).cast("float")
+    lines = rasters.table(spark, sf_dir, "lineitem")
+    return lines.groupBy((F.col("l_suppkey") % 25).cast("int").alias("row"), (F.col("l_partkey") % 40).cast("int").alias("col")).agg(flag("A").alias("a"), flag("R").alias("r"))
+
+
+@registered(f"""WITH {PAIRED}, d AS (SELECT CAST(r AS DOUBLE) - CAST(a AS DOUBLE) AS d FROM pair)
+SELECT count(d) AS n, count(*) FILTER (d IS NULL) AS n_missing, min(d) AS min, max(d) AS max, {sql_steps('avg(d)')} AS mean, {sql_steps('stddev_pop(d)')} AS std,
+count(*) FILTER (abs(d) > 20) AS n_beyond, coalesce(sum(-d * 6) FILTER (d < 0), 0) AS cut, coalesce(sum(d * 6) FILTER (d >= 0), 0) AS fill,
+coalesce(sum(d * 6) FILTER (d >= 0), 0) - coalesce(sum(-d * 6) FILTER (d < 0), 0) AS net, CAST(count(*) FILTER (abs(d) > 20) * 6 AS DOUBLE) AS area_beyond FROM d""")
+def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.change(paired(spark, sf_dir), "a", "r", 6.0, 20.0).withColumn("mean", steps("mean")).withColumn("std", steps("std"))
+
+
+@registered(f'WITH {PAIRED} SELECT "row", col, CAST(CAST(r AS DOUBLE) - CAST(a AS DOUBLE) AS FLOAT) AS v FROM pair')
+def change_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.change_raster(paired(spark, sf_dir), "a", "r")
+
+
+@registered(f"""WITH {rasters.DAYS} SELECT CAST(y.i AS INT) AS "row", CAST(x.i AS INT) AS col, b1 FROM range(8) y(i), range(10) x(i)
+LEFT JOIN days ON days."row" = y.i + 5 AND days.col = x.i + 25""")
+def crop_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.days(spark, sf_dir)
+    return crop(cells, grid, 25, 5, 10, 8, "b1")[0]
+
+
+@registered(f"""WITH {rasters.VECTORS}, s AS (SELECT greatest(1, ceil(64 / 16), ceil((max("row") + 1) / 100.0)) AS k FROM emb)
+SELECT CAST("row" // k AS INT) AS "row", CAST(col // k AS INT) AS col, v FROM emb, s WHERE "row" % k = 0 AND col % k = 0""")
+def overview_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = rasters.vectors(spark, sf_dir)
+    return overview(cells, rasters.sized(cells), 16, 100).select("row", "col", "v")
+
+
+def halves(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, Grid]]:
+    """The events raster twice, north up, the second ten columns to the east."""
+    cells, grid = rasters.days(spark, sf_dir)
+    first = Grid(grid.width, grid.height, 0.0, 1.0, 0.0, float(grid.height), 0.0, -1.0)
+    second = Grid(grid.width, grid.height, 10.0, 1.0, 0.0, float(grid.height), 0.0, -1.0)
+    return [(cells.select("row", "col", F.col("b1").alias("v")), first), (cells.select("row", "col", F.col("b2").alias("v")), second)]
+
+
+MOSAIC = f"""WITH {rasters.DAYS}, s AS (SELECT max("row") + 1 AS h, max(col) + 1 AS w FROM days),
+g AS (SELECT CAST(y.i AS INT) AS "row", CAST(x.i AS INT) AS col FROM s, range(100000) y(i), range(40) x(i) WHERE y.i < h AND x.i < w + 10)
+SELECT g."row", g.col, CAST({{}} AS FLOAT) AS v FROM g LEFT JOIN days p ON p."row" = g."row" AND p.col = g.col LEFT JOIN days q ON q."row" = g."row" AND q.col = g.col - 10"""
+
+
+@registered(MOSAIC.format("coalesce(p.b1, q.b2)"))
+def mosaic_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.mosaic(halves(spark, sf_dir), "first")[0]
+
+
+@registered(MOSAIC.format("coalesce(q.b2, p.b1)"))
+def mosaic_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.mosaic(halves(spark, sf_dir), "last")[0]
+
+
+@registered(MOSAIC.format("coalesce((CAST(p.b1 AS DOUBLE) + CAST(q.b2 AS DOUBLE)) / 2, p.b1, q.b2)"))
+def mosaic_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.mosaic(halves(spark, sf_dir), "average")[0]
+
+
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    return focal.neighbours(cells, grid.width, grid.height)
+
+
+#: The nine cells of each window in SQL: the edge test is of the place.
+NEAR = f"""WITH {rasters.QUANTITY},
+h3 AS (SELECT "row", col, v, w, h, CASE WHEN col = 0 THEN v ELSE lag(v) OVER (PARTITION BY "row" ORDER BY col) END AS a,
+  CASE WHEN col = w - 1 THEN v ELSE lead(v) OVER (PARTITION BY "row" ORDER BY col) END AS e FROM cells, size),
+n AS (SELECT "row", col, {', '.join(f'''CASE WHEN "row" = 0 THEN {c} ELSE lag({c}) OVER (PARTITION BY col ORDER BY "row") END AS z{i}''' for i, c in enumerate(('a', 'v', 'e')))},
+  a AS z3, v AS z4, e AS z5, {', '.join(f'''CASE WHEN "row" = h - 1 THEN {c} ELSE lead({c}) OVER (PARTITION BY col ORDER BY "row") END AS z{i + 6}''' for i, c in enumerate(('a', 'v', 'e')))} FROM h3),
+g AS (SELECT *, z0 + z1 + z2 + z3 + z4 + z5 + z6 + z7 + z8 IS NOT NULL AS full_, ((z2 + 2*z5 + z8) - (z0 + 2*z3 + z6)) / 8 AS gx, ((z6 + 2*z7 + z8) - (z0 + 2*z1 + z2)) / 8 AS gy,
+  (z3 + z5) / 2 - z4 AS d, (z1 + z7) / 2 - z4 AS e, (-z0 + z2 + z6 - z8) / 4 AS f, (z5 - z3) / 2 AS p, (z1 - z7) / 2 AS q FROM n)
+SELECT "row", col, {{}} AS v FROM g"""
+
+
+def near_sql(value: str, scale: str | None = "1e2") -> str:
+    single = f"CAST(CASE WHEN full_ THEN {value} END AS FLOAT)"
+    return NEAR.format(sql_steps(single, scale) if scale else single)
+
+
+def stepped(cells: DataFrame, scale: float = 1e2) -> DataFrame:
+    return cells.withColumn("v", steps("v", scale))
+
+
+@registered(near_sql("atan(sqrt(gx*gx + gy*gy)) * (180 / pi())"))
+def slope_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.slope(near(spark, sf_dir)))
+
+
+@registered(near_sql("sqrt(gx*gx + gy*gy) * 100"))
+def slope_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.slope(near(spark, sf_dir), percent=True))
+
+
+TURN = "90.0 - atan2(gy, -gx) * (180 / pi())"
+
+
+@registered(near_sql(f"CASE WHEN gx = 0 AND gy = 0 THEN -1 WHEN {TURN} < 0 THEN {TURN} + 360 WHEN {TURN} >= 360 THEN {TURN} - 360 ELSE {TURN} END"))
+def aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.aspect(near(spark, sf_dir)))
+
+
+def shade_sql(azimuth: float) -> str:
+    facing = "CASE WHEN gx = 0 AND gy = 0 THEN 0 ELSE atan2(-gx, gy) END"
+    return f"greatest(cos(radians(45)) * cos(atan(sqrt(gx*gx + gy*gy))) + sin(radians(45)) * sin(atan(sqrt(gx*gx + gy*gy))) * cos(radians({azimuth}) - ({facing})), 0) * 255"
+
+
+@registered(near_sql(shade_sql(315)))
+def hillshade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.hillshade(near(spark, sf_dir)))
+
+
+@registered(near_sql("(" + " + ".join(f"CAST(CAST({shade_sql(a)} AS FLOAT) AS DOUBLE)" for a in (225, 270, 315, 360)) + ") / 4", "1e1"))
+def multi_hillshade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.multi_hillshade(near(spark, sf_dir)), 1e1)
+
+
+@registered(near_sql("-2 * (d + e)", None))
+def curvature_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return focal.curvature(near(spark, sf_dir), "general")
+
+
+@registered(near_sql("CASE WHEN p*p + q*q < 1e-12 THEN -(d + e) ELSE -2 * (d*p*p + e*q*q + f*p*q) / (p*p + q*q) END"))
+def curvature_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.curvature(near(spark, sf_dir), "profile"))
+
+
+@registered(near_sql("CASE WHEN p*p + q*q < 1e-12 THEN -(d + e) ELSE -2 * (d*q*q + e*p*p - f*p*q) / (p*p + q*q) END"))
+def curvature_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.curvature(near(spark, sf_dir), "plan"))
+
+
+def kernel_sql(kernel: focal.Kernel, divisor: float) -> str:
+    weights = [w for row in kernel for w in row]
+    total = " + ".join(f"coalesce(z{k}, z4) * {float(w)}" for k, w in enumerate(weights) if w)
+    return f"CAST(CASE WHEN z4 IS NOT NULL THEN ({total}) / {float(divisor)} END AS FLOAT)"
+
+
+@registered(NEAR.format(sql_steps(kernel_sql(focal.MEAN3, 9))))
+def convolve_mean3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.convolve3(near(spark, sf_dir), focal.MEAN3, 9.0), 1e4)
+
+
+@registered(NEAR.format(sql_steps(kernel_sql(focal.sharpen_kernel(1.0), 1), "1e2")))
+def convolve_sharpen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.convolve3(near(spark, sf_dir), focal.sharpen_kernel(1.0)))
+
+
+@registered(NEAR.format(kernel_sql(focal.LAPLACE8, 1)))
+def convolve_laplace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return focal.convolve3(near(spark, sf_dir), focal.LAPLACE8)
+
+
+EMBOSS, EMBOSS_DIVISOR = focal.emboss_kernel(315.0)
+
+
+@registered(NEAR.format(sql_steps(kernel_sql(EMBOSS, EMBOSS_DIVISOR), "1e2")))
+def convolve_emboss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.convolve3(near(spark, sf_dir), EMBOSS, EMBOSS_DIVISOR))
+
+
+@registered(NEAR.format(sql_steps(f"CAST(sqrt(CAST({kernel_sql(focal.SOBEL_X, 8)} AS DOUBLE) ** 2 + CAST({kernel_sql(focal.SOBEL_Y, 8)} AS DOUBLE) ** 2) AS FLOAT)", "1e2")))
+def sobel_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.sobel(near(spark, sf_dir)))
+
+
+def around_sql(weights: list[float], scale: str) -> str:
+    r = len(weights) // 2
+    w = f"[{', '.join(map(repr, weights))}]"
+    mean = f"sum(b.v * {w}[b.col - a.col + {r + 1}] * {w}[b.\"row\" - a.\"row\" + {r + 1}]) / sum({w}[b.col - a.col + {r + 1}] * {w}[b.\"row\" - a.\"row\" + {r + 1}]) FILTER (b.v IS NOT NULL)"
+    return f"""WITH {rasters.QUANTITY} SELECT a."row", a.col, {sql_steps(f'CAST(CASE WHEN any_value(a.v) IS NOT NULL THEN {mean} END AS FLOAT)', scale)} AS v
+FROM cells a JOIN cells b ON abs(a."row" - b."row") <= {r} AND abs(a.col - b.col) <= {r} GROUP BY a."row", a.col"""
+
+
+@registered(around_sql([1.0] * 5, "1e2"))
+def box_mean_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.box_mean(rasters.quantity(spark, sf_dir)[0], 2))
+
+
+@registered(around_sql([2.718281828459045 ** (-0.5 * i * i) for i in range(-3, 4)], "1e1"))
+def gaussian_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stepped(focal.gaussian(rasters.quantity(spark, sf_dir)[0], 1.0), 1e1)
+
+
+#: Direction of each cell: the steepest of eight strictly lower neighbours, earlier codes first.
+DIRECTION = f"""{rasters.QUANTITY},
+dirs AS (SELECT * FROM (VALUES (1,1,0,0),(2,1,1,1),(4,0,1,2),(8,-1,1,3),(16,-1,0,4),(32,-1,-1,5),(64,0,-1,6),(128,1,-1,7)) t(code, dx, dy, place)),
+falls AS (SELECT a."row", a.col, code, dx, dy, row_number() OVER (PARTITION BY a."row", a.col ORDER BY (a.v - b.v) / sqrt(dx*dx + dy*dy) DESC, place) AS rn
+  FROM cells a, dirs JOIN cells b ON b."row" = a."row" + dy AND b.col = a.col + dx WHERE a.v > b.v),
+dir AS (SELECT c."row", c.col, CASE WHEN c.v IS NOT NULL THEN CAST(coalesce(code, 0) AS INT) END AS v, dx, dy FROM cells c LEFT JOIN falls f ON f."row" = c."row" AND f.col = c.col AND rn = 1)"""
+
+
+@registered(f'WITH {DIRECTION} SELECT "row", col, v FROM dir')
+def d8_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    return hydro.flow_direction(cells, grid.width, grid.height)
+
+
+ACCUMULATION = f"""WITH RECURSIVE {DIRECTION},
+walk AS (SELECT "row", col, "row" AS r, col AS c FROM dir WHERE v IS NOT NULL
+  UNION ALL SELECT w."row", w.col, d."row" + d.dy, d.col + d.dx FROM walk w JOIN dir d ON d."row" = w.r AND d.col = w.c WHERE d.v > 0),
+acc AS (SELECT r AS "row", c AS col, count(*) - 1 AS n FROM walk GROUP BY 1, 2)
+SELECT dir."row", dir.col, CAST(n AS FLOAT) AS v FROM dir LEFT JOIN acc ON acc."row" = dir."row" AND acc.col = dir.col"""
+
+
+@registered(ACCUMULATION)
+def d8_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    return hydro.flow_accumulation(hydro.flow_direction(cells, grid.width, grid.height))
+
+
+@registered(f'SELECT "row", col, v FROM ({ACCUMULATION}) WHERE v >= 4')
+def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hydro.stream_cells(d8_accumulation(spark, sf_dir), 4)
+
+
+#: A concave and a self-crossing ring over the quantity raster, in pixels.
+ZONES: list[tuple[str, list[tuple[float, float]]]] = [
+    ("notch", [(2.2, 0.7), (30.4, 1.3), (31.0, 8.8), (16.1, 3.9), (4.6, 9.1)]),
+    ("bow", [(20.3, 0.4), (38.7, 9.2), (20.3, 9.2), (38.7, 0.4)]),
+]
+RINGS = ", ".join(f"('{z}', {i}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for z, ring in ZONES for i, (a, b) in enumerate(zip(ring, [ring[-1], *ring[:-1]], strict=True)))
+INSIDE = f"""{rasters.QUANTITY}, ring AS (SELECT * FROM (VALUES {RINGS}) t(zone, i, ax, ay, cx, cy)),
+held AS (SELECT zone, c."row", c.col, any_value(c.v) AS v FROM cells c, ring
+  WHERE (ay > c."row" + 0.5) <> (cy > c."row" + 0.5) AND c.col + 0.5 < CAST(ax AS DOUBLE) + (c."row" + 0.5 - ay) / (CAST(cy AS DOUBLE) - ay) * (CAST(cx AS DOUBLE) - ax)
+  GROUP BY zone, c."row", c.col HAVING count(*) % 2 = 1)"""
+
+
+@registered(f"""WITH {INSIDE} SELECT zone, count(v) AS n, count(*) - count(v) AS n_missing, min(v) AS min, max(v) AS max, {sql_steps('avg(v)')} AS mean, {sql_steps('stddev_pop(v)')} AS std,
+coalesce(sum(v), 0) AS sum, CAST(count(*) AS DOUBLE) AS area FROM held GROUP BY zone""")
+def zonal_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    found = zones.zonal(cells, zones.polygons(cells, ZONES), grid)
+    return found.withColumn("mean", steps("mean")).withColumn("std", steps("std"))
+
+
+@registered(f'WITH {INSIDE} SELECT "row", col, CAST(v AS FLOAT) AS v FROM cells WHERE ("row", col) IN (SELECT ("row", col) FROM held)')
+def mask_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    return zones.inside(cells, zones.row_spans(zones.polygons(cells, ZONES), grid), "left_semi")
+
+
+@registered(f'WITH {INSIDE} SELECT "row", col, CAST(v AS FLOAT) AS v FROM cells WHERE ("row", col) NOT IN (SELECT ("row", col) FROM held)')
+def mask_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    return zones.inside(cells, zones.row_spans(zones.polygons(cells, ZONES), grid), "left_anti")
+
+
+@registered(f"""WITH ring AS (SELECT * FROM (VALUES {RINGS}) t(zone, i, ax, ay, cx, cy))
+SELECT zone, {sql_steps('sum(sqrt(CAST((ax - cx) AS DOUBLE) ** 2 + CAST((ay - cy) AS DOUBLE) ** 2))')} AS perimeter, {sql_steps('abs(sum(CAST(cx AS DOUBLE) * ay - CAST(ax AS DOUBLE) * cy)) / 2')} AS area FROM ring GROUP BY zone""")
+def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = zones.polygons(spark.range(0), ZONES)
+    return rings.select("zone", steps(zones.perimeter(F.col("points"))).alias("perimeter"), steps(zones.area(F.col("points"))).alias("area"))
+
+
+TAPPED = """SELECT id, CASE WHEN sum(w) FILTER (v IS NOT NULL) > 0 THEN sum(w * v) / sum(w) FILTER (v IS NOT NULL) END AS value FROM (
+  SELECT id, c.v, (CASE WHEN dx = 1 THEN fx ELSE 1 - fx END) * (CASE WHEN dy = 1 THEN fy ELSE 1 - fy END) AS w FROM (SELECT id, floor(x - 0.5) AS c0, floor(y - 0.5) AS r0, x - 0.5 - floor(x - 0.5) AS fx, y - 0.5 - floor(y - 0.5) AS fy FROM pts), range(2) a(dx), range(2) b(dy)
+  LEFT JOIN cells c ON c."row" = r0 + dy AND c.col = c0 + dx) WHERE w > 0 GROUP BY id"""
+
+
+@registered(f"""WITH {rasters.QUANTITY}, pts AS (SELECT i AS id, i / 60.0 * sqrt(36.5::DOUBLE ** 2 + 8::DOUBLE ** 2) AS distance, CAST(1.25 + i / 60.0 * 36.5 AS DOUBLE) AS x, CAST(0.75 + i / 60.0 * 8 AS DOUBLE) AS y FROM range(61) t(i))
+SELECT pts.id, {sql_steps('distance')} AS distance, {sql_steps('value', '1e2')} AS value FROM pts LEFT JOIN ({TAPPED}) USING (id)""")
+def bilinear_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    line = sampling.line_points(cells, (1.25, 0.75), (37.75, 8.75), 61)
+    found = sampling.bilinear(line.select("id", "x", "y"), cells, grid)
+    return line.join(found, "id").select("id", steps("distance").alias("distance"), steps("value", 1e2).alias("value"))
+
+
+@registered(f"""WITH {rasters.QUANTITY}, pts AS (SELECT i AS id, i / 60.0 * sqrt(36.5::DOUBLE ** 2 + 8::DOUBLE ** 2) AS distance, CAST(1.25 + i / 60.0 * 36.5 AS DOUBLE) AS x, CAST(0.75 + i / 60.0 * 8 AS DOUBLE) AS y FROM range(61) t(i)),
+got AS (SELECT pts.id, distance, value FROM pts LEFT JOIN ({TAPPED}) USING (id)),
+stepped AS (SELECT distance - lag(distance) OVER (ORDER BY id) AS d, value - lag(value) OVER (ORDER BY id) AS dz FROM got)
+SELECT {sql_steps('sum(coalesce(sqrt(d * d + dz * dz), d))', '1e2')} AS length FROM stepped""")
+def surface_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    line = sampling.line_points(cells, (1.25, 0.75), (37.75, 8.75), 61)
+    profile = line.join(sampling.bilinear(line.select("id", "x", "y"), cells, grid), "id")
+    return sampling.surface_length(profile).select(steps("length", 1e2).alias("length"))
+
+
+@registered(f"""WITH {rasters.QUANTITY}, out AS (SELECT y.i * 13 + x.i AS id, CAST(y.i AS INT) AS "row", CAST(x.i AS INT) AS col FROM range(4) y(i), range(13) x(i)),
+pts AS (SELECT id, CAST((col + 0.5) * 3 AS DOUBLE) AS x, CAST(("row" + 0.5) * 2.5 AS DOUBLE) AS y FROM out)
+SELECT "row", col, {sql_steps('CAST(value AS FLOAT)', '1e2')} AS v FROM out LEFT JOIN ({TAPPED}) USING (id)""")
+def resample_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    return stepped(sampling.resample(cells, grid, Grid(13, 4, 0.0, 3.0, 0.0, 0.0, 0.0, 2.5)))
+
+
+def spline_sql(t: str) -> str:
+    return f"[(1 - 3*{t} + 3*{t}*{t} - {t}*{t}*{t}) / 6, (4 - 6*{t}*{t} + 3*{t}*{t}*{t}) / 6, (1 + 3*{t} + 3*{t}*{t} - 3*{t}*{t}*{t}) / 6, {t}*{t}*{t} / 6]"
+
+
+@registered(f"""WITH {rasters.QUANTITY}, pts AS (SELECT i AS id, CAST(2.3 + i * 0.7 AS DOUBLE) AS x, CAST(2.1 + i * 0.11 AS DOUBLE) AS y FROM range(50) t(i)),
+b AS (SELECT id, floor(x - 0.5) AS c0, floor(y - 0.5) AS r0, x - 0.5 - floor(x - 0.5) AS fx, y - 0.5 - floor(y - 0.5) AS fy FROM pts),
+s AS (SELECT id, sum(c.v * ({spline_sql('fx')})[dx + 1] * ({spline_sql('fy')})[dy + 1]) AS value, count(c.v) AS n FROM b, range(4) p(dx), range(4) q(dy) LEFT JOIN cells c ON c."row" = r0 - 1 + dy AND c.col = c0 - 1 + dx GROUP BY id)
+SELECT id, {sql_steps('CASE WHEN n = 16 THEN value END', '1e2')} AS value FROM s""")
+def bspline_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    points = spark.range(50).select("id", (2.3 + F.col("id") * 0.7).alias("x"), (2.1 + F.col("id") * 0.11).alias("y"))
+    return sampling.bspline(points, cells, grid).select("id", steps("value", 1e2).alias("value"))
+
+
+@registered(f"""WITH {rasters.QUANTITY}, q AS (SELECT a."row", a.col, a.v AS tl, b.v AS tr, d.v AS br, c.v AS bl FROM cells a JOIN cells b ON b."row" = a."row" AND b.col = a.col + 1
+  JOIN cells c ON c."row" = a."row" + 1 AND c.col = a.col JOIN cells d ON d."row" = a."row" + 1 AND d.col = a.col + 1 WHERE a.v + b.v + c.v + d.v IS NOT NULL),
+l AS (SELECT *, unnest(range(CAST(ceil(least(tl, tr, br, bl) / 50 - 1e-9) AS BIGINT), CAST(floor(greatest(tl, tr, br, bl) / 50 + 1e-9) AS BIGINT) + 1)) * 50.0::DOUBLE AS level FROM q),
+m AS (SELECT *, 8 * (tl >= level)::INT + 4 * (tr >= level)::INT + 2 * (br >= level)::INT + (bl >= level)::INT AS mask FROM l)
+SELECT level, count(DISTINCT ("row", col)) AS squares, sum(CASE WHEN mask IN (5, 10) THEN 2 ELSE 1 END)::BIGINT AS segments FROM m WHERE mask BETWEEN 1 AND 14 GROUP BY level""")
+def contour_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contour.segments(rasters.quantity(spark, sf_dir)[0], 50.0)
+    return found.groupBy("level").agg(F.countDistinct("row", "col").alias("squares"), F.count("*").alias("segments"))
+
+
+PALETTE = render.ramp([(0, 0, 80), (40, 160, 60), (250, 240, 200)])
+
+
+@registered(f"""WITH {rasters.QUANTITY}, p AS (SELECT [{', '.join(str((255 << 24 | r << 16 | g << 8 | b) - (1 << 32)) for r, g, b in PALETTE)}] AS colours)
+SELECT "row", col, CASE WHEN v IS NOT NULL THEN CAST(colours[CAST(floor(least(greatest((v - 10) / 1500, 0), 1) * 255 + 0.5) AS INT) + 1] AS INT) END AS argb FROM cells, p""")
+def colorize_argb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.argb(rasters.quantity(spark, sf_dir)[0], "v", PALETTE, 10.0, 1510.0)
+
+
+@registered(f"""WITH {rasters.DAYS} SELECT "row", col, CAST(round_even(least(greatest(CAST(b1 AS DOUBLE) / 200, 0), 1) * 255, 0) AS INT) AS r, CAST(round_even(least(greatest((CAST(b2 AS DOUBLE) - 1) / 8, 0), 1) * 255, 0) AS INT) AS g,
+CAST(round_even(least(greatest(CAST(b1 AS DOUBLE) / 50, 0), 1) * 255, 0) AS INT) AS b, 255 AS alpha FROM days""")
+def rgb_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.composite(rasters.days(spark, sf_dir)[0], "b1", "b2", "b1", [(0.0, 200.0), (1.0, 9.0), (0.0, 50.0)])
+
+
+@registered("""WITH g AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey * 1.7 AS DOUBLE) AS x, CAST(n_regionkey * 2.9 AS DOUBLE) AS y FROM nation)
+SELECT id, CAST(floor((100 + x * 0.8 + y * 0.6) * 1e4 + 0.5) AS BIGINT) AS world_x, CAST(floor((200 + x * 0.6 - y * 0.8) * 1e4 + 0.5) AS BIGINT) AS world_y,
+CAST(floor(x * 1e4 + 0.5) AS BIGINT) AS px, CAST(floor(y * 1e4 + 0.5) AS BIGINT) AS py FROM g""")
+def pixel_world_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = Grid(50, 50, 100.0, 0.8, 0.6, 200.0, 0.6, -0.8)
+    places = rasters.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") * 1.7).alias("x"), (F.col("n_regionkey") * 2.9).alias("y"))
+    wx, wy = grid.world(F.col("x"), F.col("y"))
+    placed = places.select("id", wx.alias("wx"), wy.alias("wy"))
+    px, py = grid.pixel(F.col("wx"), F.col("wy"))
+    return placed.select("id", steps("wx").alias("world_x"), steps("wy").alias("world_y"), steps(px).alias("px"), steps(py).alias("py"))
+
+
+@registered(f"""WITH f AS (SELECT CAST(n_nationkey AS BIGINT) AS seq, n_name AS attribute, CAST(n_nationkey % 7 AS DOUBLE) AS x, CAST(n_nationkey // 7 AS DOUBLE) AS y FROM nation),
+p AS (SELECT CAST(i AS BIGINT) AS id, CAST(i * 0.55 AS DOUBLE) AS x, CAST(i * 0.3 AS DOUBLE) AS y FROM range(12) t(i))
+SELECT id, seq, attribute, {sql_steps('d2')} AS d2 FROM (SELECT p.id, seq, attribute, (f.x - p.x) ** 2 + (f.y - p.y) ** 2 AS d2, row_number() OVER (PARTITION BY p.id ORDER BY (f.x - p.x) * (f.x - p.x) + (f.y - p.y) * (f.y - p.y), seq) AS rn FROM f, p) WHERE rn = 1""")
+def identify_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey").cast("long")
+    point = F.struct((key % 7).cast("double").alias("x"), F.floor(key / 7).cast("double").alias("y"))
+    features = rasters.table(spark, sf_dir, "nation").select(key.alias("seq"), F.col("n_name").alias("attribute"), F.array(point).alias("points"))
+    asked = spark.range(12).select("id", (F.col("id") * 0.55).alias("x"), (F.col("id") * 0.3).alias("y"))
+    return zones.nearest(asked, features).withColumn("d2", steps("d2"))

@@ -286,5 +286,5 @@ def deduplicate(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col:
     linked = components(links)
     of_kind = kind.select("digest", F.col("id").alias("rep")).join(linked, F.col("rep") == F.col("id"), "left").select(F.col("digest").alias("of_digest"), F.coalesce("component_id", "rep").alias("component_id"))
     out = every.select("id", "n", "digest").join(of_kind, F.col("digest") == F.col("of_digest"), "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -111,7 +111,7 @@ def percentile_2_98(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("percent", steps("value").alias("value"))
 
 
-@registered(f'WITH {rasters.DAYS} SELECT (SELECT (max("row") + 1) * (max(col) + 1) FROM days) - count(b1) AS n_missing, (SELECT (max("row") + 1) * (max(col) + 1) FROM days) AS n_cells FROM days')
+@registered(f'WITH {rasters.DAYS} SELECT (SELECT (max("row") + 1) * (max(col) + 1) FROM days) - count(b1) AS n_missing, (SELECT CAST((max("row") + 1) * (max(col) + 1) AS BIGINT) FROM days) AS n_cells FROM days')
 def nodata_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, grid = rasters.days(spark, sf_dir)
     found = stats.no_data(dense(cells, grid, "b1"), "b1")

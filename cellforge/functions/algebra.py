@@ -32,8 +32,8 @@ def either_nan(a: Column, b: Column) -> Column:
 
 
 def divided(a: Column, b: Column) -> Column:
-    """IEEE quotient; a negative zero is told apart by its angle."""
-    negative = (a < 0) != (F.atan2(b, F.lit(-1.0)) < 0)
+    """IEEE quotient; a negative zero is told apart by how it is written."""
+    negative = (a < 0) != b.cast("string").startswith("-")
     by_zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).when(negative, F.lit(-INF)).otherwise(F.lit(INF))
     return F.when(b == 0, by_zero).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
 

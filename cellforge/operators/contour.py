@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .zones import length, smoothed
+
 
 def levels(low: float, high: float, interval: float) -> list[float]:
     """Whole multiples of the interval within the data, with a slack of 1e-9."""
@@ -67,3 +70,48 @@ def segments(cells: DataFrame, interval: float) -> DataFrame:
     masked = crossed.withColumn("mask", mask).where((F.col("mask") > 0) & (F.col("mask") < 15))
     out = masked.select("level", "row", "col", F.posexplode(found).alias("k", "s"))
     return out.select("level", "row", "col", "k", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+
+
+def lines(pieces: DataFrame, interval: float, smoothing: int = 0, index_every: int = 5, least_length: float = 0.0) -> DataFrame:
+    """``level, line, points, is_index, is_closed, length``: pieces chained where their ends are the same point.
+
+    A chain starts with the first unused piece in row order and grows at its tail, then at its head, taking the first
+    unused piece at the tip. Levels are chained apart, each in a task. Lines may then have corners cut; short ones go.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("row", "ascending"), ("col", "ascending"), ("k", "ascending")]).to_pylist()
+        ends = [((p["x1"], p["y1"]), (p["x2"], p["y2"])) for p in rows]
+        at: dict[tuple[float, float], list[int]] = {}
+        for i, pair in enumerate(ends):
+            for p in pair:
+                at.setdefault(p, []).append(i)
+        used = [False] * len(ends)
+
+        def grown(tip: tuple[float, float]) -> list[tuple[float, float]]:
+            out = []
+            while (i := next((i for i in at[tip] if not used[i]), None)) is not None:
+                used[i] = True
+                tip = ends[i][1] if ends[i][0] == tip else ends[i][0]
+                out.append(tip)
+            return out
+
+        found = []
+        for i, (a, b) in enumerate(ends):
+            if not used[i]:
+                used[i] = True
+                tail = grown(b)
+                found.append([*reversed(grown(a)), a, b, *tail])
+        kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        points = [[{"x": x, "y": y} for x, y in line] for line in found]
+        level = rows[0]["level"] if rows else 0.0
+        return pa.table({"level": pa.array([level] * len(found), pa.float64()), "line": pa.array(range(len(found)), pa.int64()), "points": pa.array(points, kind)})
+
+    chained = pieces.groupBy("level").applyInArrow(run, "level double, line long, points array<struct<x:double,y:double>>")
+    points = smoothed(F.col("points"), smoothing)
+    first, last = F.get("points", F.lit(0)), F.get("points", F.size("points") - 1)
+    drawn = chained.withColumn("points", points).select(
+        "level", "line", "points", (F.pmod(F.rint(F.col("level") / interval).cast("long"), F.lit(index_every)) == 0).alias("is_index"),
+        ((first["x"] == last["x"]) & (first["y"] == last["y"])).alias("is_closed"), length(F.col("points")).alias("length"),
+    )
+    return drawn.where(F.col("length") >= least_length)

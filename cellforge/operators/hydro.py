@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +70,55 @@ def flow_accumulation(directions: DataFrame) -> DataFrame:
 def stream_cells(accumulation: DataFrame, threshold: float) -> DataFrame:
     """Cells whose accumulation reaches the threshold."""
     return accumulation.where(F.col("v") >= threshold)
+
+
+def stream_segments(directions: DataFrame, accumulation: DataFrame, threshold: float) -> DataFrame:
+    """``segment, strahler, accumulation, points``: reaches of the stream network, upstream to downstream, in pixels.
+
+    A reach starts at every cell with other than one inflow and runs to the next such cell. Orders follow the whole
+    network, so its cells (far fewer than the raster's) are one task.
+    """
+    mask = stream_cells(accumulation, threshold).select("row", "col", F.col("v").alias("acc"))
+    cells = mask.join(directions.select("row", "col", F.col("v").alias("code")), ["row", "col"]).where("code IS NOT NULL")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("row", "ascending"), ("col", "ascending")])
+        places = list(zip(table.column("row").to_pylist(), table.column("col").to_pylist(), strict=True))
+        acc = dict(zip(places, table.column("acc").to_pylist(), strict=True))
+        step = {code: (dy, dx) for code, dx, dy in DIRECTIONS}
+        down = {}
+        for (r, c), code in zip(places, table.column("code").to_pylist(), strict=True):
+            dy, dx = step.get(code, (0, 0))
+            down[r, c] = (r + dy, c + dx) if code and (r + dy, c + dx) in acc else None
+        inflow = dict.fromkeys(places, 0)
+        for to in down.values():
+            if to:
+                inflow[to] += 1
+        left, order, arrived = dict(inflow), [p for p in places if not inflow[p]], {p: [] for p in places}
+        strahler = {}
+        for p in order:  # grows while it is walked: a cell follows once all its inflows have
+            above = arrived[p]
+            strahler[p] = (max(above) + (above.count(max(above)) > 1)) if above else 1
+            if to := down[p]:
+                arrived[to].append(strahler[p])
+                left[to] -= 1
+                if not left[to]:
+                    order.append(to)
+        if len(order) < len(places):
+            raise CycleError("flow directions hold a cycle")
+        out = []
+        for head in order:
+            if inflow[head] == 1:
+                continue
+            reach = [head]
+            while (to := down[reach[-1]]) is not None:
+                reach.append(to)
+                if inflow[to] != 1:
+                    break
+            if len(reach) > 1:
+                out.append((len(out), strahler[head], acc[reach[-1]], [{"x": c + 0.5, "y": r + 0.5} for r, c in reach]))
+        ids, orders, flows, points = zip(*out, strict=True) if out else ((), (), (), ())
+        kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        return pa.table({"segment": pa.array(ids, pa.int64()), "strahler": pa.array(orders, pa.int32()), "accumulation": pa.array(flows, pa.float32()), "points": pa.array(points, kind)})
+
+    return cells.withColumn("network", F.lit(0)).groupBy("network").applyInArrow(run, "segment long, strahler int, accumulation float, points array<struct<x:double,y:double>>")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.algebra import compile_expression
-from ..operators import contour, focal, hydro, render, sampling, stats, zones
+from ..operators import contour, fill, focal, hydro, kernels, render, sampling, stats, visibility, zones
 from ..operators.grid import Grid, crop, dense, overview
 from . import rasters
 
@@ -472,3 +472,69 @@ def identify_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = rasters.table(spark, sf_dir, "nation").select(key.alias("seq"), F.col("n_name").alias("attribute"), F.array(point).alias("points"))
     asked = spark.range(12).select("id", (F.col("id") * 0.55).alias("x"), (F.col("id") * 0.3).alias("y"))
     return zones.nearest(asked, features).withColumn("d2", steps("d2"))
+
+
+@registered()
+def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = contour.lines(contour.segments(rasters.quantity(spark, sf_dir)[0], 50.0), 50.0, smoothing=1)
+    return drawn.select("level", "line", F.size("points").alias("n_points"), "is_index", "is_closed", steps("length").alias("length"))
+
+
+@registered()
+def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    direction = hydro.flow_direction(cells, grid.width, grid.height)
+    found = hydro.stream_segments(direction, hydro.flow_accumulation(direction), 4)
+    return found.select("segment", "strahler", "accumulation", F.size("points").alias("n_points"))
+
+
+def gappy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
+    cells, grid = rasters.days(spark, sf_dir)
+    return dense(cells.select("row", "col", F.col("b1").alias("v")), grid, "v"), grid
+
+
+@registered()
+def fill_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill.fill_nearest(*gappy(spark, sf_dir))
+
+
+@registered()
+def fill_idw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill.fill_idw(*gappy(spark, sf_dir), smoothing=1)
+
+
+@registered()
+def hull_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill.hull_rows(gappy(spark, sf_dir)[0])
+
+
+@registered()
+def local_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.local_relief(*rasters.quantity(spark, sf_dir), 6.0)
+
+
+@registered()
+def laplace_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.laplace(*rasters.quantity(spark, sf_dir))
+
+
+@registered()
+def bezier_x2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.bezier_subdivide(*rasters.quantity(spark, sf_dir), 2)[0]
+
+
+#: Terrain along each line of sight, in SQL: tolerant bilinear values at every step between observer and target.
+SIGHT = f"""{rasters.QUANTITY}, eye AS (SELECT v + 1.8 AS z FROM cells WHERE "row" = 4 AND col = 12),
+aim AS (SELECT "row" AS tr, col AS tc, v AS tz, greatest(abs("row" - 4), abs(col - 12)) AS steps FROM cells WHERE v IS NOT NULL),
+way AS (SELECT tr, tc, tz, CAST(i AS DOUBLE) / steps AS t FROM aim, range(1, 100) r(i) WHERE i < steps),
+spot AS (SELECT *, 12 + (tc - 12) * t AS x, 4 + (tr - 4) * t AS y FROM way),
+ground AS (SELECT tr, tc, tz, t, sum(w * v) FILTER (v IS NOT NULL) / nullif(sum(w) FILTER (v IS NOT NULL), 0) AS g FROM (
+  SELECT s.*, c.v, (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w
+  FROM spot s, range(2) a(dx), range(2) b(dy) LEFT JOIN cells c ON c."row" = floor(y) + dy AND c.col = floor(x) + dx) WHERE w > 0 GROUP BY tr, tc, tz, t),
+hid AS (SELECT DISTINCT tr, tc FROM ground, eye WHERE g > z + t * (tz - z) + 1e-6)"""
+
+
+@registered(f"""WITH {SIGHT} SELECT c."row", c.col, CAST(CASE WHEN c.v IS NULL THEN NULL WHEN hid.tr IS NULL THEN 1 ELSE 0 END AS FLOAT) AS v FROM cells c LEFT JOIN hid ON hid.tr = c."row" AND hid.tc = c.col""")
+def viewshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = rasters.quantity(spark, sf_dir)
+    return visibility.viewshed(cells, grid, 12, 4)

@@ -38,9 +38,11 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/cellforge-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(at)
+    del df  # else the plan, and with it its shuffle files, outlives the next line
     released(spark)
-    return spark.read.schema(df.schema).parquet(at)
+    return spark.read.schema(schema).parquet(at)
 
 
 def released(spark: SparkSession) -> None:

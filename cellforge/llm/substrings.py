@@ -5,7 +5,8 @@ A byte goes if it is covered by a string of ``size`` bytes that also starts in a
 Anchors find where that can be: of every ``size`` bytes the k-gram with the least hash is one, so equal strings have
 equal anchors at equal places. Anchors meet by hash, sorted, in a stream: those whose whole context (all strings around
 the anchor) equals that of an earlier document are settled at once. Where an anchor has several contexts, one of each is
-compared by a suffix array: the Burrows-Wheeler order of all contexts is refined breadth first. A cut between two
+compared, but for those that share neither the bytes before nor those after the anchor with another: any common string
+reaches half of what it needs beyond the anchor on one side. They are compared by a suffix array: the Burrows-Wheeler order of all contexts is refined breadth first. A cut between two
 neighbours of the order at common prefix l is extended backward by one character to a cut at l + 1; after ``size`` - 1
 rounds, what is not cut apart shares ``size`` bytes.
 """
@@ -26,8 +27,8 @@ from .common import mixed, stored, tasks
 
 SIZE = 50
 GRAM = 16
-#: Bytes of contexts for which one suffix array is built; all contexts of an anchor stay together.
-BLOCK = 1 << 22
+#: Bytes of contexts that are compared at once; all contexts of an anchor stay together.
+BLOCK = 1 << 23
 
 
 def octets(data: np.ndarray) -> np.ndarray:
@@ -162,7 +163,7 @@ def settled(found: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """``h, id, begin, part``: the bytes around each anchor that is not settled."""
+    """``h, id, begin, lo, part``: the bytes around each anchor that is not settled, ``lo`` of them before it."""
     by_doc = open_.groupBy("id").agg(F.collect_list(F.struct("h", "place", "lo", "hi")).alias("of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +176,9 @@ def contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
                 h, place, lo, hi = (np.asarray(of.field(k)).astype(np.int64) for k in range(4))
                 texts = [t.encode() for t in batch.column("text").to_pylist()]
                 parts = [texts[r][a:b] for r, a, b in zip(row.tolist(), (place - lo).tolist(), (place + hi).tolist(), strict=True)]
-                yield pa.record_batch([pa.array(h), batch.column("id").take(pa.array(row)), pa.array(place - lo), pa.array(parts, pa.binary())], names=["h", "id", "begin", "part"])
+                yield pa.record_batch([pa.array(h), batch.column("id").take(pa.array(row)), pa.array(place - lo), pa.array(lo), pa.array(parts, pa.binary())], names=["h", "id", "begin", "lo", "part"])
 
-    return docs.join(by_doc.hint("shuffle_hash"), "id").select("id", "text", "of").mapInArrow(run, "h long, id long, begin long, part binary")
+    return docs.join(by_doc.hint("shuffle_hash"), "id").select("id", "text", "of").mapInArrow(run, "h long, id long, begin long, lo long, part binary")
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -204,6 +205,8 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 def repeated(parts: list[bytes], ids: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """(part, start) of each string of ``size`` bytes in a part that also lies in a part with a smaller id."""
+    if not parts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     starts = np.cumsum(lengths + 1) - lengths - 1
     symbols = np.zeros(int((lengths + 1).sum()), dtype=np.int16)  # 0 ends each part
@@ -238,11 +241,29 @@ def repeated(parts: list[bytes], ids: np.ndarray, size: int = SIZE) -> tuple[np.
     return owner[hit], hit - starts[owner[hit]]
 
 
-def compared(found: DataFrame, size: int) -> DataFrame:
-    """``id, start, end``: intervals of documents that repeat earlier ones, from ``found(h, id, begin, part)``."""
+def half_shared(h: np.ndarray, lo: np.ndarray, parts: pa.Array, size: int, gram: int) -> np.ndarray:
+    """Which contexts agree with another of their anchor in the anchor and half of size - gram bytes before or after it."""
+    half = (size - gram + 1) // 2
+    at = np.asarray(parts.buffers()[1]).view(np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+    w = octets(np.frombuffer(parts.buffers()[2], dtype=np.uint8)[: int(at[-1])])
+    shared = np.zeros(len(parts), dtype=bool)
+    for start, fits in ((at[:-1] + lo - half, lo >= half), (at[:-1] + lo, at[1:] - at[:-1] - lo >= half + gram)):
+        rows = np.flatnonzero(fits)
+        key = h[rows].astype(np.uint64)
+        for k in [*range(0, half + gram - 8, 8), half + gram - 8]:
+            key = mixed(key ^ w[start[rows] + k]) + np.uint64(k + 1)
+        _, of, counts = np.unique(key, return_inverse=True, return_counts=True)
+        shared[rows[counts[of] > 1]] = True
+    return shared
+
+
+def compared(found: DataFrame, size: int, gram: int) -> DataFrame:
+    """``id, start, end``: intervals of documents that repeat earlier ones, from ``found(h, id, begin, lo, part)``."""
 
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
+        near = half_shared(np.asarray(table.column("h")), np.asarray(table.column("lo")), table.column("part").combine_chunks(), size, gram)
+        table = table.filter(pa.array(near))
         ids, begin = np.asarray(table.column("id")), np.asarray(table.column("begin"))
         part, start = repeated(table.column("part").to_pylist(), ids, size)
         new = np.ones(len(part), dtype=bool)
@@ -279,7 +300,7 @@ def cover(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     judged = stored(settled(anchored(docs, size, gram)))
     reach = F.col("lo") + F.col("hi")
     whole = judged.where(F.col("whole") & (reach >= size)).select("id", (F.col("place") - F.col("lo")).alias("start"), (F.col("place") + F.col("hi")).alias("end"))
-    more = stored(compared(contexts(docs, judged.where(~F.col("whole") & (reach >= size))), size))
+    more = stored(compared(contexts(docs, judged.where(~F.col("whole") & (reach >= size))), size, gram))
     return whole.union(more).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

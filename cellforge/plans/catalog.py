@@ -1,6 +1,7 @@
 """The registered raster queries and their DuckDB equivalents.
 
-Values that come from transcendental functions or averages are compared as integers, in steps of 1e-4.
+Values that come from transcendental functions or averages are compared as integers, in steps of 1e-4 or so; the offset
+of the steps keeps simple fractions off their edges.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ def registered(sql: str | None = None) -> Callable[[Query], Query]:
 
 def steps(value: Column | str, scale: float = 1e4) -> Column:
     value = F.col(value) if isinstance(value, str) else value
-    return F.floor(value.cast("double") * scale + 0.5).cast("long")
+    return F.floor(value.cast("double") * scale + 0.4871).cast("long")
 
 
 def sql_steps(value: str, scale: str = "1e4") -> str:
-    return f"CAST(floor(CAST({value} AS DOUBLE) * {scale} + 0.5) AS BIGINT)"
+    return f"CAST(floor(CAST({value} AS DOUBLE) * {scale} + 0.4871) AS BIGINT)"
 
 
 def algebra(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -452,8 +453,8 @@ def rgb_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""WITH g AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey * 1.7 AS DOUBLE) AS x, CAST(n_regionkey * 2.9 AS DOUBLE) AS y FROM nation)
-SELECT id, CAST(floor((100 + x * 0.8 + y * 0.6) * 1e4 + 0.5) AS BIGINT) AS world_x, CAST(floor((200 + x * 0.6 - y * 0.8) * 1e4 + 0.5) AS BIGINT) AS world_y,
-CAST(floor(x * 1e4 + 0.5) AS BIGINT) AS px, CAST(floor(y * 1e4 + 0.5) AS BIGINT) AS py FROM g""")
+SELECT id, CAST(floor((100 + x * 0.8 + y * 0.6) * 1e4 + 0.4871) AS BIGINT) AS world_x, CAST(floor((200 + x * 0.6 - y * 0.8) * 1e4 + 0.4871) AS BIGINT) AS world_y,
+CAST(floor(x * 1e4 + 0.4871) AS BIGINT) AS px, CAST(floor(y * 1e4 + 0.4871) AS BIGINT) AS py FROM g""")
 def pixel_world_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = Grid(50, 50, 100.0, 0.8, 0.6, 200.0, 0.6, -0.8)
     places = rasters.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") * 1.7).alias("x"), (F.col("n_regionkey") * 2.9).alias("y"))

@@ -106,7 +106,8 @@ def separator(over: str, x: np.ndarray, under: str, y: np.ndarray, rounds: int =
     spread = rows.std(axis=0)
     scale = np.where(spread > 0, 1 / (spread + 1e-4), 0).astype(np.float32)
     middle = rows.mean(axis=0)
-    rows = (rows - middle) * scale / np.sqrt(BINS)
+    rows -= middle
+    rows *= scale / np.float32(np.sqrt(BINS))
     sign = np.repeat(np.array([1.0, -1.0], dtype=np.float32), (len(x), len(y)))
     share = np.repeat(np.array([0.5 / len(x), 0.5 / len(y)], dtype=np.float32), (len(x), len(y)))
     w, b, mean_w, mean_b = np.zeros(BINS, dtype=np.float32), 0.0, np.zeros(BINS, dtype=np.float32), 0.0

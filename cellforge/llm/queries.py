@@ -65,5 +65,43 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_dedup, op2_voronoi_knn, op3_secret_scan, op4_suffix_dedup, op5_token_counts, op6_language_id, op7_line_dedup, op8_embedding_dedup, op9_bpe_roundtrip, op10_best_fit_packing)}
 
-#: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE: dict[str, str] = {}
+USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+KNN_SQL = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {USABLE}),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i])) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def span_sql(kind: str, rank: int, pattern: str, keep: str = "true") -> str:
+    """Spans of one kind: hits, and the lengths of what lies between them, summed up to each."""
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, hit, value, start, start + length(hit) AS stop FROM (
+  SELECT doc_id, unnest(hits) AS hit, unnest(vals) AS value, unnest(list_transform(range(1, len(hits) + 1), lambda i: list_sum(gaps[1:i]) + coalesce(list_sum(own[1:i - 1]), 0))) AS start FROM (
+    SELECT doc_id, hits, {'regexp_extract_all(t, ' + quoted(pattern) + ', 2)' if kind == 'assign' else 'hits'} AS vals, list_transform(hits, lambda x: length(x)) AS own, list_transform(regexp_split_to_array(t, {quoted(pattern)}), lambda x: length(x)) AS gaps
+    FROM (SELECT doc_id, t, regexp_extract_all(t, {quoted(pattern)}) AS hits FROM d) WHERE len(hits) > 0)) WHERE {keep}"""
+
+
+def secret_sql() -> str:
+    patterns = list(secret_scan.PATTERNS.items())
+    base = " UNION ALL ".join(span_sql(k, i, p, f"length(value) >= {secret_scan.ASSIGN_LEAST}" if k == "assign" else "true") for i, (k, p) in enumerate(patterns))
+    window, run = secret_scan.WINDOW, f"[{secret_scan.ALPHABET[:-1]}-]{{{secret_scan.WINDOW},}}"
+    allowed = " OR ".join(f"regexp_full_match(hit, {quoted(p)})" for p in secret_scan.ALLOWED)
+    bits = f"-list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: ({window} - length(replace(w, c, ''))) / {window}.0 * log2(({window} - length(replace(w, c, ''))) / {window}.0)))"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), base AS ({base}),
+runs AS (SELECT * FROM ({span_sql('entropy', 3, run)}) WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT ({allowed})),
+slid AS (SELECT doc_id, start, k, substr(hit, CAST(k + 1 AS INT), {window}) AS w FROM (SELECT *, unnest(range(0, length(hit) - {window} + 1)) AS k FROM runs)),
+good AS (SELECT doc_id, start, min(k) AS a, max(k) AS b FROM slid WHERE regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]')
+  AND {bits} >= CASE WHEN regexp_full_match(w, '[0-9a-fA-F]+') THEN {secret_scan.HEX_BITS} ELSE {secret_scan.MIXED_BITS} END GROUP BY doc_id, start),
+spans AS (SELECT doc_id, rank, kind, start, stop FROM base UNION ALL SELECT doc_id, 3, 'entropy', start + a, start + b + {window} FROM good),
+per AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (doc_id)"""
+
+
+#: DuckDB SQL for the queries that SQL can express on whole tables. Clustering, suffix orders, learned models and
+#: tokenizers are beyond it; tests compare these with brute force.
+ORACLE: dict[str, str] = {"op2_voronoi_knn": KNN_SQL, "op3_secret_scan": secret_sql()}

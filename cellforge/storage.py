@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset (tests, a single machine)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
@@ -21,7 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write as Parquet in the shared folder and read back: lineage is cut, and the copy outlives its executor."""
-    at = f"{shared_folder(df.sparkSession).rstrip('/')}/cellforge-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Lineage is cut by a copy that outlives its executor: losing one costs tasks and not the job.
+    """
+    spark, schema = df.sparkSession, df.schema
+    at = f"{shared_folder(spark).rstrip('/')}/cellforge-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    del df  # else the plan, and with it its shuffle files, outlives the next line
+    released(spark)
+    return spark.read.schema(schema).parquet(at)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now; else they stay until the driver next collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

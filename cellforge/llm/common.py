@@ -2,64 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..storage import stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: ``spark.checkpoint.dir`` if the session names one.
-
-    Only where the session leaves it unset (tests, a single machine) is a folder of our own made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    context = spark.sparkContext
-    if named:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(named)
-        return named
-    own = context._jsc.sc().getCheckpointDir()
-    if own.isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cellforge-"))
-        own = context._jsc.sc().getCheckpointDir()
-    return own.get()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage with a replicated or shared copy, so a lost executor costs a task and not the job.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/cellforge-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(at)
-    del df  # else the plan, and with it its shuffle files, outlives the next line
-    released(spark)
-    return spark.read.schema(schema).parquet(at)
-
-
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished plans now; else they stay until the driver next collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def removed(df: DataFrame) -> None:
-    """Delete what ``stored`` wrote for ``df``; only after every reader of it has finished."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if "/cellforge-" not in folder:
-            raise ValueError(f"not a stored intermediate: {folder}")
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
+__all__ = ["gathered", "groups", "mixed", "stored", "tasks"]
 
 
 def tasks(df: DataFrame) -> int:

@@ -28,7 +28,7 @@ from .common import mixed, stored, tasks
 SIZE = 50
 GRAM = 16
 #: Bytes of contexts that are compared at once; all contexts of an anchor stay together.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 
 
 def octets(data: np.ndarray) -> np.ndarray:

@@ -24,8 +24,8 @@ from . import bpe
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
             "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance",
             "pl": "slavic", "cs": "slavic", "ru": "slavic", "uk": "slavic", "bg": "slavic"}
-BINS = 1 << 13
-PER_LANGUAGE = 400
+BINS = 1 << 12
+PER_LANGUAGE = 300
 UNDETERMINED = "und"
 
 _RANDOM = np.random.default_rng(7)
@@ -97,15 +97,15 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str,
     rows: dict[str, list[tuple[int, bytes]]] = {}
     for r in chosen.mapInArrow(run, "lang string, order long, shares binary").toLocalIterator():
         rows.setdefault(r["lang"], []).append((r["order"], bytes(r["shares"])))
-    return [(lang, np.stack([np.frombuffer(x, dtype=np.float32) for _, x in sorted(own)[:per_language]])) for lang, own in sorted(rows.items())]
+    return [(lang, np.stack([np.frombuffer(x, dtype=np.float32) for _, x in sorted(rows.pop(lang))[:per_language]])) for lang in sorted(rows)]
 
 
 def separator(over: str, x: np.ndarray, under: str, y: np.ndarray, rounds: int = 300, penalty: float = 1e-3) -> Separator:
     """A linear support vector machine by subgradient descent on the hinge loss, classes weighted alike."""
     rows = np.vstack((x, y))
-    spread = rows.std(axis=0)
+    spread = np.sqrt(np.maximum(0, np.einsum("ij,ij->j", rows, rows, dtype=np.float64) / len(rows) - rows.mean(axis=0, dtype=np.float64) ** 2))
     scale = np.where(spread > 0, 1 / (spread + 1e-4), 0).astype(np.float32)
-    middle = rows.mean(axis=0)
+    middle = rows.mean(axis=0, dtype=np.float64).astype(np.float32)
     rows -= middle
     rows *= scale / np.float32(np.sqrt(BINS))
     sign = np.repeat(np.array([1.0, -1.0], dtype=np.float32), (len(x), len(y)))

@@ -28,6 +28,8 @@ THRESHOLD = 1
 MIN_CHARS = 20
 #: Lines under one key up to which pairs are listed; and lines of a block beyond.
 SMALL, BLOCK = 16, 256
+#: Bytes of text whose substrings are hashed at once; the arrays take some fifty times that.
+KEY_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -177,7 +179,7 @@ def keyed(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in bpe.blocks(whole, "text"):
+            for batch in bpe.blocks(whole, "text", KEY_BYTES):
                 lines, _, _ = split_lines(batch)
                 distinct = pc.unique(lines.filter(pc.greater_equal(pc.utf8_length(lines), min_chars))).to_pylist()
                 if not distinct:

@@ -28,7 +28,7 @@ from .common import mixed, stored, tasks
 SIZE = 50
 GRAM = 16
 #: Bytes of contexts that are compared at once; all contexts of an anchor stay together.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 
 def octets(data: np.ndarray) -> np.ndarray:
@@ -93,7 +93,7 @@ def anchored(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in bpe.blocks(whole, "text", 1 << 22):
+            for batch in bpe.blocks(whole, "text", 1 << 21):
                 data, at = bpe.string_bytes(batch.column("text"))
                 doc, place, h = anchors(data, at, size, gram)
                 begin, end = np.maximum(at[doc], place - before), np.minimum(at[doc + 1], place + after)
@@ -185,12 +185,12 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes in order of their first ``depth`` symbols (0 to 256) at least, by prefix doubling."""
     n = len(symbols)
     key = np.zeros(n, dtype=np.int64)
-    padded = np.append(symbols.astype(np.int64), np.zeros(8, dtype=np.int64))
+    padded = np.append(symbols, np.zeros(8, dtype=symbols.dtype))
     for k in range(7):
         key = key * 257 + padded[k : k + n]
     reach = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if reach >= depth:
             return order
         rank = np.empty(n + 1, dtype=np.int64)
@@ -218,19 +218,30 @@ def repeated(parts: list[bytes], ids: np.ndarray, size: int = SIZE) -> tuple[np.
     rank = np.empty(n + 1, dtype=np.int64)
     rank[order] = np.arange(n)
     rank[n] = 0
-    behind = rank[order + 1]  # where the order has the suffix one character shorter: a backward step leads from there to here
+    behind = rank[order + 1].astype(np.int32)  # where the order has the suffix one character shorter
+    ahead = rank[order - 1].astype(np.int32)  # and the one a character longer, by which backward extension goes
+    ahead[order == 0] = 0
     cut = np.ones(n, dtype=bool)
     first = symbols[order]
     cut[1:] = first[1:] != first[:-1]
-    whole = np.flatnonzero(~cut)
+    follows = np.zeros(n, dtype=bool)  # the neighbours come from neighbours: a cut there becomes the cut here
+    follows[1:] = behind[1:] == behind[:-1] + 1
+    whole = np.flatnonzero(~cut & ~follows)  # the others come from an interval: any cut in it becomes the cut here
     low, high = np.minimum(behind[whole - 1], behind[whole]), np.maximum(behind[whole - 1], behind[whole])
+    fresh = np.flatnonzero(cut)
     for _ in range(1, size):  # cuts at common prefix l become cuts at l + 1
-        passed = np.cumsum(cut)
-        apart = passed[high] > passed[low]
-        if not apart.any():
+        reached = ahead[fresh]
+        reached = reached[follows[reached] & ~cut[reached]]
+        if len(whole):
+            passed = np.cumsum(cut, dtype=np.int32)
+            apart = passed[high] > passed[low]
+            fresh = np.concatenate((reached, whole[apart]))
+            whole, low, high = whole[~apart], low[~apart], high[~apart]
+        else:
+            fresh = reached
+        if not len(fresh):
             break
-        cut[whole[apart]] = True
-        whole, low, high = whole[~apart], low[~apart], high[~apart]
+        cut[fresh] = True
     owner = np.repeat(np.arange(len(parts)), lengths + 1)
     fits = (starts + lengths)[owner] - np.arange(n) >= size
     of = np.where(fits, ids[owner], np.iinfo(np.int64).max)[order]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,20 +22,25 @@ def shared_folder(spark: SparkSession) -> str:
     return current.get()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, bulky: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Lineage is cut by a copy that outlives its executor: losing one costs tasks and not the job.
+    Lineage is cut by a copy that outlives its executor: losing one costs tasks and not the job. ``bulky``: what was
+    shuffled for it is large, so wait until it is released.
     """
     spark, schema = df.sparkSession, df.schema
     at = f"{shared_folder(spark).rstrip('/')}/cellforge-{uuid.uuid4().hex}"
     df.write.parquet(at)
     del df  # else the plan, and with it its shuffle files, outlives the next line
-    released(spark)
+    released(spark, 2.0 if bulky else 0.0)
     return spark.read.schema(schema).parquet(at)
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished plans now; else they stay until the driver next collects garbage."""
+def released(spark: SparkSession, wait: float = 0.0) -> None:
+    """Let Spark delete the shuffle files of finished plans now; else they stay until the driver next collects garbage.
+
+    The bridge drops its references to dead Python objects in a thread that looks about once a second: hence the wait.
+    """
     gc.collect()
+    time.sleep(wait)
     spark._jvm.System.gc()

@@ -308,10 +308,10 @@ def compared(found: DataFrame, size: int, gram: int) -> DataFrame:
 
 def cover(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """``id, spans``: for each document of ``docs(id, text)`` with repeated bytes, intervals that cover just these."""
-    judged = stored(settled(anchored(docs, size, gram)))
+    judged = stored(settled(anchored(docs, size, gram)), bulky=True)
     reach = F.col("lo") + F.col("hi")
     whole = judged.where(F.col("whole") & (reach >= size)).select("id", (F.col("place") - F.col("lo")).alias("start"), (F.col("place") + F.col("hi")).alias("end"))
-    more = stored(compared(contexts(docs, judged.where(~F.col("whole") & (reach >= size))), size, gram))
+    more = stored(compared(contexts(docs, judged.where(~F.col("whole") & (reach >= size))), size, gram), bulky=True)
     return whole.union(more).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

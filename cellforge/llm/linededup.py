@@ -4,6 +4,11 @@ Two lines within ``threshold`` edits share one of threshold + 1 segments of the
 distinct line is split into such segments; the substrings where a longer line could hold a shorter one's segment are
 probed, by length and place. Lines that meet under a key are verified by a banded bit-parallel edit distance.
 
+Without a fixed threshold the edits allowed grow with the shorter line (``allowed``). Segments of lines of ``SPAN``
+characters or more would be probed too often at that many edits: such lines meet by minimizers instead. The longest run
+of characters that the edits leave alone has a guaranteed length, and equal runs of that length have an equal minimizer
+at nearly the same place, so nothing is missed. Keys are made in rounds by the shorter line's length, to bound the disk.
+
 A line occurrence is removed if an equal or linked line occurs earlier (by document id, then place); lines of fewer than
 ``min_chars`` characters are neither compared nor removed. Equal lines are combined before anything else. Keys with many
 lines are dealt in blocks, whose tasks return the lines that have an earlier neighbour, so nothing grows with pairs.
@@ -13,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +31,17 @@ from .common import groups, mixed, stored, tasks
 
 THRESHOLD = 1
 MIN_CHARS = 20
+#: Edits allowed by length: a tenth of the shorter line, at least and at most these.
+LEAST_EDITS, MOST_EDITS = 2, 8
+#: Shorter lines from this length on meet by minimizers; rounds of keys begin at these lengths of the shorter line.
+SPAN = 128
+ROUNDS = (0, 70, 95, 112, SPAN, 200, 312)
+#: Minimizers meet within buckets of this many places.
+PLACES = 32
 #: Lines under one key up to which pairs are listed; and lines of a block beyond.
 SMALL, BLOCK = 16, 256
+#: Characters of one side of the pairs that are verified at once.
+CELLS = 1 << 19
 #: Bytes of text whose substrings are hashed at once; the arrays take some fifty times that.
 KEY_BYTES = 1 << 20
 
@@ -66,30 +80,97 @@ def segment(length: np.ndarray, i: int, threshold: int) -> tuple[np.ndarray, np.
     return i * size + shift, size + (i >= count - longer)
 
 
+def allowed(length: np.ndarray, threshold: int | None) -> np.ndarray:
+    """Edits allowed to pairs whose shorter line has this length."""
+    return np.clip(length // 10, LEAST_EDITS, MOST_EDITS) if threshold is None else np.full(len(length), threshold)
+
+
+def most(threshold: int | None) -> int:
+    return MOST_EDITS if threshold is None else threshold
+
+
+def rounds(threshold: int | None) -> list[tuple[int, int]]:
+    """Ranges of the shorter line's length whose keys are made together."""
+    return list(zip(ROUNDS, (*ROUNDS[1:], 1 << 40), strict=True)) if threshold is None else [(0, 1 << 40)]
+
+
+def keys_by_length(codes: np.ndarray, start: np.ndarray, length: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """As ``line_keys``, for pairs whose shorter line has ``low`` to ``high - 1`` characters and allows edits by its length."""
+    sub = Substrings(codes)
+    if low >= SPAN:
+        yield from minimizer_keys(sub, start, length, low, high)
+        return
+    for threshold in range(LEAST_EDITS, MOST_EDITS + 1):
+        near = np.flatnonzero((allowed(length, None) >= threshold) & (allowed(length - threshold, None) <= threshold))
+        if len(near):
+            for at, key, own in segment_keys(sub, start[near], length[near], threshold, low, high, True):
+                yield near[at], key, own
+
+
+def minimizer_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Keys of minimizers, in classes of the shorter line's length; lines just beyond a class have its keys also."""
+    a, longest = SPAN, int(length.max(initial=0))
+    while a < min(high, longest + 1):
+        b = a + a // 4
+        if a < low < b:
+            raise ValueError("a round begins within a class of lengths")
+        lines = np.flatnonzero((length >= a) & (length < b + MOST_EDITS)) if a >= low else np.zeros(0, dtype=np.int64)
+        run = -(-(a - MOST_EDITS) // (MOST_EDITS + 1))  # characters in a row that no edit touches, at least
+        size = min(16, 3 * run // 4)
+        window = run - size + 1
+        if len(lines):
+            count = length[lines] - size + 1
+            line = np.repeat(np.arange(len(lines)), count)
+            place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+            gram = sub.of(start[lines][line] + place, np.full(len(line), size))
+            least = ((gram >> np.uint64(32)) << np.uint64(32)) | np.arange(len(line), dtype=np.uint64)
+            width = 1
+            while width < window:
+                step = min(width, window - width)
+                least = np.minimum(least[:-step], least[step:])
+                width += step
+            whole = place[: len(least)] + window <= count[line[: len(least)]]
+            chosen = np.unique((least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            for side in (-1, 1):
+                bucket = (place[chosen] + side * (MOST_EDITS // 2)) // PLACES
+                new = np.ones(len(chosen), dtype=bool) if side < 0 else bucket != (place[chosen] - MOST_EDITS // 2) // PLACES
+                key = mixed(gram[chosen[new]] ^ mixed((bucket[new] * 4096 + a * (1 << 30)).astype(np.uint64))).view(np.int64)
+                yield lines[line[chosen[new]]], key, True
+        a = b
+
+
 def line_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(lines, keys, indexed): keys of each line's own segments, then of the substrings it probes for shorter lines' ones."""
-    sub = Substrings(codes)
+    return segment_keys(Substrings(codes), start, length, threshold)
+
+
+def segment_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, threshold: int, low: int = 0, high: int = 1 << 40, tied: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """As ``line_keys``, for shorter lines of ``low`` to ``high - 1`` characters; ``tied``: that allow just this many edits."""
 
     def key(of_length: np.ndarray, i: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         return mixed(sub.of(at, size) ^ mixed(of_length.astype(np.uint64) * np.uint64(64) + np.uint64(i))).view(np.int64)
 
-    every = np.arange(len(start))
+    def meant(short: np.ndarray) -> np.ndarray:
+        return (short >= low) & (short < high) & (not tied or allowed(short, None) == threshold)
+
+    every = np.flatnonzero(meant(length))
     for i in range(threshold + 1):
-        at, size = segment(length, i, threshold)
-        yield every, key(length, i, start + at, size), True
+        at, size = segment(length[every], i, threshold)
+        yield every, key(length[every], i, start[every] + at, size), True
     for gap in range(threshold + 1):
         short = length - gap
+        some = meant(short)
         for i in range(threshold + 1):
             at, size = segment(short, i, threshold)
             for shift in range(max(-i, gap - (threshold - i)), min(i, gap + threshold - i) + 1):
                 if gap == 0 and shift == 0:
                     continue  # that is the line's own segment
-                can = (short > threshold) & (at + shift >= 0) & (at + shift + size <= length)
-                yield every[can], key(short[can], i, (start + at + shift)[can], size[can]), False
+                can = some & (short > threshold) & (at + shift >= 0) & (at + shift + size <= length)
+                yield np.flatnonzero(can), key(short[can], i, (start + at + shift)[can], size[can]), False
 
 
-def within(a: list[np.ndarray], b: list[np.ndarray], threshold: int) -> np.ndarray:
-    """Whether each pair (characters of a and b) is within the threshold.
+def within(a: list[np.ndarray], b: list[np.ndarray], threshold: int | None) -> np.ndarray:
+    """Whether each pair (characters of a and b) is within the threshold (None: within the edits its length allows).
 
     The band of 2 * threshold + 1 diagonals is one machine word a pair. A column's word is updated for all pairs at
     once: first along the lowest diagonal of the band, then along the last row.
@@ -100,11 +181,12 @@ def within(a: list[np.ndarray], b: list[np.ndarray], threshold: int) -> np.ndarr
     a, b = [y if s else x for x, y, s in zip(a, b, swap, strict=True)], [x if s else y for x, y, s in zip(a, b, swap, strict=True)]
     m_len, n_len = np.maximum(m_len, n_len), np.minimum(m_len, n_len)  # a is the longer
     out = np.zeros(n, dtype=bool)
+    edits = allowed(n_len, threshold)
     order = np.argsort(m_len, kind="stable")
-    for part in np.array_split(order, max(1, -(-n // 4096))):
+    for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(m_len[order] + 64) // CELLS)) + 1):
         if len(part):
-            out[part] = _within([a[i] for i in part], [b[i] for i in part], m_len[part], n_len[part], threshold)
-    return out & (m_len - n_len <= threshold)
+            out[part] = _within([a[i] for i in part], [b[i] for i in part], m_len[part], n_len[part], most(threshold)) <= edits[part]
+    return out & (m_len - n_len <= edits)
 
 
 def _within(a: list[np.ndarray], b: list[np.ndarray], m: np.ndarray, n: np.ndarray, t: int) -> np.ndarray:
@@ -122,8 +204,16 @@ def _within(a: list[np.ndarray], b: list[np.ndarray], m: np.ndarray, n: np.ndarr
     up = np.full(len(a), np.uint64(((1 << (t + 1)) - 1) << t), dtype=np.uint64)
     down = np.zeros(len(a), dtype=np.uint64)
     cost = np.minimum(m, t)  # of row j + t in column j; of row m once that is passed
+    out, left = np.full(len(a), t + 1), np.arange(len(a))
     for j in range(1, int(n.max(initial=0)) + 1):
-        equal = np.zeros(len(a), dtype=np.uint64)
+        if j % 16 == 0:  # the cost falls by 2 * t at most from here
+            keep = cost <= 3 * t
+            if 2 * keep.sum() < len(keep):
+                rows, columns = rows[:, keep], columns[:, keep]
+                up, down, cost, m, n, left = (x[keep] for x in (up, down, cost, m, n, left))
+            if not len(left):
+                break
+        equal = np.zeros(len(left), dtype=np.uint64)
         for k in range(2 * t + 1):
             equal |= (rows[j - 1 + k] == columns[j - 1]).astype(np.uint64) << np.uint64(k)
         same = ((((equal & up) + up) ^ up) | equal | down) & full
@@ -138,7 +228,8 @@ def _within(a: list[np.ndarray], b: list[np.ndarray], m: np.ndarray, n: np.ndarr
         cost -= along & ((falls >> last) & one == 1)
         up = (falls | ~((same >> one) | rises)) & full
         down = (same >> one) & rises
-    return cost <= t
+    out[left] = cost
+    return out
 
 
 LINE = "h1 long, h2 long"
@@ -174,20 +265,24 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.mapInArrow(run, f"id long, line long, {LINE}")
 
 
-def keyed(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """``key, own, h1, h2``: the keys of every line, each line once a batch."""
+def keyed(docs: DataFrame, threshold: int | None, min_chars: int, low: int = 0, high: int = 1 << 40) -> DataFrame:
+    """``key, own, h1, h2``: the keys of every line in a round from ``low`` to ``high``, each line once a batch."""
+    least, beyond = max(low, min_chars), high + most(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in bpe.blocks(whole, "text", KEY_BYTES):
                 lines, _, _ = split_lines(batch)
-                distinct = pc.unique(lines.filter(pc.greater_equal(pc.utf8_length(lines), min_chars))).to_pylist()
+                size = pc.utf8_length(lines)
+                distinct = pc.unique(lines.filter(pc.and_(pc.greater_equal(size, least), pc.less(size, beyond)))).to_pylist()
                 if not distinct:
                     continue
                 h = hashes(distinct)
                 length = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
                 codes = np.frombuffer("".join(distinct).encode("utf-32-le"), dtype=np.uint32)
-                for at, key, own in line_keys(codes, np.cumsum(length) - length, length, threshold):
+                start = np.cumsum(length) - length
+                found = keys_by_length(codes, start, length, low, high) if threshold is None else line_keys(codes, start, length, threshold)
+                for at, key, own in found:
                     yield pa.record_batch([pa.array(key), pa.array(np.full(len(at), own)), pa.array(h[at, 0]), pa.array(h[at, 1])], names=["key", "own", "h1", "h2"])
 
     return docs.mapInArrow(run, f"key long, own boolean, {LINE}")
@@ -270,7 +365,7 @@ def characters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.int32)
 
 
-def later_of(pairs: DataFrame, threshold: int) -> DataFrame:
+def later_of(pairs: DataFrame, threshold: int | None) -> DataFrame:
     """``h1, h2`` of the line of each verified pair (structs a and b of h1, h2, id, line, text) that occurs later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +378,7 @@ def later_of(pairs: DataFrame, threshold: int) -> DataFrame:
     return pairs.mapInArrow(run, LINE)
 
 
-def later_in(members: DataFrame, threshold: int) -> DataFrame:
+def later_in(members: DataFrame, threshold: int | None) -> DataFrame:
     """``h1, h2`` of the lines of ``members(key, size, h1, h2, id, line, text)`` with an earlier neighbour under their key."""
     parts = F.ceil(F.col("size") / BLOCK).cast("long")
     dealt = members.withColumn("side", F.pmod(F.xxhash64("h1"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
@@ -293,21 +388,27 @@ def later_in(members: DataFrame, threshold: int) -> DataFrame:
         for table in groups(batches, ["key", "p", "q"]):
             rows = sorted(table.to_pylist(), key=lambda r: (r["id"], r["line"]))
             codes = [characters(r["text"]) for r in rows]
-            late = []
-            for i in range(1, len(rows)):
-                near = [j for j in range(i) if abs(len(codes[i]) - len(codes[j])) <= threshold]
-                if near and within([codes[i]] * len(near), [codes[j] for j in near], threshold).any():
-                    late.append(rows[i])
+            size = np.array([len(x) for x in codes])
+            after, before = np.tril_indices(len(rows), -1)
+            some = np.abs(size[after] - size[before]) <= allowed(np.minimum(size[after], size[before]), threshold)
+            after, before = after[some], before[some]
+            found = np.zeros(len(rows), dtype=bool)
+            for k in range(0, len(after), 1 << 14):
+                a, b = after[k : k + (1 << 14)], before[k : k + (1 << 14)]
+                open_ = ~found[a]
+                a, b = a[open_], b[open_]
+                found[a[within([codes[i] for i in a], [codes[j] for j in b], threshold)]] = True
+            late = [rows[i] for i in np.flatnonzero(found)]
             yield pa.record_batch([pa.array([x[c] for x in late], pa.int64()) for c in ("h1", "h2")], names=["h1", "h2"])
 
     return dealt.repartition(tasks(dealt), "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, LINE)
 
 
-def removals(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+def removals(docs: DataFrame, threshold: int | None, min_chars: int) -> DataFrame:
     """``id, gone``: for each document that loses lines, their numbers and hashes."""
     places = stored(occurrences(docs, min_chars))
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("x")).select("h1", "h2", "x.*")
-    pairs = stored(met(keyed(docs, threshold, min_chars)))
+    pairs = reduce(DataFrame.union, [stored(met(keyed(docs, threshold, min_chars, a, b)), bulky=threshold is None) for a, b in rounds(threshold)])
     listed = pairs.where("b1 IS NOT NULL").select("a1", "a2", "b1", "b2").distinct()
     alone = pairs.where("b1 IS NULL").select("key", F.col("a1").alias("h1"), F.col("a2").alias("h2"))
     wanted = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")))).alias("x")).select("x.*").where("h1 IS NOT NULL").distinct()
@@ -324,9 +425,11 @@ def removals(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     return places.join(judged, ["h1", "h2"]).where(repeated).groupBy("id").agg(F.collect_list(F.struct("line", "h1")).alias("gone"))
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: int | None = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its text less the removed lines, and ``_n_lines`` and ``_n_removed`` added.
 
+    A threshold of None allows edits by the length of the shorter line.
+
     A null text stays null (no lines); an empty one has one empty line. Rows with a null id take no part and stay as
     they are; rows that share an id are one document: an equal line at the same place of both counts as one occurrence.
     Other columns stay, whatever their names but ``_id`` and ``_gone``; an empty table stays empty.
@@ -361,5 +464,5 @@ def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row a document: ``doc_id, n_lines, n_removed, kept_sha256`` (of the text left; null: empty)."""
-    clean = deduplicate(docs.select("doc_id", "text"))
+    clean = deduplicate(docs.select("doc_id", "text"), None)
     return clean.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

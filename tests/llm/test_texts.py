@@ -251,3 +251,25 @@ def test_banded_distance():
         a = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(800)]
         b = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(800)]
         assert linededup.within([code(x) for x in a], [code(x) for x in b], t).tolist() == [edit_distance(x, y) <= t for x, y in zip(a, b, strict=True)]
+
+
+def test_edits_grow_with_the_length_of_lines(spark):
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcdefghij klmno") for _ in range(n)) for n in (24, 35, 58, 79, 80, 94, 111, 127, 130, 159, 160, 199, 203, 260, 311, 600, 1300)]
+
+    def edited(s, n):
+        s = list(s)
+        for _ in range(n):
+            k = rng.randrange(len(s))
+            s[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+        return "".join(s)
+
+    given = [(i, "\n".join(edited(x, rng.randint(0, 10)) for x in rng.sample(pool, 6))) for i in range(40)]
+    given += [(100 + i, x + "\n" + edited(x, max(2, min(8, len(x) // 10)))) for i, x in enumerate(pool)]
+    places = [(i, k, x) for i, t in given for k, x in enumerate(t.split("\n")) if len(x) >= 20]
+    near = lambda x, y: abs(len(x) - len(y)) <= 8 and edit_distance(x, y) <= max(2, min(8, min(len(x), len(y)) // 10))
+    gone = {(i, k) for n, (i, k, x) in enumerate(places) if any(near(x, y) for _, _, y in places[:n])}
+    lost = {i: sum(j == i for j, _ in gone) for i, _ in given}
+    got = linededup.digest(documents(spark, given)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == lost and len(gone) > 100
+    assert {r.doc_id: r.kept_sha256 for r in got} == {i: sha("\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in given}

@@ -10,7 +10,7 @@ of characters that the edits leave alone has a guaranteed length, and equal runs
 at nearly the same place, so nothing is missed. Keys are made in rounds by the shorter line's length, to bound the disk.
 
 A line occurrence is removed if an equal or linked line occurs earlier (by document id, then place); lines of fewer than
-``min_chars`` characters are neither compared nor removed. Equal lines are combined before anything else. Keys with many
+``min_chars`` characters aren't joined by edits, and unless ``short`` is set not compared at all. Equal lines are combined before anything else. Keys with many
 lines are dealt in blocks, whose tasks return the lines that have an earlier neighbour, so nothing grows with pairs.
 """
 
@@ -249,14 +249,16 @@ def hashes(lines: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=16).digest() for x in lines), dtype=np.int64).reshape(-1, 2)
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``id, line, h1, h2`` of every line that is long enough."""
+def occurrences(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+    """``id, line, h1, h2`` of every line that is long enough; ``short``: and of every shorter one that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in bpe.blocks(whole, "text"):
                 lines, row, number = split_lines(batch)
                 long = np.asarray(pc.greater_equal(pc.utf8_length(lines), min_chars))
+                if short:
+                    long = long | np.asarray(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(lines)), 0))
                 coded = lines.filter(pa.array(long)).dictionary_encode()
                 h = hashes(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
                 ids = batch.column("id").take(pa.array(row[long]))
@@ -404,9 +406,9 @@ def later_in(members: DataFrame, threshold: int | None) -> DataFrame:
     return dealt.repartition(tasks(dealt), "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, LINE)
 
 
-def removals(docs: DataFrame, threshold: int | None, min_chars: int) -> DataFrame:
+def removals(docs: DataFrame, threshold: int | None, min_chars: int, short: bool = False) -> DataFrame:
     """``id, gone``: for each document that loses lines, their numbers and hashes."""
-    places = stored(occurrences(docs, min_chars))
+    places = stored(occurrences(docs, min_chars, short))
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("x")).select("h1", "h2", "x.*")
     pairs = reduce(DataFrame.union, [stored(met(keyed(docs, threshold, min_chars, a, b)), bulky=threshold is None) for a, b in rounds(threshold)])
     listed = pairs.where("b1 IS NOT NULL").select("a1", "a2", "b1", "b2").distinct()
@@ -425,10 +427,11 @@ def removals(docs: DataFrame, threshold: int | None, min_chars: int) -> DataFram
     return places.join(judged, ["h1", "h2"]).where(repeated).groupBy("id").agg(F.collect_list(F.struct("line", "h1")).alias("gone"))
 
 
-def deduplicate(docs: DataFrame, threshold: int | None = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: int | None = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """Every row with its text less the removed lines, and ``_n_lines`` and ``_n_removed`` added.
 
-    A threshold of None allows edits by the length of the shorter line.
+    A threshold of None allows edits by the length of the shorter line. ``short``: lines under ``min_chars`` that repeat
+    an equal one go also, unless they are blank.
 
     A null text stays null (no lines); an empty one has one empty line. Rows with a null id take no part and stay as
     they are; rows that share an id are one document: an equal line at the same place of both counts as one occurrence.
@@ -436,7 +439,7 @@ def deduplicate(docs: DataFrame, threshold: int | None = THRESHOLD, min_chars: i
     """
     key = F.col(f"`{id_col}`").cast("long")
     slim = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    gone = removals(slim, threshold, min_chars).select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
+    gone = removals(slim, threshold, min_chars, short).select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
     joined = docs.join(gone.hint("shuffle_hash"), key == F.col("_id"), "left")
     others = [f for f in docs.schema.fields if f.name != text_col]
 
@@ -464,5 +467,5 @@ def deduplicate(docs: DataFrame, threshold: int | None = THRESHOLD, min_chars: i
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row a document: ``doc_id, n_lines, n_removed, kept_sha256`` (of the text left; null: empty)."""
-    clean = deduplicate(docs.select("doc_id", "text"), None)
+    clean = deduplicate(docs.select("doc_id", "text"), None, short=True)
     return clean.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

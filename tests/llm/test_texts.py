@@ -273,3 +273,11 @@ def test_edits_grow_with_the_length_of_lines(spark):
     got = linededup.digest(documents(spark, given)).collect()
     assert {r.doc_id: r.n_removed for r in got} == lost and len(gone) > 100
     assert {r.doc_id: r.kept_sha256 for r in got} == {i: sha("\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in given}
+
+
+def test_short_lines_that_repeat_are_removed(spark):
+    given = [(1, "And ornd.\n\nWh the.\n \nAnd ornd."), (2, "Wh the.\n\n\t\nWh thee."), (3, "x"), (4, "x"), (5, "　")]
+    got = linededup.digest(documents(spark, given)).collect()
+    want = {1: "And ornd.\n\nWh the.\n ", 2: "\n\t\nWh thee.", 3: "x", 4: "", 5: "　"}
+    assert {r.doc_id: r.kept_sha256 for r in got} == {i: sha(t) for i, t in want.items()}
+    assert {r.doc_id: r.n_removed for r in got} == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0}

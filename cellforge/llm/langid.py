@@ -55,6 +55,8 @@ class Model(NamedTuple):
     families: list[Separator]
     languages: list[Separator]
     family_of: dict[str, str]
+    #: For each language, by bin: log of its share of trigrams against an even share, divided by the mean over its own.
+    profiles: dict[str, np.ndarray] = {}
 
 
 def bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +131,32 @@ def separator(over: str, x: np.ndarray, under: str, y: np.ndarray, rounds: int =
 def fit(labelled: list[tuple[str, np.ndarray]], families: dict[str, str] = FAMILIES) -> Model:
     """All one-versus-one separators between families, and between the languages of each family."""
     family_of = {lang: families.get(lang, lang) for lang, _ in labelled}
+    profiles = {lang: profile(rows) for lang, rows in labelled}
     kin: dict[str, list[np.ndarray]] = {}
     for lang, rows in labelled:
         kin.setdefault(family_of[lang], []).append(rows)
     grouped = [(f, np.vstack(rows)) for f, rows in sorted(kin.items())]
     between = [separator(a, x, b, y) for (a, x), (b, y) in itertools.combinations(grouped, 2)]
     within = [separator(a, x, b, y) for (a, x), (b, y) in itertools.combinations(labelled, 2) if family_of[a] == family_of[b]]
-    return Model(between, within, family_of)
+    return Model(between, within, family_of, profiles)
+
+
+def profile(rows: np.ndarray) -> np.ndarray:
+    mean = rows.mean(axis=0, dtype=np.float64)
+    log = np.log(0.99 * mean * BINS + 0.01)
+    return np.append(log / max(1e-6, float(mean @ log)), 0).astype(np.float32)
+
+
+def likeness(texts: pa.Array, model: Model) -> np.ndarray:
+    """How much each text's trigrams are like those of the learned language they fit best: about 1 for that language,
+    below 0 for one that was not learned. Short texts have the benefit of the doubt: 2 / sqrt(trigrams) is added."""
+    found, at = bins(texts)
+    best = np.full(len(texts), -np.inf)
+    full = np.flatnonzero(np.diff(at) > 0)
+    sizes = np.maximum(1, np.diff(at)[full] - 2)
+    for p in model.profiles.values():
+        best[full] = np.maximum(best[full], np.add.reduceat(p[found], at[:-1][full], dtype=np.float64) / sizes + 2 / np.sqrt(sizes))
+    return best
 
 
 def chosen(names: list[str], separators: list[Separator], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +200,8 @@ def scored(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     return out.tolist(), score
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``lang_score`` to every row.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """Add ``lang_pred`` and ``lang_score`` to every row. A text whose likeness is below ``least`` is ``und`` also.
 
     A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned. Very short
     texts get whatever their few trigrams say. Repeated rows are scored alike; other columns stay as they are.
@@ -195,7 +216,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 lang = np.full(len(texts), UNDETERMINED, dtype=object)
                 score = np.zeros(len(texts))
                 if model.family_of and usable.any():
-                    lang[usable], score[usable] = scored(texts.filter(pa.array(usable)), model)
+                    chosen_texts = texts.filter(pa.array(usable))
+                    lang[usable], score[usable] = scored(chosen_texts, model)
+                    if least is not None:
+                        strange = np.flatnonzero(usable)[likeness(chosen_texts, model) < least]
+                        lang[strange], score[strange] = UNDETERMINED, 0
                 columns = [batch.column(f.name) for f in fields]
                 yield pa.record_batch([*columns, pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[*(f.name for f in fields), "lang_pred", "lang_score"])
 

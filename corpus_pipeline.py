@@ -14,11 +14,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A document whose language is determined with less than this score is rejected.
 LEAST_SCORE = 0.1
+#: And one whose trigrams are less like those of every learned language: foreign texts and letter junk are below.
+LEAST_LIKENESS = -0.15
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or in no language that was learned, go."""
-    judged = langid.predict(docs, langid.learned(docs))
+    judged = langid.predict(docs, langid.learned(docs), least=LEAST_LIKENESS)
     return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE)).select(docs.columns)
 
 

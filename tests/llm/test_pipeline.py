@@ -65,3 +65,17 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert {(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
     assert len(single) < len(cut) < len(kept) < len(rows)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "near-duplicates", "secret scan", "packing"]
+
+
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "xqzj kvwq zzxk qjvx wkqz jxqv zkwj qxvz kjzq wxvk " * 4,
+    ]
+    odd = [(9001 + k, t, None, "s", 0) for k, t in enumerate(foreign)] + [(9100, "All human beings are born free and equal in dignity and rights.", None, "s", 0)]
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.union(spark.createDataFrame(odd, docs.schema)), "").collect()}
+    with_letter = {r["doc_id"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or "")}
+    assert kept == with_letter | {9100}

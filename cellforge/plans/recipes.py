@@ -108,7 +108,7 @@ OPERATIONS: dict[str, Callable[[Raster, Parameters], Raster | DataFrame]] = {
     "slope": lambda s, p: like(s, focal.slope(near(s), s[1].cell_width, s[1].cell_height, p.get("units", "degrees").lower() == "percent", float(p.get("zFactor", "1")))),
     "aspect": lambda s, p: like(s, focal.aspect(near(s), s[1].cell_width, s[1].cell_height)),
     "hillshade": lambda s, p: like(s, focal.hillshade(near(s), float(p.get("azimuth", "315")), float(p.get("altitude", "45")), s[1].cell_width, s[1].cell_height, float(p.get("zFactor", "1")))),
-    "swissrelief": lambda s, p: like(s, focal.multi_hillshade(near(s), float(p.get("altitude", "45")), s[1].cell_width, s[1].cell_height, float(p.get("zFactor", "1")))),
+    "multihillshade": lambda s, p: like(s, focal.multi_hillshade(near(s), float(p.get("altitude", "45")), s[1].cell_width, s[1].cell_height, float(p.get("zFactor", "1")))),
     "curvature": lambda s, p: like(s, focal.curvature(near(s), p.get("kind", "general").lower(), s[1].cell_width, s[1].cell_height)),
     "flowdir": lambda s, p: like(s, directions(s)),
     "flowacc": lambda s, p: like(s, hydro.flow_accumulation(directions(s))),

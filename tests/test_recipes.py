@@ -49,3 +49,7 @@ def test_project_round_trip_and_resolution(spark, tmp_path):
     (tmp_path / "n.rfproj").write_text('{"version": 3}')
     with pytest.raises(ValueError):
         recipes.Project.load(str(tmp_path / "n.rfproj"))
+
+
+def test_relief_is_not_claimed_before_it_is_built():
+    assert "swissrelief" not in recipes.OPERATIONS and "multihillshade" in recipes.OPERATIONS

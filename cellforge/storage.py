@@ -2,45 +2,62 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes the shuffle files of a query at its end where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset (tests, a single machine)."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset, on a single machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cellforge-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
 
 
-def stored(df: DataFrame, bulky: bool = False) -> DataFrame:
+def stored(df: DataFrame, after: Iterable[DataFrame] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Lineage is cut by a copy that outlives its executor: losing one costs tasks and not the job. ``bulky``: what was
-    shuffled for it is large, so wait until it is released.
+    Lineage is cut by a copy that outlives its executor: losing one costs tasks and not the job. What was shuffled for
+    it is deleted with the end of the write, and so are the stored results ``after``, which nothing may read any more.
+    The copy goes when the driver ends, if not before.
     """
     spark, schema = df.sparkSession, df.schema
     at = f"{shared_folder(spark).rstrip('/')}/cellforge-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    del df  # else the plan, and with it its shuffle files, outlives the next line
-    released(spark, 2.0 if bulky else 0.0)
-    return spark.read.schema(schema).parquet(at)
-
-
-def released(spark: SparkSession, wait: float = 0.0) -> None:
-    """Let Spark delete the shuffle files of finished plans now; else they stay until the driver next collects garbage.
-
-    The bridge drops its references to dead Python objects in a thread that looks about once a second: hence the wait.
-    """
-    gc.collect()
-    time.sleep(wait)
-    spark._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    _filesystem(spark, at).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(at))
+    for x in after:
+        discard(x)
+    out = spark.read.schema(schema).parquet(at)
+    _PLACES[out] = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the copy behind a stored result that nothing reads any more."""
+    at = _PLACES.pop(df, None)
+    if at is not None:
+        _filesystem(df.sparkSession, at).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(at), True)
+
+
+def _filesystem(spark: SparkSession, at: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())

@@ -410,7 +410,7 @@ def removals(docs: DataFrame, threshold: int | None, min_chars: int, short: bool
     """``id, gone``: for each document that loses lines, their numbers and hashes."""
     places = stored(occurrences(docs, min_chars, short))
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("x")).select("h1", "h2", "x.*")
-    pairs = reduce(DataFrame.union, [stored(met(keyed(docs, threshold, min_chars, a, b)), bulky=threshold is None) for a, b in rounds(threshold)])
+    pairs = reduce(DataFrame.union, [stored(met(keyed(docs, threshold, min_chars, a, b))) for a, b in rounds(threshold)])
     listed = pairs.where("b1 IS NOT NULL").select("a1", "a2", "b1", "b2").distinct()
     alone = pairs.where("b1 IS NULL").select("key", F.col("a1").alias("h1"), F.col("a2").alias("h2"))
     wanted = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")))).alias("x")).select("x.*").where("h1 IS NOT NULL").distinct()

@@ -179,11 +179,24 @@ def test_substrings_equal_brute_force(spark):
             first.setdefault(w, i)
         edges = np.diff(np.concatenate(([0], covered.astype(int), [0])))
         want.append((i, len(data), int(covered.sum()), int((edges == 1).sum()), sha(np.frombuffer(data, dtype=np.uint8)[~covered].tobytes())))
-    got = collected(substrings.digest(documents(spark, [*given, (None, given[12][1])])), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    table = documents(spark, [*given, (None, given[12][1])])
+    got = collected(substrings.digest(table), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert [r for r in got if r[0] is not None] == sorted(want)
     assert [r[2] for r in got if r[0] is None] == [0]
     assert sum(r[2] > 0 for r in want) > 30
     assert substrings.digest(empty(spark)).count() == 0
+    for block, bucket, common in ((1000, 3000, 1 << 20), (3000, 1000, 2)):  # texts longer than a block; anchors of many blocks
+        small = substrings.strip(table, block=block, bucket=bucket, common=common).where("doc_id IS NOT NULL").collect()
+        cut = [(r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.runs), len(r.runs), sha(bytes(r.kept))) for r in small]
+        assert sorted(cut) == sorted(want)
+
+
+def test_substrings_of_documents_that_share_an_id(spark):
+    long = "".join(f"{k * k} " for k in range(60))
+    given = [(1, long), (2, long), (2, long), (3, long + "x"), (3, "other"), (4, "y" + long)]
+    got = collected(substrings.strip(documents(spark, given)), "doc_id", "n_bytes", "kept")
+    n = len(long)
+    assert got == sorted([(1, n, long.encode()), (2, n, b""), (2, n, b""), (3, n + 1, (long + "x").encode()), (3, 5, b"other"), (4, n + 1, b"y")])
 
 
 def test_anchors_do_not_depend_on_chunks():

@@ -31,7 +31,7 @@ GRAM = 24
 #: Bytes of documents in a block, and of documents whose anchors one bucket gets.
 BLOCK, BUCKET = 1 << 22, 1 << 23
 #: Bytes of pieces whose suffixes are ordered at once; all pieces of an anchor stay together.
-ORDERED = 1 << 21
+ORDERED = 1 << 18
 #: Blocks from which on an anchor's strings are sent one by one.
 COMMON = 4096
 
@@ -56,7 +56,7 @@ def string_hashes(w: np.ndarray, at: np.ndarray | slice, size: int, n: int) -> n
     return mixed(total)
 
 
-def anchors(data: np.ndarray, at: np.ndarray, size: int = SIZE, gram: int = GRAM, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, at: np.ndarray, size: int = SIZE, gram: int = GRAM, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, number of strings, hash of the anchor) of the pieces of documents ``data[at[i]:at[i + 1]]``."""
     if not 8 <= gram <= size:
         raise ValueError("grams have 8 bytes or more, and no more than the strings")
@@ -65,9 +65,10 @@ def anchors(data: np.ndarray, at: np.ndarray, size: int = SIZE, gram: int = GRAM
     for k in range(1, size):
         tail = at[1:] - k
         starts[tail[tail >= at[:-1]]] = False
-    first, anchor, hashes = [[np.zeros(0, dtype=t)] for t in (np.int64, np.int64, np.uint64)]
+    first, index, hashes = [[np.zeros(0, dtype=t)] for t in (np.int64, np.int64, np.uint64)]
     low = np.uint64((1 << 25) - 1)
-    for base in range(0, len(data), chunk):
+    count, last_start, last_place = 0, -2, -1
+    for base in range(0, len(data), chunk):  # of a size that stays in the processor's cache
         part = data[base : base + chunk + size - 1]
         n = len(part)
         h = string_hashes(octets(part), slice(None), gram, n)
@@ -79,15 +80,19 @@ def anchors(data: np.ndarray, at: np.ndarray, size: int = SIZE, gram: int = GRAM
                 least[: n - step] = np.minimum(least[: n - step], least[step:])
             reach += step
         start = np.flatnonzero(starts[base : base + chunk])
+        if not len(start):
+            continue
         place = (least[start] & low).astype(np.int64)
-        first.append(base + start)
-        anchor.append(base + place)
-        hashes.append(h[place])
-    start, place, h = np.concatenate(first), np.concatenate(anchor), np.concatenate(hashes)
-    new = np.ones(len(start), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
-    head = np.flatnonzero(new)
-    return start[head], np.diff(np.append(head, len(start))), mixed(h[head] + np.uint64(1))  # mixed again: the least of several aren't uniform
+        new = np.ones(len(start), dtype=bool)
+        new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+        new[0] = base + start[0] != last_start + 1 or base + place[0] != last_place
+        head = np.flatnonzero(new)
+        first.append(base + start[head])
+        index.append(count + head)
+        hashes.append(h[place[head]])
+        count, last_start, last_place = count + len(start), base + int(start[-1]), base + int(place[-1])
+    start, head, h = np.concatenate(first), np.concatenate(index), np.concatenate(hashes)
+    return start, np.diff(np.append(head, count)), mixed(h + np.uint64(1))  # mixed again: the least of several aren't uniform
 
 
 class Block:
@@ -117,8 +122,8 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def distinct_hashes(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different hashes in order, and whether each is in several rows."""
-    order = np.lexsort((row, h))
+    """The different hashes in order, and whether each is in several rows, which come in order."""
+    order = np.argsort(h, kind="stable")
     h, row = h[order], row[order]
     head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, dtype=np.int64)
     other = np.zeros(len(h), dtype=np.int64)
@@ -213,7 +218,7 @@ def sent_pieces(docs: DataFrame, marks: DataFrame, size: int, gram: int, buckets
         raw = block.data.tobytes()
         coded = pa.array([raw[i:j] for i, j in zip(begin.tolist(), (begin + length).tolist(), strict=True)], pa.binary()).dictionary_encode()
         code, n = np.asarray(coded.indices), len(coded.dictionary)
-        order = np.lexsort((begin, row, code))  # rows are in order of ids
+        order = np.argsort(code, kind="stable")  # of equal pieces the rows, and with them the ids, are in order
         _, a, b = cuts(code[order])
         ids = block.ids[row[order]]
         least = np.repeat(ids[a], b - a)
@@ -244,23 +249,33 @@ def sent_pieces(docs: DataFrame, marks: DataFrame, size: int, gram: int, buckets
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes in order of their first ``depth`` symbols (0 to 256) at least, by prefix doubling."""
     n = len(symbols)
-    key = np.zeros(n, dtype=np.int64)
-    padded = np.append(symbols, np.zeros(8, dtype=symbols.dtype))
-    for k in range(7):
-        key = key * 257 + padded[k : k + n]
-    reach = 7
+    occurs = np.bincount(symbols, minlength=1) > 0
+    base = int(occurs.sum()) + 1
+    codes = np.append((np.cumsum(occurs))[symbols], np.zeros(64, dtype=np.int64))  # 0 stands for the end
+    key, reach = codes[:n].copy(), 1
+    while base ** (reach + 1) < 1 << 63 and reach < 64:
+        key *= base
+        key += codes[reach : reach + n]
+        reach += 1
     while True:
         order = np.argsort(key)
         if reach >= depth:
             return order
-        rank = np.empty(n + 1, dtype=np.int64)
         ordered = key[order]
-        rank[order] = np.cumsum(np.concatenate(([1], ordered[1:] != ordered[:-1])))
-        rank[n] = 0
-        if rank[order[-1]] == n:
+        ranks = np.empty(n, dtype=np.int64)
+        ranks[0] = 1
+        np.cumsum(ordered[1:] != ordered[:-1], out=ranks[1:])
+        ranks[1:] += 1
+        if ranks[-1] == n:
             return order
-        key = rank[:n] * (n + 1) + rank[np.minimum(np.arange(n) + reach, n)]
-        reach *= 2
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = ranks
+        key, one = rank.copy(), reach
+        for k in (1, 2):  # as many ranks as an integer has room for
+            if (n + 1) ** (k + 1) < 1 << 63 and reach < depth:
+                key *= n + 1
+                key[: max(0, n - k * one)] += rank[k * one :]
+                reach += one
 
 
 def least_ids(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, size: int = SIZE) -> np.ndarray:

@@ -35,6 +35,33 @@ def test_minhash_large_groups_and_empty_table(spark, monkeypatch):
     assert minhash.deduplicate(empty(spark)).count() == 0
 
 
+def test_minhash_of_documents_that_share_an_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    got = collected(minhash.deduplicate(documents(spark, [(5, a), (5, b), (8, a + " x"), (9, b + " more"), (9, b + " more"), (11, "c d e f g h")])), "doc_id", "component_id")
+    assert got == [(5, 5), (5, 5), (8, 5), (9, 5), (9, 5), (11, 11)]
+    got = collected(minhash.deduplicate(documents(spark, [(3, a), (5, a), (5, b), (7, b)])), "doc_id", "component_id", "kept")
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False)]
+
+
+def test_minhash_finds_nearly_all_links_of_a_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+    where = {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    shared = {}
+    for ids in where.values():
+        for k, i in enumerate(ids):
+            for j in ids[k + 1 :]:
+                shared[i, j] = shared.get((i, j), 0) + 1
+    links = {p for p, n in shared.items() if 100 * n >= 75 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    comp = component_of(sorted(sets), lambda i, j: (i, j) in links or (j, i) in links)
+    got = dict(collected(minhash.deduplicate(docs), "doc_id", "component_id"))
+    assert len(links) > 50
+    assert sum(got[i] == comp[i] for i in comp) >= 0.99 * len(comp) and all(got[i] >= comp[i] for i in comp)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 62, size=3000, dtype=np.uint64)
@@ -80,6 +107,23 @@ def test_embeddings_equal_brute_force(spark):
     assert embdedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_embeddings_that_share_an_id_and_recall(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = numbered(spark, [(i, v, 1, 7, 1) for i, v in ((5, a), (5, b), (8, a), (3, b), (9, [0.0, 0.0, 1.0]), (None, a))])
+    got = collected(embdedup.deduplicate(df), "vec_id", "n_links", "component_id", "kept")
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False), (8, 1, 3, False), (9, 0, 9, True), (None, 0, None, True)]
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x[1000:2000] = x[:1000] + rng.normal(size=(1000, 64)) * 0.3  # cosines about the threshold
+    x = x.astype(np.float32)
+    found = {r.vec_id: r.n_links for r in embdedup.deduplicate(numbered(spark, [(i, v.tolist(), 1, 7, 1) for i, v in enumerate(x)])).collect()}
+    x = x.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert sum(found.values()) >= 0.99 * want.sum() > 500
+    assert all(found[i] <= n for i, n in enumerate(want))
+
+
 def test_top_k_equals_brute_force(spark):
     given, odd, df = tables(spark)
     ids = np.array([i for i, *_ in given] + [1003])

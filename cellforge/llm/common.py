@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ..storage import stored
+from ..storage import discard, stored
 
-__all__ = ["gathered", "groups", "mixed", "stored", "tasks"]
+__all__ = ["discard", "fresh", "gathered", "groups", "mixed", "stored", "tasks"]
 
 
 def tasks(df: DataFrame) -> int:
@@ -19,6 +19,18 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, whatever the case: the given ones, with underscores added as needed."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def gathered(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate the ragged rows ``values[offsets[r]:offsets[r + 1]]`` in the order of ``rows``."""
     start = offsets[:-1][rows]

@@ -134,7 +134,28 @@ def test_top_k_equals_brute_force(spark):
         others = np.flatnonzero(ids != ids[q])
         best = others[np.lexsort((ids[others], -s[others]))][:5]
         want += [(int(ids[q]), k + 1, int(ids[j]), int(s[j])) for k, j in enumerate(best)]
-    got = collected(knn.top_k(df, F.col("id") % 50 == 0, count=6, block=16), "query_id", "rank", "vec_id", "score")
-    assert got == sorted(want)
+    two = v[0][:2]  # vectors of two components have each other only
+    for block in (16, 4096):
+        got = collected(knn.top_k(df, F.col("id") % 50 == 0, block=block), "query_id", "rank", "vec_id", "score")
+        assert got == sorted(want)
     assert knn.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
     assert knn.top_k(df.where("vec_id <= 10"), F.col("id") % 50 == 0).count() == 2
+    short = numbered(spark, [(50, two.tolist(), 1, 7, 1), (51, [1.0, 2.0], 1, 7, 1), (52, [1.0, 2.0, 3.0], 1, 7, 1), (100, [2.0, 0.0, 1.0], 1, 7, 1)])
+    got = collected(knn.top_k(short, F.col("id") % 50 == 0), "query_id", "rank", "vec_id")
+    assert got == [(50, 1, 51), (100, 1, 52)]
+
+
+def test_top_k_scores_few_pairs(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in rows])
+    v = np.floor(256 * np.array([r.embedding for r in rows], dtype=np.float64)).astype(np.int64)
+    asks = ids % 50 == 0
+    pool = np.random.default_rng(1).permutation(len(ids))[:1024]
+    least = knn.sample_bound(v[asks], ids[pool], v[pool], ids[asks], 5)
+    i, j = knn.reaching(v[asks], v, least, knn.principal(v[pool]), 48)
+    score = v[asks] @ v.T
+    true = np.sort(np.where(ids[asks][:, None] == ids, -(1 << 40), score), axis=1)[:, -5]
+    kept = np.zeros(score.shape, dtype=bool)
+    kept[i, j] = True
+    assert (kept | (score < true[:, None])).all() and (least <= true).all()
+    assert len(i) <= score.size / 3

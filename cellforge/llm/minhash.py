@@ -8,7 +8,9 @@ less and equal, jointly with both set sizes. Plausible pairs make groups, in whi
 are confirmed on full sets.
 
 Documents with equal sets are one class from the start. Buckets and groups are cut into blocks, and what a block returns
-is a spanning forest, so no task holds a whole large group and nothing grows with its pairs.
+is a spanning forest, so no task holds a whole large group and nothing grows with its pairs. In a large group every
+member is first compared with the group's first, which takes one pass; only members that aren't linked to it, mostly few,
+meet all others.
 """
 
 from __future__ import annotations
@@ -147,7 +149,7 @@ def plausible_pairs(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_r
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """``id, n, digest, registers, keys`` of every row with an id."""
+    """``id, mark, n, digest, registers, keys`` of every row; ``mark`` is a hash of the text as given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -157,9 +159,9 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 data = memoryview(np.ascontiguousarray(elements)).cast("B")
                 digest = [hashlib.blake2b(data[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(digest) * BANDS + 1, BANDS), pa.int32()), pa.array(band_keys(registers).reshape(-1)))
-                yield pa.record_batch([batch.column("id"), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary()), keys], names=["id", "n", "digest", "registers", "keys"])
+                yield pa.record_batch([batch.column("id"), batch.column("mark"), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary()), keys], names=["id", "mark", "n", "digest", "registers", "keys"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, registers binary, keys array<long>")
+    return docs.withColumn("mark", F.xxhash64("text")).mapInArrow(run, "id long, mark long, n long, digest binary, registers binary, keys array<long>")
 
 
 def registers_of(column: pa.ChunkedArray) -> np.ndarray:
@@ -169,8 +171,9 @@ def registers_of(column: pa.ChunkedArray) -> np.ndarray:
 def candidates(own: DataFrame, percent: int) -> DataFrame:
     """Plausible links ``a, b`` of the sketches ``own(id, n, registers, keys)``: all, or a forest that spans them."""
     keys = own.select("id", "n", F.posexplode("keys").alias("t", "key"))
-    shared = keys.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(keys.join(shared, ["t", "key"]))
+    # stored first: a join of two stored tables is one whose hot keys Spark splits
+    shared = stored(keys.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1"))
+    members = stored(keys.join(shared, ["t", "key"]), after=[shared])
 
     lists = members.where(F.col("size") <= SMALL).groupBy("t", "key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("of")).select("of").distinct()
     first = lists.select("of", F.posexplode("of").alias("i", "x"))
@@ -230,20 +233,51 @@ def greatest_forest(ids: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
-def confirmed(members: DataFrame, percent: int, words: int) -> DataFrame:
-    """Links ``a, b`` confirmed on full sets that connect what is connected in ``members(group, size, id, text)``."""
+def overlaps(x: frozenset[int], y: frozenset[int], percent: int) -> bool:
+    common = len(x & y)
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def sets_of(table: pa.Table, words: int) -> list[frozenset[int]]:
+    elements, at = shingles(table.column("text").combine_chunks(), words)
+    return [frozenset(elements[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def linked_to_first(members: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links ``a, b`` of the first of each group (its id is the group's) with others in ``members(group, size, id, text)``."""
     parts = F.ceil(F.col("size") / SET_BLOCK).cast("long")
-    dealt = members.withColumn("side", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = dealt.select("group", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "id", "text")
+    first = members.where("id = group").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = members.where("id <> group").withColumn("part", F.pmod(F.xxhash64("id"), parts)).union(first).select("group", "part", "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["group", "part"]):
+            ids, sets = np.asarray(table.column("id")), sets_of(table, words)
+            hub = int(np.flatnonzero(ids == table.column("group")[0].as_py())[0])
+            good = [i for i in range(len(ids)) if i != hub and overlaps(sets[hub], sets[i], percent)]
+            yield pa.record_batch([pa.array(np.full(len(good), ids[hub])), pa.array(ids[good])], names=["a", "b"])
+
+    return dealt.repartition(tasks(dealt), "group", "part").sortWithinPartitions("group", "part").mapInArrow(run, "a long, b long")
+
+
+def confirmed(members: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links ``a, b`` confirmed on full sets that connect what is connected in ``members(group, open, size, id, text, free)``.
+
+    ``free`` tells members that aren't known to be connected with the group's first; ``open`` counts these, ``size`` all.
+    Blocks of free members meet one another and those of the others.
+    """
+    parts, others = F.ceil(F.col("open") / SET_BLOCK).cast("long"), F.ceil((F.col("size") - F.col("open")) / SET_BLOCK).cast("long")
+    side = F.when(F.col("free"), F.pmod(F.xxhash64("id"), parts)).otherwise(parts + F.pmod(F.xxhash64("id"), F.greatest(others, F.lit(1))))
+    last = F.when(F.col("free"), parts + others).otherwise(parts) - 1
+    dealt = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = dealt.select("group", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "id", "free", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["group", "p", "q"]):
-            ids, side = np.asarray(table.column("id")), np.asarray(table.column("side"))
-            elements, at = shingles(table.column("text").combine_chunks(), words)
-            sets = [frozenset(elements[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            sizes = np.diff(at)
+            ids, side, free = (np.asarray(table.column(c)) for c in ("id", "side", "free"))
+            sets = sets_of(table, words)
+            sizes = np.array([len(x) for x in sets])
             cross = table.column("p")[0].as_py() != table.column("q")[0].as_py()
-            label = np.arange(len(ids))
+            label = np.where(free, np.arange(len(ids)), -1)  # the others are connected already
             a: list[int] = []
             b: list[int] = []
             for i in range(len(ids)):
@@ -253,10 +287,7 @@ def confirmed(members: DataFrame, percent: int, words: int) -> DataFrame:
                     open_ &= side != side[i]
                 open_ &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
                 for j in np.flatnonzero(open_).tolist():
-                    if label[i] == label[j]:
-                        continue
-                    common = len(sets[i] & sets[j])
-                    if common and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    if label[i] != label[j] and overlaps(sets[i], sets[j], percent):
                         label[label == label[j]] = label[i]
                         a.append(int(ids[i]))
                         b.append(int(ids[j]))
@@ -270,21 +301,38 @@ def deduplicate(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col:
 
     Documents link if 100 * shared >= percent * all of their shingles. A text that is null or has no words has no
     shingles and links with nothing; one with fewer words than a shingle is one shingle. Rows that share an id are one
-    document in the graph and are all returned; a null id is a component of its own that is kept. An empty table gives
-    an empty one; other columns don't matter.
+    document in the graph, with the links of all their texts, and are all returned; a null id is a component of its own
+    that is kept. An empty table gives an empty one; other columns don't matter.
     """
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     every = stored(sketched(slim, words))
     some = every.where(F.col("n") > 0).where(F.col("id").isNotNull())
-    kind = stored(some.groupBy("digest").agg(F.min_by(F.struct("id", "n", "registers", "keys"), "id").alias("x")).select("digest", "x.*"))
-    near = stored(candidates(kind.select("id", "n", "registers", "keys").dropDuplicates(["id"]), percent))
+    # a class goes by a number of its own, since an id may have several texts
+    kind = stored(some.groupBy("digest").agg(F.min_by(F.struct("id", "mark", "n", "registers", "keys"), "id").alias("x")).select("digest", "x.*").withColumn("node", F.monotonically_increasing_id()))
+    near = stored(candidates(kind.select(F.col("node").alias("id"), "n", "registers", "keys"), percent))
     grouped = stored(components(near))
     sizes = grouped.groupBy("component_id").agg(F.count("*").alias("size"))
-    inside = grouped.join(sizes, "component_id").select(F.col("component_id").alias("group"), "size", "id")
-    members = slim.join(inside.hint("shuffle_hash"), "id")  # texts are shuffled at every size
-    links = stored(confirmed(members, percent, words))
-    linked = components(links)
-    of_kind = kind.select("digest", F.col("id").alias("rep")).join(linked, F.col("rep") == F.col("id"), "left").select(F.col("digest").alias("of_digest"), F.coalesce("component_id", "rep").alias("component_id"))
+    inside = grouped.join(sizes, "component_id").join(kind, grouped["id"] == kind["node"]).select(F.col("component_id").alias("group"), "size", "node", kind["id"].alias("rep"), F.col("mark").alias("of_mark"))
+    # texts are shuffled at every size
+    members = slim.join(inside.hint("shuffle_hash"), (F.col("id") == F.col("rep")) & (F.xxhash64("text") == F.col("of_mark"))).select("group", "size", F.col("node").alias("id"), "text")
+    several = stored(some.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
+    repeats = bool(several.head(1))
+    members = stored(members.dropDuplicates(["id"]) if repeats else members)
+    large = members.where(F.col("size") > SET_BLOCK)
+    first = stored(linked_to_first(large, percent, words))
+    known = first.select(F.col("b").alias("known"))
+    judged = large.join(known, F.col("id") == F.col("known"), "left").select("group", "size", "id", "text", (F.col("known").isNull() & (F.col("id") != F.col("group"))).alias("free"))
+    open_ = judged.where("free").groupBy("group").agg(F.count("*").alias("open"))
+    rest = judged.join(open_, "group").select("group", "open", "size", "id", "text", "free")
+    small = members.where(F.col("size") <= SET_BLOCK).select("group", F.col("size").alias("open"), "size", "id", "text", F.lit(True).alias("free"))
+    links = stored(first.union(confirmed(small.union(rest), percent, words)), after=[members])
+    if repeats:
+        of_id = some.join(several, "id").select("id", "digest").join(kind.select("digest", "node"), "digest").select("id", "node").distinct()
+        links = links.union(of_id.join(of_id.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")))
+    linked = stored(components(links))
+    smallest = linked.join(kind.select("node", F.col("id").alias("rep")), F.col("id") == F.col("node")).groupBy("component_id").agg(F.min("rep").alias("smallest"))
+    of_node = linked.join(smallest, "component_id").select(F.col("id").alias("of_node"), "smallest")
+    of_kind = stored(kind.join(of_node, F.col("node") == F.col("of_node"), "left").select(F.col("digest").alias("of_digest"), F.coalesce("smallest", "id").alias("smallest")))
     out = every.select("id", "n", "digest").join(of_kind, F.col("digest") == F.col("of_digest"), "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("smallest", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -60,13 +60,6 @@ FUNCTIONS: dict[str, tuple[int, Callable[..., Column]]] = {
     "exp": (1, F.exp),
     "log": (1, lambda x: logarithm(x, F.ln)),
     "log10": (1, lambda x: logarithm(x, F.log10)),
-    "sin": (1, F.sin),
-    "cos": (1, F.cos),
-    "tan": (1, F.tan),
-    "atan": (1, F.atan),
-    "floor": (1, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)),
-    "ceil": (1, lambda x: F.when(F.abs(x) < 2.0**53, F.ceil(x).cast("double")).otherwise(x)),
-    "round": (1, F.rint),
     "min": (2, least),
     "max": (2, greatest),
     "pow": (2, F.pow),

@@ -27,11 +27,12 @@ def nice_interval(span: float, lines: int = 10) -> float:
     return next((m * size for m in (1, 2, 2.5, 5) if raw <= m * size), 10 * size)
 
 
-def segments(cells: DataFrame, interval: float) -> DataFrame:
+def segments(cells: DataFrame, interval: float, least: float | None = None, most: float | None = None) -> DataFrame:
     """``level, row, col, k, x1, y1, x2, y2``: the pieces of contour in each square of four cell centres, in pixels.
 
     A corner on the level counts as above; a saddle is split by the mean of its corners; a square with a missing corner
-    has none. Levels are the multiples of the interval between a square's least and greatest corner.
+    has none. Levels are the multiples of the interval between a square's least and greatest corner, and if given between
+    ``least`` and ``most``.
     """
     along, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
     v = F.col("v").cast("double")
@@ -41,6 +42,8 @@ def segments(cells: DataFrame, interval: float) -> DataFrame:
     full = quads.select("row", "col", tl.alias("tl"), tr.alias("tr"), br.alias("br"), bl.alias("bl")).where("tl IS NOT NULL AND tr IS NOT NULL AND br IS NOT NULL AND bl IS NOT NULL")
     low = F.ceil(F.least("tl", "tr", "br", "bl") / interval - 1e-9)
     high = F.floor(F.greatest("tl", "tr", "br", "bl") / interval + 1e-9)
+    if least is not None and most is not None:
+        low, high = F.greatest(low, F.lit(math.ceil(least / interval - 1e-9)).cast("long")), F.least(high, F.lit(math.floor(most / interval + 1e-9)).cast("long"))
     crossed = full.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("n")).withColumn("level", F.col("n") * F.lit(float(interval)))
     level = F.col("level")
     mask = sum((F.when(F.col(c) >= level, bit).otherwise(0) for c, bit in (("tl", 8), ("tr", 4), ("br", 2), ("bl", 1))), F.lit(0))
@@ -65,7 +68,8 @@ def segments(cells: DataFrame, interval: float) -> DataFrame:
         .when(m.isin(6, 9), F.array(piece(top, bottom)))
         .when(m.isin(7, 8), F.array(piece(left, top)))
         .when((m == 5) & mean_above | (m == 10) & ~mean_above, F.array(piece(left, top), piece(bottom, right)))
-        .when((m == 5) | (m == 10), F.array(piece(top, right), piece(left, bottom)))
+        .when(m == 5, F.array(piece(left, bottom), piece(top, right)))
+        .when(m == 10, F.array(piece(top, right), piece(left, bottom)))
     )
     masked = crossed.withColumn("mask", mask).where((F.col("mask") > 0) & (F.col("mask") < 15))
     out = masked.select("level", "row", "col", F.posexplode(found).alias("k", "s"))
@@ -111,7 +115,7 @@ def lines(pieces: DataFrame, interval: float, smoothing: int = 0, index_every: i
     points = smoothed(F.col("points"), smoothing)
     first, last = F.get("points", F.lit(0)), F.get("points", F.size("points") - 1)
     drawn = chained.withColumn("points", points).select(
-        "level", "line", "points", (F.pmod(F.rint(F.col("level") / interval).cast("long"), F.lit(index_every)) == 0).alias("is_index"),
+        "level", "line", "points", (F.pmod(F.rint(F.col("level") / interval).cast("long"), F.lit(index_every)) == 0 if index_every > 0 else F.lit(False)).alias("is_index"),
         ((first["x"] == last["x"]) & (first["y"] == last["y"])).alias("is_closed"), length(F.col("points")).alias("length"),
     )
     return drawn.where(F.col("length") >= least_length)

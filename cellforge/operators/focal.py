@@ -1,7 +1,7 @@
 """Neighbourhood operators on dense cells ``row, col, v``: terrain derivatives, convolutions, box means.
 
-The eight neighbours come from two window passes, along rows and then along columns: the first carries the neighbours to
-the west and east, the second brings the rows above and below. Values are doubles inside, single precision on return.
+The nine cells of each window come from strips of whole rows with a row of the strips beside them: one shuffle, and no
+sort. What is computed from them are column expressions. Values are doubles inside, single precision on return.
 """
 
 from __future__ import annotations
@@ -9,38 +9,56 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grid import Grid
+from .kernels import by_strip
+
 Kernel = Sequence[Sequence[float]]
 
+#: Cells of a strip.
+STRIP_CELLS = 1 << 17
+
 
 def stored_value(value: Column) -> Column:
     single = value.cast("float")
     return F.when(~F.isnan(single), single)
 
 
-def neighbours(cells: DataFrame, width: int, height: int, edge: bool = True) -> DataFrame:
+def neighbours(cells: DataFrame, width: int, height: int, edge: bool = True, rows: int | None = None) -> DataFrame:
     """Add ``z0`` to ``z8`` (row by row from the north-west; z4 the cell itself) as doubles.
 
     ``edge``: beyond the border the nearest border cell counts; else it is null. The test is of the place, so a missing
     neighbour inside stays missing.
     """
-    along = Window.partitionBy("row").orderBy("col")
-    v = F.col("v").cast("double")
-    west, east = F.lag(v).over(along), F.lead(v).over(along)
-    if edge:
-        west, east = F.when(F.col("col") == 0, v).otherwise(west), F.when(F.col("col") == width - 1, v).otherwise(east)
-    rows = cells.select("row", "col", F.struct(west.alias("w"), v.alias("c"), east.alias("e")).alias("here"))
-    down = Window.partitionBy("col").orderBy("row")
-    above, below = F.lag("here").over(down), F.lead("here").over(down)
-    if edge:
-        above, below = F.when(F.col("row") == 0, F.col("here")).otherwise(above), F.when(F.col("row") == height - 1, F.col("here")).otherwise(below)
-    three = rows.select("row", "col", above.alias("n"), "here", below.alias("s"))
-    parts = [F.col(f"{r}.{c}") for r in ("n", "here", "s") for c in ("w", "c", "e")]
-    return three.select("row", "col", *(p.alias(f"z{k}") for k, p in enumerate(parts)))
-
-
+    rows = rows or max(1, STRIP_CELLS // width)
+    last = (height - 1) // rows
+    first_strip = F.greatest(F.lit(0), F.floor((F.col("row") - 1) / rows).cast("int"))
+    last_strip = F.least(F.lit(last), F.floor((F.col("row") + 1) / rows).cast("int"))
+    dealt = cells.select("row", "col", F.col("v").cast("double").alias("v"), F.explode(F.sequence(first_strip, last_strip)).alias("strip"))
+
+    def run(table: pa.Table) -> pa.Table:
+        begin = table.column("strip")[0].as_py() * rows
+        end = min(height, begin + rows)
+        block = np.full((end - begin + 2, width + 2), np.nan)
+        row, col = np.asarray(table.column("row")).astype(np.int64), np.asarray(table.column("col")).astype(np.int64)
+        block[row - begin + 1, col + 1] = table.column("v").to_numpy()
+        if edge:
+            if begin == 0:
+                block[0] = block[1]
+            if end == height:
+                block[-1] = block[-2]
+            block[:, 0], block[:, -1] = block[:, 1], block[:, -2]
+        own = (row >= begin) & (row < end)
+        r, c = row[own] - begin, col[own]
+        parts = [block[r + i, c + j] for i in range(3) for j in range(3)]
+        columns = [pa.array(row[own].astype(np.int32)), pa.array(col[own].astype(np.int32)), *(pa.array(x, mask=np.isnan(x)) for x in parts)]
+        return pa.table(dict(zip(["row", "col", *(f"z{k}" for k in range(9))], columns, strict=True)))
+
+    return dealt.groupBy("strip").applyInArrow(run, "row int, col int, " + ", ".join(f"z{k} double" for k in range(9)))
 
 
 def z(k: int) -> Column:
@@ -96,11 +114,15 @@ def hillshade(near: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, c
 
 
 def multi_hillshade(near: DataFrame, altitude: float = 45.0, cell_x: float = 1.0, cell_y: float = 1.0, z_factor: float = 1.0, azimuths: Sequence[float] = (225.0, 270.0, 315.0, 360.0)) -> DataFrame:
+    return _result(near, multi_shade(altitude, cell_x, cell_y, z_factor, azimuths))
+
+
+def multi_shade(altitude: float, cell_x: float, cell_y: float, z_factor: float, azimuths: Sequence[float] = (225.0, 270.0, 315.0, 360.0)) -> Column:
     """The mean over several suns, each rounded to single precision first."""
     total = F.lit(0.0)
     for azimuth in azimuths:
         total = total + shade(azimuth, altitude, cell_x, cell_y, z_factor).cast("float").cast("double")
-    return _result(near, total / len(azimuths))
+    return (total / len(azimuths)).cast("float")
 
 
 def curvature(near: DataFrame, kind: str = "general", cell_x: float = 1.0, cell_y: float = 1.0) -> DataFrame:
@@ -118,16 +140,19 @@ def curvature(near: DataFrame, kind: str = "general", cell_x: float = 1.0, cell_
     return _result(near, F.when(square < 1e-12, -(d + e)).otherwise(-2 * across / safe))
 
 
-def convolve3(near: DataFrame, kernel: Kernel, divisor: float = 1.0, offset: float = 0.0, fill: bool = True) -> DataFrame:
-    """A 3 x 3 weighted sum, divided and shifted. A missing neighbour takes the centre's value, or (not ``fill``) makes the
-    result missing; cells of weight zero don't count. A missing centre stays missing."""
-    weights = [w for row in kernel for w in row]
+def weighted_sum(kernel: Kernel, divisor: float = 1.0, offset: float = 0.0, fill: bool = True) -> Column:
+    """The 3 x 3 weighted sum of ``convolve3`` in single precision."""
     total = F.lit(0.0)
-    for k, w in enumerate(weights):
+    for k, w in enumerate(w for row in kernel for w in row):
         if w:
             total = total + (F.coalesce(z(k), z(4)) if fill else z(k)) * F.lit(float(w))
-    value = total / divisor + offset
-    return near.select("row", "col", stored_value(F.when(z(4).isNotNull(), value)).alias("v"))
+    return stored_value(F.when(z(4).isNotNull(), total / divisor + offset))
+
+
+def convolve3(near: DataFrame, kernel: Kernel, divisor: float = 1.0, offset: float = 0.0, fill: bool = True) -> DataFrame:
+    """A 3 x 3 weighted sum, divided and shifted. A missing neighbour takes the centre's value, or (not ``fill``) makes the
+    result missing; cells of weight zero don't count. A missing centre stays missing."""
+    return near.select("row", "col", weighted_sum(kernel, divisor, offset, fill).alias("v"))
 
 
 MEAN3: Kernel = ((1, 1, 1), (1, 1, 1), (1, 1, 1))
@@ -156,40 +181,41 @@ def emboss_kernel(azimuth: float, size: int = 3) -> tuple[Kernel, float]:
 
 def sobel(near: DataFrame) -> DataFrame:
     """The gradient's magnitude from the two Sobel sums (divided by 8), each rounded to single precision."""
-    gx, gy = convolve3(near, SOBEL_X, 8.0), convolve3(near, SOBEL_Y, 8.0)
-    both = gx.withColumnRenamed("v", "gx").join(gy.withColumnRenamed("v", "gy"), ["row", "col"])
-    x, y = F.col("gx").cast("double"), F.col("gy").cast("double")
-    return both.select("row", "col", stored_value(F.sqrt(x * x + y * y)).alias("v"))
+    x, y = (weighted_sum(k, 8.0).cast("double") for k in (SOBEL_X, SOBEL_Y))
+    return near.select("row", "col", stored_value(F.sqrt(x * x + y * y)).alias("v"))
 
 
-def box_mean(cells: DataFrame, radius: int) -> DataFrame:
-    """The mean of valid cells within a square; a missing centre stays missing. Two passes of framed sums."""
-    return weighted(cells, [1.0] * (2 * radius + 1))
+def box_mean(cells: DataFrame, radius: int, grid: Grid) -> DataFrame:
+    """The mean of valid cells within a square; a missing centre stays missing."""
+    return weighted(cells, [1.0] * (2 * radius + 1), grid)
 
 
-def gaussian(cells: DataFrame, sigma: float) -> DataFrame:
+def gaussian(cells: DataFrame, sigma: float, grid: Grid) -> DataFrame:
     """Gaussian mean over ceil(3 sigma) cells each way, of valid cells in the raster; a missing centre stays missing."""
     radius = max(1, math.ceil(3 * sigma))
-    return weighted(cells, [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-radius, radius + 1)])
+    return weighted(cells, [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-radius, radius + 1)], grid)
 
 
-def weighted(cells: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """A separable weighted mean of valid cells: along rows, then along columns, sums and weights apart."""
+def weighted(cells: DataFrame, weights: Sequence[float], grid: Grid, rows: int | None = None) -> DataFrame:
+    """A separable weighted mean of valid cells: along rows, then along columns, sums and weights apart, by strips with a
+    halo of the radius."""
     radius = len(weights) // 2
 
-    def along(value: str, axis: str, order: str) -> Column:
-        window = Window.partitionBy(axis).orderBy(order)
-        if len(set(weights)) == 1:
-            return F.coalesce(F.sum(value).over(window.rowsBetween(-radius, radius)), F.lit(0.0)) * weights[0]
-        total = F.lit(0.0)
-        for k, w in enumerate(weights):
-            at = F.lag(value, radius - k).over(window) if k <= radius else F.lead(value, k - radius).over(window)
-            total = total + F.coalesce(at, F.lit(0.0)) * F.lit(w)
-        return total
-
-    v = F.col("v").cast("double")
-    base = cells.select("row", "col", "v", F.coalesce(v, F.lit(0.0)).alias("x"), F.when(v.isNotNull(), 1.0).otherwise(0.0).alias("n"))
-    rows = base.select("row", "col", "v", along("x", "row", "col").alias("x"), along("n", "row", "col").alias("n"))
-    both = rows.select("row", "col", "v", along("x", "col", "row").alias("x"), along("n", "col", "row").alias("n"))
-    mean = F.col("x") / F.when(F.col("n") > 0, F.col("n"))
-    return both.select("row", "col", stored_value(F.when(F.col("v").isNotNull(), mean)).alias("v"))
+    def along(values: np.ndarray, axis: int) -> np.ndarray:
+        out = np.zeros(values.shape)
+        n = values.shape[axis]
+        for k, w in zip(range(-radius, radius + 1), weights, strict=True):
+            a, b = max(0, -k), min(n, n - k)
+            if a < b:
+                here, there = [slice(None)] * 2, [slice(None)] * 2
+                here[axis], there[axis] = slice(a, b), slice(a + k, b + k)
+                out[tuple(here)] += w * values[tuple(there)]
+        return out
+
+    def run(block: np.ndarray, low: int, height: int, begin: int, end: int) -> np.ndarray:
+        known = ~np.isnan(block)
+        total, weight = (along(along(x, 1), 0) for x in (np.where(known, block, 0.0), known.astype(float)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(known, total / weight, np.nan)[begin - low : end - low]
+
+    return by_strip(cells, grid, radius, run, rows)

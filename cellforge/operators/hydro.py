@@ -61,7 +61,7 @@ def flow_accumulation(directions: DataFrame) -> DataFrame:
         arrives = state.where("to IS NOT NULL").groupBy("to").agg(F.sum("n").alias("more")).withColumnRenamed("to", "at")
         after = state.select(F.col("id").alias("via"), F.col("to").alias("beyond"))
         joined = state.join(arrives, F.col("id") == F.col("at"), "left").join(after, F.col("to") == F.col("via"), "left")
-        state = stored(joined.select("id", F.col("beyond").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        state = stored(joined.select("id", F.col("beyond").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), after=[state])
         rounds += 1
     valid = state.select("id.row", "id.col", (F.col("n") - 1).cast("float").alias("acc"))
     return directions.select("row", "col").join(valid, ["row", "col"], "left").select("row", "col", F.col("acc").alias("v"))

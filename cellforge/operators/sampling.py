@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels
 from .grid import Grid
 
 
@@ -72,35 +73,101 @@ def line_points(spark_frame: DataFrame, start: tuple[float, float], end: tuple[f
     return spark_frame.sparkSession.range(samples).select("id", (t * span).alias("distance"), (x0 + t * (x1 - x0)).alias("x"), (y0 + t * (y1 - y0)).alias("y"))
 
 
+def world_line(spark_frame: DataFrame, grid: Grid, start: tuple[float, float], end: tuple[float, float], samples: int) -> DataFrame:
+    """``id, distance, x, y, world_x, world_y``: a line given in world coordinates, its distances in world units."""
+    line = line_points(spark_frame, start, end, samples)
+    px, py = grid.pixel(F.col("x"), F.col("y"))
+    return line.select("id", "distance", px.alias("x"), py.alias("y"), F.col("x").alias("world_x"), F.col("y").alias("world_y"))
+
+
 def polyline_points(vertices: DataFrame, spacing: float) -> DataFrame:
     """``id, distance, x, y`` along ``vertices(seq, x, y)``: each segment in max(1, ceil(length / spacing)) steps."""
-    order = Window.orderBy("seq")  # the vertices of one line
-    step = vertices.select("seq", F.lag("x").over(order).alias("x0"), F.lag("y").over(order).alias("y0"), "x", "y")
+    points = polylines_points(vertices.withColumn("line", F.lit(0)), spacing)
+    return points.select("id", "distance", "x", "y")
+
+
+def polylines_points(vertices: DataFrame, spacing: float) -> DataFrame:
+    """``line, id, distance, x, y`` along each line of ``vertices(line, seq, x, y)``; windows are of one line's vertices.
+
+    Samples aren't sorted: their number is that of the steps before their segment, and of their own.
+    """
+    order = Window.partitionBy("line").orderBy("seq")
+    step = vertices.select("line", "seq", F.lag("x").over(order).alias("x0"), F.lag("y").over(order).alias("y0"), "x", "y")
     far = F.coalesce(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")), F.lit(0.0))
-    timed = step.select("*", far.alias("far")).select("*", (F.sum("far").over(order) - F.col("far")).alias("so_far"), F.greatest(F.lit(1), F.ceil(F.col("far") / spacing)).cast("int").alias("steps"))
-    first = timed.where("x0 IS NULL").select("seq", F.lit(0).alias("k"), F.lit(0.0).alias("distance"), "x", "y")
-    later = timed.where("x0 IS NOT NULL").select("*", F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("k"))
-    t = F.col("k") / F.col("steps")
-    later = later.select("seq", "k", (F.col("so_far") + t * F.col("far")).alias("distance"), (F.col("x0") + t * (F.col("x") - F.col("x0"))).alias("x"), (F.col("y0") + t * (F.col("y") - F.col("y0"))).alias("y"))
-    return first.union(later).select((F.row_number().over(Window.orderBy("seq", "k")) - 1).cast("long").alias("id"), "distance", "x", "y")
+    steps = F.when(F.col("x0").isNull(), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.col("far") / spacing))).cast("long")
+    timed = step.select("*", far.alias("far")).select("*", steps.alias("steps"))
+    timed = timed.select("*", (F.sum("far").over(order) - F.col("far")).alias("so_far"), (F.sum("steps").over(order) - F.col("steps")).alias("before"))
+    each = timed.select("*", F.explode(F.when(F.col("x0").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("steps"), F.lit(1))))).alias("k"))
+    t = F.when(F.col("x0").isNull(), 1.0).otherwise(F.col("k") / F.col("steps"))
+    at = lambda c: F.when(F.col("x0").isNull(), F.col(c)).otherwise(F.col(f"{c}0") + t * (F.col(c) - F.col(f"{c}0")))
+    return each.select("line", (F.col("before") + F.col("k")).alias("id"), (F.col("so_far") + t * F.col("far")).alias("distance"), at("x").alias("x"), at("y").alias("y"))
 
 
 def surface_length(profile: DataFrame) -> DataFrame:
-    """``length`` over ``id, distance, value``; a step that touches a missing value counts its plain distance."""
-    order = Window.orderBy("id")  # the samples of one profile
-    d, dz = F.col("distance") - F.lag("distance").over(order), F.col("value") - F.lag("value").over(order)
-    return profile.select(F.coalesce(F.sqrt(d * d + dz * dz), d).alias("step")).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"))
+    """``length`` over ``id, distance, value`` (ids count from 0); a step that touches a missing value counts its plain
+    distance. Each sample meets the next by its number: no window over a whole profile."""
+    after = profile.select((F.col("id") - 1).alias("id"), F.col("distance").alias("d1"), F.col("value").alias("z1"))
+    d, dz = F.col("d1") - F.col("distance"), F.col("z1") - F.col("value")
+    both = profile.select("id", "distance", "value").join(after, "id")
+    return both.select(F.coalesce(F.sqrt(d * d + dz * dz), d).alias("step")).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"))
+
+
+def difference(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``id, value``: one series of samples (``id, value``) less another; null where either is."""
+    return first.select("id", F.col("value").alias("a")).join(second.select("id", F.col("value").alias("b")), "id").select("id", (F.col("a") - F.col("b")).alias("value"))
+
+
+def nearest(points: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
+    """``id, value`` of the cell that holds pixel coordinates ``points(id, x, y)``."""
+    placed = points.select("id", F.floor("y").cast("int").alias("row"), F.floor("x").cast("int").alias("col"))
+    return placed.join(cells.select("row", "col", F.col("v").cast("double").alias("value")), ["row", "col"], "left").select("id", "value")
 
 
-def resample(cells: DataFrame, grid: Grid, target: Grid) -> DataFrame:
-    """``row, col, v`` of the target grid: bilinear at the world place of each target cell's centre."""
-    every = cells.sparkSession.range(target.width * target.height).withColumn("row", (F.col("id") / target.width).cast("int")).withColumn("col", (F.col("id") % target.width).cast("int"))
+#: Ways to take a value at pixel coordinates.
+SAMPLERS = {"nearest": nearest, "bilinear": bilinear, "bspline": bspline, "bezier": kernels.bezier}
+
+
+def at_world(points: DataFrame, cells: DataFrame, grid: Grid, sampler: str = "bilinear") -> DataFrame:
+    """``id, value`` at world coordinates ``points(id, x, y)``; null outside. The georeference must be invertible."""
+    px, py = grid.pixel(F.col("x").cast("double"), F.col("y").cast("double"))
+    return SAMPLERS[sampler](points.select("id", px.alias("x"), py.alias("y")), cells, grid)
+
+
+def identify(points: DataFrame, layers: Sequence[tuple[str, DataFrame, Grid]]) -> DataFrame:
+    """``id, layer, cell, bilinear, bezier``: what every layer has at world points, by cell and between cells."""
+    out: DataFrame | None = None
+    for name, cells, grid in layers:
+        found = points.select("id", F.lit(name).alias("layer"))
+        for column, sampler in (("cell", "nearest"), ("bilinear", "bilinear"), ("bezier", "bezier")):
+            found = found.join(at_world(points, cells, grid, sampler).withColumnRenamed("value", column), "id")
+        out = found if out is None else out.union(found)
+    if out is None:
+        raise ValueError("there is no layer")
+    return out
+
+
+def every_cell(cells: DataFrame, grid: Grid) -> DataFrame:
+    every = cells.sparkSession.range(grid.width * grid.height)
+    return every.withColumn("row", F.floor(F.col("id") / grid.width).cast("int")).withColumn("col", (F.col("id") % grid.width).cast("int"))
+
+
+def resample(cells: DataFrame, grid: Grid, target: Grid, sampler: str = "bilinear") -> DataFrame:
+    """``row, col, v`` of the target grid: sampled at the world place of each target cell's centre."""
+    every = every_cell(cells, target)
     wx, wy = target.world(F.col("col") + 0.5, F.col("row") + 0.5)
     px, py = grid.pixel(wx, wy)
-    values = bilinear(every.select("id", px.alias("x"), py.alias("y")), cells, grid)
+    values = SAMPLERS[sampler](every.select("id", px.alias("x"), py.alias("y")), cells, grid)
     return every.join(values, "id").select("row", "col", F.col("value").cast("float").alias("v"))
 
 
+def subdivide(cells: DataFrame, grid: Grid, factor: int, sampler: str = "bilinear") -> tuple[DataFrame, Grid]:
+    """``factor`` x ``factor`` cells for each, sampled at their centres."""
+    fine = Grid(grid.width * factor, grid.height * factor, grid.a, grid.b / factor, grid.c / factor, grid.d, grid.e / factor, grid.f / factor)
+    every = every_cell(cells, fine)
+    values = SAMPLERS[sampler](every.select("id", ((F.col("col") + 0.5) / factor).alias("x"), ((F.col("row") + 0.5) / factor).alias("y")), cells, grid)
+    return every.join(values, "id").select("row", "col", F.col("value").cast("float").alias("v")), fine
+
+
 def mosaic(sources: Sequence[tuple[DataFrame, Grid]], overlap: str = "last") -> tuple[DataFrame, Grid]:
     """Merge rasters on the grid of the first, over the union of their bounds: ``first``, ``last`` or ``average`` wins.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .zones import inside, sized
+
 
 def statistics(cells: DataFrame, value: str, *by: str) -> DataFrame:
     """``n, min, max, mean, std`` (of the population) of valid cells; all zero where there are none."""
@@ -42,6 +44,15 @@ def histogram(cells: DataFrame, value: str, bins: int = 1024, *by: str) -> DataF
     return ranged.where("high > low").groupBy(*by, "low", "high", width.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def display_histogram(cells: DataFrame, value: str, bins: int = 64) -> DataFrame:
+    """``bin, n`` as drawn: the greatest value has a bin of its own, so bins are (high - low) / (bins - 1) wide."""
+    v = F.col(value).cast("double")
+    valid = cells.where(F.col(value).isNotNull())
+    ranged = valid.crossJoin(F.broadcast(valid.agg(F.min(v).alias("low"), F.max(v).alias("high"))))  # one row
+    place = F.when(F.col("high") > F.col("low"), ((v - F.col("low")) / (F.col("high") - F.col("low")) * (bins - 1)).cast("int")).otherwise(0)
+    return ranged.groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+
+
 def percentiles(counts: DataFrame, percents: list[float], bins: int = 1024, *by: str) -> DataFrame:
     """``percent, value``: the centre of the first bin where the running count reaches the rounded rank (half to even)."""
     running = F.sum("n").over(Window.partitionBy(*by, "low", "high").orderBy("bin"))
@@ -54,6 +65,18 @@ def percentiles(counts: DataFrame, percents: list[float], bins: int = 1024, *by:
     return first.select(*by, "percent", (F.col("low") + (F.col("bin") + 0.5) / (bins / (F.col("high") - F.col("low")))).alias("value"))
 
 
+def percentile_range(cells: DataFrame, value: str, low: float = 2.0, high: float = 98.0, bins: int = 1024, *by: str) -> DataFrame:
+    """``low, high``: two percentiles; the range of all values where these don't differ, as of a constant raster, and zeros
+    where there are no values."""
+    found = percentiles(histogram(cells, value, bins, *by), [low, high], bins, *by)
+    pick = lambda p: F.max(F.when(F.col("percent") == float(p), F.col("value")))
+    two = found.groupBy(*by).agg(pick(low).alias("a"), pick(high).alias("b")) if by else found.agg(pick(low).alias("a"), pick(high).alias("b"))
+    whole = statistics(cells, value, *by)
+    both = whole.join(two, list(by), "left") if by else whole.crossJoin(F.broadcast(two))  # one row each
+    apart = F.coalesce(F.col("b") > F.col("a"), F.lit(False))
+    return both.select(*by, F.when(apart, F.col("a")).otherwise(F.col("min")).alias("low"), F.when(apart, F.col("b")).otherwise(F.col("max")).alias("high"))
+
+
 def no_data(cells: DataFrame, value: str, *by: str) -> DataFrame:
     """``n_missing, n_cells`` of dense cells."""
     found = (F.count_if(F.col(value).isNull()).alias("n_missing"), F.count("*").alias("n_cells"))
@@ -77,6 +100,14 @@ def change(cells: DataFrame, first: str, second: str, area: float, threshold: fl
     )
 
 
+def change_within(cells: DataFrame, first: str, second: str, spans: DataFrame, area: float, threshold: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """The summary of ``change`` and the raster of ``change_raster`` within row spans; the raster is null outside."""
+    held = inside(cells, sized(spans.drop("zone").distinct()), "left_semi").select("row", "col").withColumn("held", F.lit(True))
+    within = cells.join(held, ["row", "col"], "left")
+    values = [F.when(F.col("held"), F.col(c)).alias(c) for c in (first, second)]
+    return change(within.where("held"), first, second, area, threshold), change_raster(within.select("row", "col", *values), first, second)
+
+
 def change_raster(cells: DataFrame, first: str, second: str) -> DataFrame:
     """``row, col, v``: second - first, in single precision; null where either is."""
     delta = (F.col(second).cast("double") - F.col(first).cast("double")).cast("float")

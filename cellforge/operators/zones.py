@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .grid import Grid
 
-#: Zones up to this number have their spans broadcast (a few dozen bytes a row and zone); beyond, spans are shuffled.
-MOST_ZONES = 10_000
+#: Spans up to this number are broadcast (some thirty bytes each); beyond, they are shuffled.
+MOST_SPANS = 200_000
+#: Points that are broadcast at once.
+MOST_POINTS = 10_000
 
 
 def polygons(spark_frame: DataFrame, zones: Sequence[tuple[str, Sequence[tuple[float, float]]]]) -> DataFrame:
@@ -56,11 +58,56 @@ def inside(cells: DataFrame, spans: DataFrame, how: str = "inner") -> DataFrame:
     return joined.drop("span_row", "first", "last") if how == "inner" else joined
 
 
-def zonal(cells: DataFrame, zones: DataFrame, grid: Grid, value: str = "v", few: bool = True) -> DataFrame:
-    """Per zone: ``n, n_missing, min, max, mean, std, sum, area``; zones may overlap. ``few``: spans are broadcast."""
+def sized(spans: DataFrame, most: int | None = None) -> DataFrame:
+    """Spans, to be broadcast if there are few: they are counted first, up to one more than that."""
+    most = MOST_SPANS if most is None else most
+    return F.broadcast(spans) if spans.limit(most + 1).count() <= most else spans
+
+
+def boxes(zones: DataFrame) -> DataFrame:
+    """``zone, points`` of boxes ``zone, min_x, min_y, max_x, max_y``."""
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return zones.select("zone", F.array(corner("min_x", "min_y"), corner("max_x", "min_y"), corner("max_x", "max_y"), corner("min_x", "max_y")).alias("points"))
+
+
+def zonal_layers(layers: Sequence[tuple[str, DataFrame, Grid]], zones: DataFrame, value: str = "v") -> DataFrame:
+    """``layer`` and the columns of ``zonal``, for several rasters at once."""
+    out: DataFrame | None = None
+    for name, cells, grid in layers:
+        found = zonal(cells, zones, grid, value).withColumn("layer", F.lit(name))
+        out = found if out is None else out.union(found)
+    if out is None:
+        raise ValueError("there is no layer")
+    return out.select("layer", *(c for c in out.columns if c != "layer"))
+
+
+def zonal_csv(found: DataFrame, path: str) -> None:
+    """Write zonal statistics as CSV with a header: nine digits, nothing where there is no value."""
+    def number(c: str) -> Column:
+        digits = F.round(F.col(c).cast("double"), 9) if c != "area" else F.col(c).cast("double")
+        scale = F.pow(F.lit(10.0), 8 - F.floor(F.log10(F.abs(digits))))
+        nine = F.when(digits == 0, F.lit(0.0)).otherwise(F.rint(digits * scale) / scale)
+        whole = (F.abs(nine) < 1e9) & (nine == F.rint(nine))
+        return F.when(F.col(c).isNotNull() & ~F.isnan(c), F.when(whole, nine.cast("long").cast("string")).otherwise(nine.cast("string")))
+
+    attribute = F.col("attribute") if "attribute" in found.columns else F.lit(None).cast("string")
+    columns = [F.col("zone"), attribute.alias("attribute"), F.col("n").alias("cells"), F.col("n_missing").alias("nodata"), *(number(c).alias(c) for c in ("min", "max", "mean", "std", "sum", "area"))]
+    found.select(*columns).write.mode("overwrite").csv(path, header=True)
+
+
+def crosses(a: Column, b: Column, c: Column, d: Column, play: float = 1e-8) -> Column:
+    """Whether the segments from a to b and from c to d (structs x, y) cross or touch."""
+    apart = [F.least(a[k], b[k]) > F.greatest(c[k], d[k]) + play for k in ("x", "y")] + [F.greatest(a[k], b[k]) < F.least(c[k], d[k]) - play for k in ("x", "y")]
+    side = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    near = ~(apart[0] | apart[1] | apart[2] | apart[3])
+    return near & (side(a, b, c) * side(a, b, d) <= play) & (side(c, d, a) * side(c, d, b) <= play)
+
+
+def zonal(cells: DataFrame, zones: DataFrame, grid: Grid, value: str = "v", most: int | None = None) -> DataFrame:
+    """Per zone: ``n, n_missing, min, max, mean, std, sum, area``; zones may overlap. Up to ``most`` spans are broadcast."""
     spans = row_spans(zones, grid)
     v = F.col(value).cast("double")
-    found = inside(cells, F.broadcast(spans) if few else spans).groupBy("zone").agg(
+    found = inside(cells, sized(spans, most)).groupBy("zone").agg(
         F.count(v).alias("n"), F.count_if(v.isNull()).alias("n_missing"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"),
     )
@@ -111,9 +158,16 @@ def _between(a: Column, b: Column, t: float) -> Column:
 def nearest(points: DataFrame, features: DataFrame) -> DataFrame:
     """For each ``point(id, x, y)`` the feature (``seq, attribute, points``) with the nearest vertex; the first wins ties.
 
-    Points are broadcast: they are places asked for one by one, not a table.
+    Points are broadcast in blocks of a bounded number; vertices stay where they are, and only a least distance a point
+    and task is shuffled.
     """
     vertices = features.select("seq", "attribute", F.explode("points").alias("p"))
     far = (F.col("p.x") - F.col("x")) * (F.col("p.x") - F.col("x")) + (F.col("p.y") - F.col("y")) * (F.col("p.y") - F.col("y"))
-    met = vertices.crossJoin(F.broadcast(points)).select("id", "seq", "attribute", far.alias("d2"))
-    return met.groupBy("id").agg(F.min(F.struct("d2", "seq", "attribute")).alias("best")).select("id", "best.seq", "best.attribute", "best.d2")
+    blocks = max(1, -(-points.count() // (MOST_POINTS // 2)))  # by hash, so half as many a block on average
+    out: DataFrame | None = None
+    for k in range(blocks):
+        some = points if blocks == 1 else points.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
+        met = vertices.crossJoin(F.broadcast(some)).select("id", "seq", "attribute", far.alias("d2"))
+        best = met.groupBy("id").agg(F.min(F.struct("d2", "seq", "attribute")).alias("best")).select("id", "best.seq", "best.attribute", "best.d2")
+        out = best if out is None else out.union(best)
+    return out

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.algebra import compile_expression
-from ..operators import contour, fill, focal, hydro, kernels, visibility
+from ..operators import contour, fill, focal, grade, hydro, kernels, render, stats, visibility
 from ..operators.grid import Grid, clip_window, crop
+from .design import Record
 
 Raster = tuple[DataFrame, Grid]
 Parameters = dict[str, str]
@@ -40,12 +41,19 @@ def kernel_text(rows: list[list[float]]) -> str:
     return "\n".join(" ".join(f"{w:g}" for w in row) for row in rows)
 
 
+def yes(p: Parameters, key: str, default: str = "false") -> bool:
+    return p.get(key, default).strip().lower() == "true"
+
+
 def filtered(source: Raster, p: Parameters) -> Raster:
-    """The filters by kind: emboss, gaussian, mean, sharpen, sobel, laplace, localrelief, custom, digiterragaussian."""
+    """The filters by kind: emboss, gaussian, mean, sharpen, sobel, laplace, localrelief, custom, digiterragaussian.
+
+    ``strict``: a missing neighbour makes the result missing; else it counts as the centre's value.
+    """
     cells, grid = source
-    kind, size, radius, keep = p.get("kind", "mean").lower(), int(p.get("size", "3")), float(p.get("radius", "3")), p.get("noData", "fill").lower() != "propagate"
+    kind, size, radius, keep = p.get("kind", "emboss").lower(), int(p.get("size", "3")), float(p.get("radius", "10")), not yes(p, "strict")
     if kind == "gaussian":
-        return focal.gaussian(cells, radius / 3), grid
+        return focal.gaussian(cells, radius / 3, grid), grid
     if kind == "laplace":
         return kernels.laplace(cells, grid, True, keep), grid
     if kind == "localrelief":
@@ -79,7 +87,7 @@ def directions(source: Raster) -> DataFrame:
 def banded(source: Raster, p: Parameters) -> Raster:
     cells, grid = source
     bands = {c: F.col(c) for c in cells.columns if c not in ("row", "col")} | ({"b1": F.col("v")} if "v" in cells.columns else {})
-    return cells.select("row", "col", compile_expression(p["expression"], bands).alias("v")), grid
+    return cells.select("row", "col", compile_expression(p.get("expr", "b1"), bands).alias("v")), grid
 
 
 def clipped(source: Raster, p: Parameters) -> Raster:
@@ -89,13 +97,69 @@ def clipped(source: Raster, p: Parameters) -> Raster:
 
 
 def lined(source: Raster, p: Parameters) -> DataFrame:
-    interval = float(p["interval"])
-    return contour.lines(contour.segments(source[0], interval), interval, int(p.get("smoothing", "0")), int(p.get("indexEvery", "5")), float(p.get("minLength", "0")))
+    """Contours between ``min`` and ``max`` (equal: of the whole raster), of a Bézier surface where ``factor`` is above 1."""
+    cells, grid = source
+    interval, factor = float(p.get("interval", "10")), int(p.get("factor", "1"))
+    least, most = float(p.get("min", "0")), float(p.get("max", "0"))
+    if least == most:
+        r = stats.statistics(cells, "v").first()
+        least, most = r["min"], r["max"]
+    if factor > 1:
+        cells, grid = kernels.bezier_subdivide(cells, grid, factor)
+    pieces = contour.segments(cells, interval, least, most)
+    px, py = (F.transform("points", lambda q: grid.world(q["x"], q["y"])[k]) for k in (0, 1))
+    drawn = contour.lines(pieces, interval, int(p.get("smooth", "0")), int(p.get("index", "5")))
+    # points and lengths in world units: lines are chained in pixels, where ends that meet are equal
+    placed = drawn.withColumn("points", F.arrays_zip(px.alias("x"), py.alias("y"))).withColumn("points", F.transform("points", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))))
+    placed = placed.withColumn("length", contour.length(F.col("points")))
+    return placed.where(F.col("length") >= float(p.get("minlen", "0")))
 
 
 def reaches(source: Raster, p: Parameters) -> DataFrame:
     found = directions(source)
-    return hydro.stream_segments(found, hydro.flow_accumulation(found), float(p["threshold"]))
+    return hydro.stream_segments(found, hydro.flow_accumulation(found), float(p.get("threshold", "100")))
+
+
+def curved(source: Raster, p: Parameters) -> Raster:
+    window = tuple(int(p.get(k, "0")) for k in ("x", "y", "w", "h")) if "w" in p else None
+    return kernels.bezier_subdivide(*source, int(p.get("factor", "4")), float(p.get("tension", "1")), yes(p, "monotone"), strict=yes(p, "strict"), window=window)
+
+
+def band_of(source: Raster, p: Parameters) -> DataFrame:
+    """Band number ``band`` (from 0) as ``v``."""
+    cells = source[0]
+    names = [c for c in cells.columns if c not in ("row", "col")]
+    k = int(p.get("band", "0"))
+    if not 0 <= k < len(names):
+        raise ValueError(f"there is no band {k}")
+    return cells.select("row", "col", F.col(names[k]).alias("v"))
+
+
+def graded(source: Raster, p: Parameters) -> DataFrame:
+    """One branch (0 or 1) of the line of constant grade from (x, y)."""
+    branch = int(p.get("branch", "0"))
+    if branch not in (0, 1):
+        raise ValueError("a line has branches 0 and 1")
+    start = source[0].sparkSession.createDataFrame([(0, float(p.get("x", "0")), float(p.get("y", "0")))], "id long, x double, y double")
+    return grade.trace(start, band_of(source, p), source[1], grade_limits(p)).where(F.col("branch") == branch)
+
+
+def routed(source: Raster, p: Parameters) -> DataFrame:
+    """A route of constant grade from (x, y) to (endX, endY)."""
+    ends = [float(p.get(k, "0")) for k in ("x", "y", "endX", "endY")]
+    pair = source[0].sparkSession.createDataFrame([(0, *ends)], "id long, x double, y double, end_x double, end_y double")
+    return grade.route(pair, band_of(source, p), source[1], grade_limits(p))
+
+
+def designed(source: Raster, p: Parameters) -> DataFrame:
+    """The line of a stored design."""
+    record = Record.from_json(p["design"])
+    points = [{"x": float(v[0]), "y": float(v[1])} for v in record.vertices]
+    return source[0].sparkSession.createDataFrame([(float(record.grade), float(record.vertices[-1][3]), points)], "grade double, length double, points array<struct<x:double,y:double>>")
+
+
+def grade_limits(p: Parameters) -> grade.Limits:
+    return grade.Limits(float(p.get("grade", "5")), float(p.get("length", "1000")), float(p.get("heightTolerance", "0.02")), float(p.get("gradeTolerance", "0.1")))
 
 
 def like(source: Raster, cells: DataFrame) -> Raster:
@@ -109,11 +173,15 @@ OPERATIONS: dict[str, Callable[[Raster, Parameters], Raster | DataFrame]] = {
     "aspect": lambda s, p: like(s, focal.aspect(near(s), s[1].cell_width, s[1].cell_height)),
     "hillshade": lambda s, p: like(s, focal.hillshade(near(s), float(p.get("azimuth", "315")), float(p.get("altitude", "45")), s[1].cell_width, s[1].cell_height, float(p.get("zFactor", "1")))),
     "multihillshade": lambda s, p: like(s, focal.multi_hillshade(near(s), float(p.get("altitude", "45")), s[1].cell_width, s[1].cell_height, float(p.get("zFactor", "1")))),
-    "curvature": lambda s, p: like(s, focal.curvature(near(s), p.get("kind", "general").lower(), s[1].cell_width, s[1].cell_height)),
+    "curvature": lambda s, p: like(s, focal.curvature(near(s), p.get("type", "General").lower(), s[1].cell_width, s[1].cell_height)),
     "flowdir": lambda s, p: like(s, directions(s)),
     "flowacc": lambda s, p: like(s, hydro.flow_accumulation(directions(s))),
     "filter": filtered,
-    "bezier": lambda s, p: kernels.bezier_subdivide(*s, int(p.get("factor", "4")), float(p.get("tension", "1")), p.get("monotone", "false").lower() == "true"),
+    "bezier": curved,
+    "swissrelief": lambda s, p: like(s, render.swiss_relief(*s)),
+    "neutral-line": graded,
+    "neutral-route": routed,
+    "neutral-design": designed,
     "clip": clipped,
     "fill": lambda s, p: like(s, fill.fill_nearest(*s) if p.get("method", "idw").lower() == "nearest" else fill.fill_idw(*s, int(p.get("maxDistance", "100")), int(p.get("smoothing", "1")))),
     "viewshed": lambda s, p: like(s, visibility.viewshed(*s, int(p["col"]), int(p["row"]), float(p.get("observerHeight", "1.8")), float(p.get("targetHeight", "0")), int(p["maxDistance"]) if "maxDistance" in p else None)),

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from .header import CELL_TYPES
 
 #: Cells of a partition, about.
 CELLS = 1 << 20
+#: Bytes read at once, about.
+READ = 1 << 22
 
 
 @dataclass
@@ -59,20 +62,25 @@ class BilReader(DataSourceReader):
         columns = np.arange(c0 - c0 % self.step_x + (self.step_x if c0 % self.step_x else 0), c1 + 1, self.step_x)
         if not len(columns):
             return
+        line = self.bands * self.width
         with fs.open_input_file(path) as f:
-            for row in range(partition.first, partition.last + 1):
-                if row % self.step_y:
+            for first in range(partition.first, partition.last + 1, each := max(1, READ // (line * size))):
+                last = min(partition.last, first + each - 1)
+                rows = np.arange(first, last + 1)
+                rows = rows[rows % self.step_y == 0]
+                if not len(rows):
                     continue
-                for band in range(b0, b1 + 1):
-                    at = self.offset + ((row * self.bands + band) * self.width + int(columns[0])) * size
-                    want = (int(columns[-1]) - int(columns[0]) + 1) * size
-                    data = f.read_at(want, at)
-                    if len(data) < want:
-                        raise OSError(f"{self.path} ends within line {row} of band {band}")
-                    v = np.frombuffer(data, dtype=self.kind)[columns - columns[0]].astype(np.float32)
-                    missing = np.isnan(v) if self.null is None else np.isnan(v) | (v == self.null)
-                    n = len(v)
-                    yield pa.record_batch([pa.array(np.full(n, band, np.int32)), pa.array(np.full(n, row, np.int32)), pa.array(columns.astype(np.int32)), pa.array(v, mask=missing)], names=["band", "row", "col", "v"])
+                # from the first wanted band's first column to the last one's last: what lies outside isn't read
+                begin = (int(rows[0]) * self.bands + b0) * self.width + int(columns[0])
+                end = (int(rows[-1]) * self.bands + b1) * self.width + int(columns[-1]) + 1
+                data = f.read_at((end - begin) * size, self.offset + begin * size)
+                if len(data) < (end - begin) * size:
+                    raise OSError(f"{self.path} ends within lines {first} to {last}")
+                every = np.frombuffer(data, dtype=self.kind)
+                r, b, c = (x.reshape(-1) for x in np.meshgrid(rows, np.arange(b0, b1 + 1), columns, indexing="ij"))
+                v = every[(r * self.bands + b) * self.width + c - begin].astype(np.float32)
+                missing = np.isnan(v) if self.null is None else np.isnan(v) | (v == self.null)
+                yield pa.record_batch([pa.array(x.astype(np.int32)) for x in (b, r, c)] + [pa.array(v, mask=missing)], names=["band", "row", "col", "v"])
 
 
 class BilSource(DataSource):
@@ -106,23 +114,27 @@ def encoded(values: np.ndarray, cell_type: str, big_endian: bool, null_value: fl
     return values.astype(kind.newbyteorder(">" if big_endian else "<")).tobytes()
 
 
-def write(cells: DataFrame, path: str, grid: Grid, bands: int = 1, cell_type: str = "IEEE4ByteReal", big_endian: bool = False, null_value: float | None = None) -> None:
-    """Write ``cells(band, row, col, v)``; cells not given are missing.
+def write(cells: DataFrame, path: str, grid: Grid, bands: int = 1, cell_type: str = "IEEE4ByteReal", big_endian: bool = False, null_value: float | None = None, offset: int = 0) -> None:
+    """Write ``cells(band, row, col, v)`` behind ``offset`` zero bytes; cells not given are missing.
 
-    Executors encode whole lines; the driver appends them in order, a partition at a time, and holds no more than that.
+    Executors encode blocks of whole lines; the driver appends them to the one file in order, a partition at a time, and
+    holds no more than that.
     """
-    width = grid.width
+    width, each = grid.width, max(1, CELLS // (grid.width * bands))
 
     def lines(table: pa.Table) -> pa.Table:
-        row = table.column("row")[0].as_py()
-        block = np.full((bands, width), np.nan)
-        block[np.asarray(table.column("band")), np.asarray(table.column("col"))] = table.column("v").to_numpy().astype(float)
-        return pa.table({"row": pa.array([row], pa.int32()), "line": pa.array([encoded(block, cell_type, big_endian, null_value)], pa.binary())})
-
-    every = cells.sparkSession.range(grid.height).select(F.col("id").cast("int").alias("row"), F.lit(0).alias("band"), F.lit(0).alias("col"), F.lit(None).cast("float").alias("v"))
-    given = cells.select("row", F.col("band").cast("int").alias("band"), F.col("col").cast("int").alias("col"), F.col("v").cast("float").alias("v"))
-    own = every.join(given.select("row").distinct(), "row", "left_anti").select("row", "band", "col", "v").union(given)
-    done = own.groupBy("row").applyInArrow(lines, "row int, line binary").orderBy("row")
+        k = table.column("block")[0].as_py()
+        rows = min(each, grid.height - k * each)
+        block = np.full((rows, bands, width), np.nan)
+        known = table.filter(pc.is_valid(table.column("v")))
+        at = tuple(np.asarray(known.column(c)).astype(np.int64) for c in ("row", "band", "col"))
+        block[at[0] - k * each, at[1], at[2]] = known.column("v").to_numpy().astype(float)
+        return pa.table({"block": pa.array([k], pa.int64()), "lines": pa.array([encoded(block, cell_type, big_endian, null_value)], pa.binary())})
+
+    every = cells.sparkSession.range(-(-grid.height // each)).select(F.col("id").alias("block"), F.lit(0).alias("row"), F.lit(0).alias("band"), F.lit(0).alias("col"), F.lit(None).cast("float").alias("v"))
+    given = cells.select(F.floor(F.col("row") / each).cast("long").alias("block"), F.col("row").cast("int").alias("row"), F.col("band").cast("int").alias("band"), F.col("col").cast("int").alias("col"), F.col("v").cast("float").alias("v"))
+    done = every.union(given).groupBy("block").applyInArrow(lines, "block long, lines binary").orderBy("block")
     with open(path, "wb") as f:
+        f.write(b"\0" * offset)
         for r in done.toLocalIterator():
-            f.write(bytes(r["line"]))
+            f.write(bytes(r["lines"]))

@@ -35,6 +35,28 @@ class Block:
         found = self.get(key)
         return default if found is None else float(found)
 
+    def put(self, key: str, value: Value | float | None) -> None:
+        """Set an entry where it stands, or at the end; None takes it away. Numbers are written so that they read back equal."""
+        if isinstance(value, float):
+            value = str(int(value)) if value.is_integer() and abs(value) < 1e15 else repr(value)
+        elif isinstance(value, int):
+            value = str(value)
+        at = next((i for i, (k, _) in enumerate(self.entries) if k.lower() == key.lower()), None)
+        if value is None:
+            self.entries = [e for e in self.entries if e[0].lower() != key.lower()]
+        elif at is None:
+            self.entries.append((key, value))
+        else:
+            self.entries[at] = (self.entries[at][0], value)
+
+    def inner(self, name: str) -> Block:
+        """The inner block of this name, made if there is none."""
+        found = next((b for b in self.blocks if b.name.lower() == name.lower()), None)
+        if found is None:
+            found = Block(name)
+            self.blocks.append(found)
+        return found
+
     def child(self, name: str) -> Block:
         return next((b for b in self.blocks if b.name.lower() == name.lower()), Block(name))
 
@@ -174,25 +196,42 @@ def data_file(header_path: str, named: str | None, exists: set[str]) -> str | No
     return next((str(p) for p in [*tries, stem, PurePosixPath(f"{stem}.dat")] if str(p) in exists), None)
 
 
-#: Names of coordinate systems that carry no number of their own.
-NAMED = {"BMG:EOV": 23700, "EOV": 23700, "GEODETIC": 4326, "WGS84": 4326, "NAD27": 4267, "NAD83": 4269}
+#: Names of coordinate systems, and of datums whose geographic system stands for an unprojected raster.
+NAMED = {
+    "EOV": 23700, "BMG:EOV": 23700, "HD72/EOV": 23700, "HD72 / EOV": 23700, "GEODETIC": 4326, "LL": 4326, "LATLONG": 4326, "LONGLAT": 4326,
+    "WGS84": 4326, "WGS84LL": 4326, "WEBMERCATOR": 3857, "WEB MERCATOR": 3857, "GOOGLE": 3857,
+}
+DATUMS = {
+    "WGS84": 4326, "WGS 84": 4326, "NAD83": 4269, "NAD27": 4267, "GDA94": 4283, "AGD66": 4202, "AGD84": 4203, "ETRS89": 4258,
+    "HD72": 4237, "OSGB36": 4277,
+}
+#: Grids by zone, their first and last zones, and the number that the zone is added to.
+ZONED = (
+    (r"NUTM(\d+)", 1, 60, 32600), (r"SUTM(\d+)", 1, 60, 32700), (r"UTM(\d+)N", 1, 60, 32600), (r"UTM(\d+)S", 1, 60, 32700),
+    (r"TMAMG(\d+)", 48, 58, 20200), (r"AMG(\d+)", 48, 58, 20200), (r"MGA(\d+)", 46, 59, 28300),
+)
 
 
 def epsg(projection: str | None, datum: str | None) -> int | None:
     """The EPSG number that names suggest: one written out, a known name, a zone of a grid; a datum only if unprojected."""
-    name = (projection or "").strip().upper()
-    if m := re.fullmatch(r"(?:EPSG:)?(\d{4,6})", name):
-        return int(m[1])
-    if name == "GEODETIC" and (datum or "").strip().upper() in NAMED:
-        return NAMED[(datum or "").strip().upper()]
-    if name in NAMED:
-        return NAMED[name]
-    for pattern, base in ((r"NUTM(\d{1,2})", 32600), (r"SUTM(\d{1,2})", 32700), (r"TMAMG(\d{2})", 20200), (r"MGA(\d{2})", 28300)):
-        if m := re.fullmatch(pattern, name):
+
+    def name(text: str | None) -> str:
+        return (text or "").strip().strip('"').strip().upper()
+
+    def numbered(text: str) -> int | None:
+        m = re.fullmatch(r"(?:EPSG\s*:\s*)?\+?(\d+)", text)
+        return int(m[1]) if m and int(m[1]) > 0 else None
+
+    system = name(projection)
+    if (number := numbered(system)) is not None:
+        return number
+    if system in NAMED:
+        return NAMED[system]
+    for pattern, first, last, base in ZONED:
+        m = re.fullmatch(pattern, system.replace(" ", ""))
+        if m and first <= int(m[1]) <= last:
             return base + int(m[1])
-    if name in ("", "RAW", "LOCAL"):
-        spheroid = (datum or "").strip().upper()
-        if m := re.fullmatch(r"EPSG:(\d{4,6})", spheroid):
-            return int(m[1])
-        return NAMED.get(spheroid)
-    return None
+    if system not in ("", "RAW", "LOCAL"):
+        return None
+    spheroid = name(datum)
+    return numbered(spheroid) or DATUMS.get(spheroid) or NAMED.get(spheroid)

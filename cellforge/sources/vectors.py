@@ -246,3 +246,8 @@ def parse_palette(text: str) -> list[tuple[int, int, int]]:
     if not rows:
         raise ValueError("no colours")
     return (rows + [rows[-1]] * 256)[:256]
+
+
+def palette_text(rows: list[tuple[int, int, int]]) -> str:
+    """Text that ``parse_palette`` reads back: a line of three numbers for each of up to 256 colours."""
+    return "".join(f"{r}\t{g}\t{b}\n" for r, g, b in rows[:256])

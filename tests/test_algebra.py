@@ -31,7 +31,7 @@ def test_missing_bands(spark):
     assert value(spark, "iif(1, b1, b2)", b1=10.0, b2=None) is None
 
 
-@pytest.mark.parametrize("text", ["", "b1 +", "(b1", "b3", "foo(1)", "min(1)", "1 < 2 < 3", "b1 $ 2", "1.2.3", "sqrt()", "b1 b1", "iif(1, 2)"])
+@pytest.mark.parametrize("text", ["", "b1 +", "(b1", "b3", "foo(1)", "min(1)", "1 < 2 < 3", "b1 $ 2", "1.2.3", "sqrt()", "b1 b1", "iif(1, 2)", "sin(1)", "floor(1)"])
 def test_errors(spark, text):
     with pytest.raises(AlgebraError):
         compile_expression(text, {"b1": F.col("b1"), "b2": F.col("b2")})

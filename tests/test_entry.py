@@ -40,7 +40,7 @@ def views():
     return con
 
 
-@pytest.mark.parametrize("name", ["algebra_iif", "percentile_2_98", "mosaic_last", "aspect", "d8_accumulation", "zonal_layer", "bilinear_profile", "contour_segments"])
+@pytest.mark.parametrize("name", ["algebra_iif", "percentile_2_98", "mosaic_last", "aspect", "d8_accumulation", "zonal_layer", "bilinear_profile", "contour_segments", "swiss_relief", "colour_continuous", "viewshed_corner", "grade_trace", "local_relief"])
 def test_queries_equal_their_sql(spark, views, name):
     df = catalog.QUERIES[name](spark, DATA)
     order = sorted(df.columns)

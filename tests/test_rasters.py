@@ -97,7 +97,7 @@ def test_convolution(spark):
 
 def test_gaussian_of_gaps(spark):
     f = lambda x, y: None if (x, y) in ((3, 4), (4, 3)) else x * x + y
-    got = read(focal.gaussian(filled(spark, 9, 9, f), 1.0))[4, 4]
+    got = read(focal.gaussian(filled(spark, 9, 9, f), 1.0, Grid(9, 9)))[4, 4]
     weights = {(i, j): math.exp(-0.5 * i * i) * math.exp(-0.5 * j * j) for i in range(-3, 4) for j in range(-3, 4) if f(4 + i, 4 + j) is not None}
     assert got == pytest.approx(sum(w * f(4 + i, 4 + j) for (i, j), w in weights.items()) / sum(weights.values()), rel=1e-6)
 
@@ -159,5 +159,8 @@ def test_colours(spark):
 @pytest.mark.parametrize("parts", [1, 7])
 def test_partitions_do_not_matter(spark, parts):
     rows = [[(x * 7 + y * 13) % 11 for x in range(12)] for y in range(9)]
-    got = read(focal.gaussian(cells(spark, rows, parts), 1.0))
-    assert got == read(focal.gaussian(cells(spark, rows), 1.0))
+    got = read(focal.gaussian(cells(spark, rows, parts), 1.0, Grid(12, 9)))
+    weights = [math.exp(-0.5 * i * i) for i in range(-3, 4)]
+    assert got == read(focal.weighted(cells(spark, rows), weights, Grid(12, 9), rows=2))
+    near = focal.neighbours(cells(spark, rows, parts), 12, 9)
+    assert read(focal.slope(near)) == read(focal.slope(focal.neighbours(cells(spark, rows), 12, 9, rows=2)))

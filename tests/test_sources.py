@@ -54,7 +54,7 @@ def test_header():
 
 @pytest.mark.parametrize(
     ("projection", "datum", "want"),
-    [("BMG:EOV", None, 23700), ("NUTM33", None, 32633), ("SUTM56", None, 32756), ("TMAMG55", None, 20255), ("MGA55", None, 28355), ("EPSG:32633", None, 32633), ("GEODETIC", None, 4326), ("RAW", "NAD27", 4267), ("RAW", "RAW", None), (None, None, None)],
+    [("BMG:EOV", None, 23700), ("NUTM33", None, 32633), ("SUTM56", None, 32756), ("TMAMG55", None, 20255), ("MGA55", None, 28355), ("EPSG:32633", None, 32633), ("GEODETIC", None, 4326), ("RAW", "NAD27", 4267), ("RAW", "RAW", None), (None, None, None), ("LL", None, 4326), ("webmercator", None, 3857), ("HD72/EOV", None, 23700), ("UTM33N", None, 32633), ("utm 7 s", None, 32707), ("RAW", "GDA94", 4283), ("NUTM99", None, None), ("NUTM60", None, 32660), ("TMAMG47", None, None), ("GEODETIC", "NAD27", 4326), ('"EOV"', None, 23700), ("LOCAL", "EPSG:4258", 4258), ("Vendor", "WGS84", None)],
 )
 def test_coordinate_systems(projection, datum, want):
     assert header.epsg(projection, datum) == want
@@ -108,23 +108,24 @@ def test_geojson():
 
 
 def test_csv_points():
-    got = vectors.parse_csv_points("id,EOV_Y,EOV_X,z\n1,650000.5,240000,812.5\n")
-    assert got == [(0, "point", "id=1; z=812.5", [(650000.5, 240000.0)])]
-    got = vectors.parse_csv_points('# note\n12,5;7,25;"a; b"\n')
-    assert got == [(0, "point", "a; b", [(12.5, 7.25)])]
-    assert vectors.parse_csv_points(vectors.csv_points(got))[0][3] == [(12.5, 7.25)]
+    got = vectors.parse_csv_points("name,EOV_Y,EOV_X,depth\nwell,701234.25,198765,31.5\n")
+    assert got == [(0, "point", "name=well; depth=31.5", [(701234.25, 198765.0)])]
+    got = vectors.parse_csv_points('# measured in May\n3,125;-8,5;"oak; two stems"\n')
+    assert got == [(0, "point", "oak; two stems", [(3.125, -8.5)])]
+    assert vectors.parse_csv_points(vectors.csv_points(got))[0][3] == [(3.125, -8.5)]
 
 
 def test_objects():
-    text = 'box(,111.437,726.765,222.055,810.293,0,1,0,255,0,0,0).\npolygon(,9,[1,2,\n3,4,5,6],0,1,0,0,-1,-1,-1,0).\npoint("a \\"point\\"",0.5,0.7,0,25,13,226,1).\ntext("line",1,2,Font,1,12,1,0,0,1,0,0,255,1,["fixed, text"]).\n'
+    text = 'box(,10.25,20.5,30.75,41.125,1,2,3,4,5,6,0).\npolygon(,7,[11,12,\n13.5,14,15,16.25],1,2,3,4,5,6,7,0).\npoint("the \\"old\\" mill",8.5,-9.25,1,2,3,4,5).\ntext("sign",21,22,Serif,2,9,0,0,0,1,0,0,64,1,["north, uphill"]).\n'
     got = vectors.parse_objects(text)
-    assert [(k, a, p) for _, k, a, p in got] == [("box", None, [(111.437, 726.765), (222.055, 810.293)]), ("polygon", None, [(1, 2), (3, 4), (5, 6)]), ("point", 'a "point"', [(0.5, 0.7)]), ("text", "line", [(1, 2)])]
+    assert [(k, a, p) for _, k, a, p in got] == [("box", None, [(10.25, 20.5), (30.75, 41.125)]), ("polygon", None, [(11, 12), (13.5, 14), (15, 16.25)]), ("point", 'the "old" mill', [(8.5, -9.25)]), ("text", "sign", [(21, 22)])]
     again = vectors.parse_objects(vectors.objects(got[:3]))
     assert [(k, a, p) for _, k, a, p in again] == [(k, a, p) for _, k, a, p in got[:3]]
 
 
 def test_palette_and_extent(spark):
     colours = vectors.parse_palette("// p\n1\t2\t3\n4,5,6 # x\n")
+    assert vectors.parse_palette(vectors.palette_text(colours)) == colours
     assert len(colours) == 256 and colours[0] == (1, 2, 3) and colours[255] == (4, 5, 6)
     df = vectors.frame(spark, [(0, "poly", None, [(1.0, 5.0), (3.0, 2.0)])])
     assert tuple(vectors.extent(df).first()) == (1, 2, 3, 5)

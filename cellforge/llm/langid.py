@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import bpe
 
@@ -204,7 +205,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", least: float
     """Add ``lang_pred`` and ``lang_score`` to every row. A text whose likeness is below ``least`` is ``und`` also.
 
     A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned. Very short
-    texts get whatever their few trigrams say. Repeated rows are scored alike; other columns stay as they are.
+    texts get whatever their few trigrams say. Repeated rows are scored alike; other columns stay as they are, but for those
+    that have the names of the added ones, which are replaced.
     """
     fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score")]
 
@@ -224,8 +226,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", least: float
                 columns = [batch.column(f.name) for f in fields]
                 yield pa.record_batch([*columns, pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[*(f.name for f in fields), "lang_pred", "lang_score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*(F.col(f"`{f.name}`") for f in fields)).mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    kinds = StructType([*fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
+    return docs.select(*(F.col(f"`{f.name}`") for f in fields)).mapInArrow(run, kinds)
 
 
 def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:

@@ -10,7 +10,7 @@ of characters that the edits leave alone has a guaranteed length, and equal runs
 at nearly the same place, so nothing is missed. Keys are made in rounds by the shorter line's length, to bound the disk.
 
 A line occurrence is removed if an equal or linked line occurs earlier (by document id, then place); lines of fewer than
-``min_chars`` characters aren't joined by edits, and unless ``short`` is set not compared at all. Equal lines are combined before anything else. Keys with many
+``min_chars`` characters allow no edits, and unless ``short`` is set aren't compared at all. Equal lines are combined before anything else. Keys with many
 lines are dealt in blocks, whose tasks return the lines that have an earlier neighbour, so nothing grows with pairs.
 """
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import bpe
 from .common import groups, mixed, stored, tasks
@@ -169,6 +170,23 @@ def segment_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, thresho
                 yield np.flatnonzero(can), key(short[can], i, (start + at + shift)[can], size[can]), False
 
 
+def pair_histograms(lines: list[np.ndarray]) -> np.ndarray:
+    """How often each line has pairs of neighbouring characters, by 64 hashes of pairs."""
+    size = np.array([len(x) for x in lines], dtype=np.int64)
+    codes = np.concatenate(lines).astype(np.int64) if len(lines) else np.zeros(0, dtype=np.int64)
+    pair = (codes[:-1] * 31 + codes[1:] * 17 + (codes[1:] >> 3)) & 63 if len(codes) else codes
+    line = np.repeat(np.arange(len(lines)), size)
+    whole = line[:-1] == line[1:] if len(codes) else np.zeros(0, dtype=bool)
+    return np.bincount(line[:-1][whole] * 64 + pair[whole], minlength=64 * len(lines)).reshape(-1, 64).astype(np.int16) if len(lines) else np.zeros((0, 64), dtype=np.int16)
+
+
+def similar(a: np.ndarray, b: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Which rows of two histograms can be of lines within these edits: an edit takes away or adds two pairs at most."""
+    gap = a - b
+    more = np.maximum(gap, 0).sum(axis=1)
+    return (more <= 2 * edits) & (more - gap.sum(axis=1) <= 2 * edits)
+
+
 def within(a: list[np.ndarray], b: list[np.ndarray], threshold: int | None) -> np.ndarray:
     """Whether each pair (characters of a and b) is within the threshold (None: within the edits its length allows).
 
@@ -373,8 +391,11 @@ def later_of(pairs: DataFrame, threshold: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            good = within([characters(x["text"]) for x in a], [characters(x["text"]) for x in b], threshold)
-            late = [max(x, y, key=lambda r: (r["id"], r["line"])) for x, y, g in zip(a, b, good, strict=True) if g]
+            x, y = ([characters(r["text"]) for r in side] for side in (a, b))
+            edits = allowed(np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], dtype=np.int64), threshold)
+            near = np.flatnonzero(similar(pair_histograms(x), pair_histograms(y), edits))
+            good = near[within([x[k] for k in near], [y[k] for k in near], threshold)] if len(near) else near
+            late = [max(a[k], b[k], key=lambda r: (r["id"], r["line"])) for k in good]
             yield pa.record_batch([pa.array([x[c] for x in late], pa.int64()) for c in ("h1", "h2")], names=["h1", "h2"])
 
     return pairs.mapInArrow(run, LINE)
@@ -395,10 +416,13 @@ def later_in(members: DataFrame, threshold: int | None) -> DataFrame:
             some = np.abs(size[after] - size[before]) <= allowed(np.minimum(size[after], size[before]), threshold)
             after, before = after[some], before[some]
             found = np.zeros(len(rows), dtype=bool)
+            pairs = pair_histograms(codes)
             for k in range(0, len(after), 1 << 14):
                 a, b = after[k : k + (1 << 14)], before[k : k + (1 << 14)]
                 open_ = ~found[a]
                 a, b = a[open_], b[open_]
+                near = similar(pairs[a], pairs[b], allowed(np.minimum(size[a], size[b]), threshold))
+                a, b = a[near], b[near]
                 found[a[within([codes[i] for i in a], [codes[j] for j in b], threshold)]] = True
             late = [rows[i] for i in np.flatnonzero(found)]
             yield pa.record_batch([pa.array([x[c] for x in late], pa.int64()) for c in ("h1", "h2")], names=["h1", "h2"])
@@ -419,35 +443,38 @@ def removals(docs: DataFrame, threshold: int | None, min_chars: int, short: bool
     a = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), whole.alias("a"))
     b = lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), whole.alias("b"))
     by_pair = later_of(listed.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"), threshold)
-    sizes = alone.groupBy("key").agg(F.count("*").alias("size"))
+    sizes = stored(alone.groupBy("key").agg(F.count("*").alias("size")))  # stored tables join in parts where a key is hot
     by_key = later_in(alone.join(sizes, "key").join(lines, ["h1", "h2"]), threshold)
     late = by_pair.union(by_key).distinct().withColumn("late", F.lit(True))
     judged = first.select("h1", "h2", F.col("id").alias("first_id"), F.col("line").alias("first_line")).join(late, ["h1", "h2"], "left")
+    judged = stored(judged)
     repeated = (F.col("id") != F.col("first_id")) | (F.col("line") != F.col("first_line")) | F.coalesce("late", F.lit(False))
     return places.join(judged, ["h1", "h2"]).where(repeated).groupBy("id").agg(F.collect_list(F.struct("line", "h1")).alias("gone"))
 
 
-def deduplicate(docs: DataFrame, threshold: int | None = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """Every row with its text less the removed lines, and ``_n_lines`` and ``_n_removed`` added.
+def deduplicate(docs: DataFrame, threshold: int | None = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False, added: tuple[str, str] = ("_n_lines", "_n_removed")) -> DataFrame:
+    """Every row with its text less the removed lines, and ``_n_lines`` and ``_n_removed`` (or the names ``added``) added.
 
     A threshold of None allows edits by the length of the shorter line. ``short``: lines under ``min_chars`` that repeat
     an equal one go also, unless they are blank.
 
     A null text stays null (no lines); an empty one has one empty line. Rows with a null id take no part and stay as
     they are; rows that share an id are one document: an equal line at the same place of both counts as one occurrence.
-    Other columns stay, whatever their names but ``_id`` and ``_gone``; an empty table stays empty.
+    Other columns stay, whatever their names, but for those of the added ones, which are replaced; an empty table stays
+    empty.
     """
     key = F.col(f"`{id_col}`").cast("long")
     slim = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    gone = removals(slim, threshold, min_chars, short).select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone.hint("shuffle_hash"), key == F.col("_id"), "left")
-    others = [f for f in docs.schema.fields if f.name != text_col]
+    others = [c for c in docs.columns if c != text_col and c.lower() not in [a.lower() for a in added]]
+    gone = removals(slim, threshold, min_chars, short).select(F.col("id").alias("of_id"), "gone")
+    rows = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), (F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(0).alias("none"))).alias("row"))
+    joined = rows.join(gone.hint("shuffle_hash"), F.col("id") == F.col("of_id"), "left").select("row", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in bpe.blocks(whole, text_col):
-                texts, counts, removed = batch.column(text_col).to_pylist(), [], []
-                for i, (text, of) in enumerate(zip(texts, batch.column("_gone").to_pylist(), strict=True)):
+            for batch in bpe.blocks(whole, "text"):
+                texts, counts, removed = batch.column("text").to_pylist(), [], []
+                for i, (text, of) in enumerate(zip(texts, batch.column("gone").to_pylist(), strict=True)):
                     lines = [] if text is None else text.split("\n")
                     drop = set()
                     for x in of or []:
@@ -457,15 +484,16 @@ def deduplicate(docs: DataFrame, threshold: int | None = THRESHOLD, min_chars: i
                         texts[i] = "\n".join(x for k, x in enumerate(lines) if k not in drop)
                     counts.append(len(lines))
                     removed.append(len(drop))
-                yield pa.record_batch([*(batch.column(f.name) for f in others), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*(f.name for f in others), text_col, "_n_lines", "_n_removed"])
+                yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["row", "text", "n_lines", "n_removed"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    cut = joined.select(*(F.col(f"`{f.name}`") for f in others), F.col(f"`{text_col}`").cast("string").alias(text_col), "_gone")
-    out = cut.mapInArrow(run, f"{schema}, `{text_col}` string, _n_lines long, _n_removed long" if others else f"`{text_col}` string, _n_lines long, _n_removed long")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "_n_lines", "_n_removed")
+    kinds = StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    out = joined.mapInArrow(run, kinds)
+    kept = (F.col("text") if c == text_col else F.col("row")[c] for c in docs.columns if c == text_col or c in others)
+    names = [c for c in docs.columns if c == text_col or c in others]
+    return out.select(*(column.alias(c) for column, c in zip(kept, names, strict=True)), F.col("n_lines").alias(added[0]), F.col("n_removed").alias(added[1]))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row a document: ``doc_id, n_lines, n_removed, kept_sha256`` (of the text left; null: empty)."""
-    clean = deduplicate(docs.select("doc_id", "text"), None, short=True)
-    return clean.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    clean = deduplicate(docs.select("doc_id", "text"), None, short=True, added=("n_lines", "n_removed"))
+    return clean.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

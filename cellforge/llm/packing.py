@@ -162,6 +162,8 @@ def pieces(docs: DataFrame, path: str, max_tokens: int = 2048, end_id: int = 0,
 
 #: Runs up to this number are broadcast (40 bytes each); beyond it, they are joined by a shuffle.
 MOST_RUNS = 200_000
+#: Ranks of a block in which runs and pieces meet.
+RANKS = 100_000
 
 
 def pack(cut: DataFrame, capacities: Capacities = Capacities(), weights: tuple[float, float, float] = (1.0, 0.1, 0.1), rule: str = "norm") -> DataFrame:
@@ -169,13 +171,14 @@ def pack(cut: DataFrame, capacities: Capacities = Capacities(), weights: tuple[f
 
     ``cut`` is read several times and so must be stored. Pieces without a length don't take part. Which of several
     pieces of one length goes where follows doc_id, piece and so is the same on each run; equal rows are interchangeable.
+    Other columns stay, whatever their names, but for those of the added ones, which are replaced.
     """
     spark = cut.sparkSession
-    cut = cut.where(F.col("length").isNotNull())
-    counts = cut.groupBy("length").count().collect()  # one row a length: at most capacities.tokens
+    rows = cut.where(F.col("length").isNotNull()).select(F.struct(*(F.col(f"`{c}`") for c in cut.columns)).alias("row"), "doc_id", "piece", "length", "start")
+    counts = rows.groupBy("length").count().collect()  # one row a length: at most capacities.tokens
     runs = plan({r["length"]: r["count"] for r in counts}, capacities, weights, rule)
     buckets = max(64, tasks(cut), sum(r["count"] for r in counts) // 100_000)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     by_bucket = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = by_bucket.select(
         F.col("length").alias("in_length"), F.col("bucket").alias("in_bucket"),
@@ -187,10 +190,13 @@ def pack(cut: DataFrame, capacities: Capacities = Capacities(), weights: tuple[f
         .join(before, (F.col("length") == F.col("in_length")) & (F.col("bucket") == F.col("in_bucket")))
         .withColumn("rank", F.col("before") + F.col("within") - 1)
     )
-    table = spark.createDataFrame(pa.table({k: pa.array([r[i] for r in runs], pa.int64()) for i, k in enumerate(("of_length", "first", "last", "sequence", "offset"))}))
-    table = F.broadcast(table) if len(runs) <= MOST_RUNS else table
-    placed = ranked.join(table, (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
-    return placed.select(*cut.columns, (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    # runs of one length in blocks of ranks, so that a piece meets only those near its rank
+    table = pa.table({k: pa.array([r[i] for r in runs], pa.int64()) for i, k in enumerate(("of_length", "first", "last", "sequence", "offset"))})
+    known = spark.createDataFrame(table).withColumn("near", F.explode(F.sequence(F.floor(F.col("first") / RANKS), F.floor((F.col("last") - 1) / RANKS))))
+    known = F.broadcast(known) if len(runs) <= MOST_RUNS else known
+    met = (F.col("length") == F.col("of_length")) & (F.floor(F.col("rank") / RANKS) == F.col("near")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
+    placed = ranked.join(known, met).withColumn("at", F.struct((F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset"))
+    return placed.select(*(F.col("row")[c].alias(c) for c in cut.columns if c.lower() not in ("sequence_id", "offset")), "at.sequence_id", "at.offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacities: Capacities = Capacities(), end_id: int = 0) -> DataFrame:

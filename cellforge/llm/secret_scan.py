@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The base patterns, in the order in which kinds sort.
 PATTERNS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -94,22 +96,25 @@ def passing(candidate: Column, window: int, hex_bits: float, mixed_bits: float)
     return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), begin, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
-def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS, allowed: tuple[str, ...] = ALLOWED, spans_col: str = "_spans") -> DataFrame:
     """Add ``_spans``: array of (start, rank, end, kind) in order of start, then kind, to every row of ``docs``.
 
     rank numbers the kinds: assign 0, access 1, hex 2, entropy 3. A null or empty text has no spans. All other columns
-    stay as they are, whatever their names (but for those that begin with ``_``); an empty table stays empty.
+    stay as they are, whatever their names; one that has the name of the added column is replaced by it. An empty table
+    stays empty.
     """
+    others = [c for c in docs.columns if c.lower() != spans_col.lower()]
+    hits = dict(zip([*PATTERNS, "entropy"], fresh(docs, *(f"_{k}" for k in PATTERNS), "_entropy"), strict=True))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     run = f"[{ALPHABET[:-1]}-]{{{window},}}"
-    found = docs.select("*", *(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_{k}") for k, p in PATTERNS.items()), F.regexp_extract_all(text, F.lit(run), F.lit(0)).alias("_entropy"))
+    found = docs.select("*", *(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(hits[k]) for k, p in PATTERNS.items()), F.regexp_extract_all(text, F.lit(run), F.lit(0)).alias(hits["entropy"]))
     spans = []
     for rank, (kind, pattern) in enumerate(PATTERNS.items()):
-        own = positions(text, pattern, F.col(f"_{kind}"))
+        own = positions(text, pattern, F.col(hits[kind]))
         if kind == "assign":
             values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
             kept = F.filter(F.arrays_zip(own.alias("at"), values.alias("value")), lambda x: F.length(x["value"]) >= ASSIGN_LEAST)
-            own = F.when(F.size("_assign") > 0, F.transform(kept, lambda x: x["at"])).otherwise(own)
+            own = F.when(F.size(hits[kind]) > 0, F.transform(kept, lambda x: x["at"])).otherwise(own)
         spans.append(F.transform(own, labelled(rank, kind)))
 
     def candidate(at: Column, value: Column) -> Column:
@@ -119,16 +124,16 @@ def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, hex_bits
         worth = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~quiet
         return F.struct(at.alias("at"), F.when(worth, passing(value, window, hex_bits, mixed_bits)).alias("hit"))
 
-    checked = F.zip_with(positions(text, run, F.col("_entropy")), F.col("_entropy"), candidate)
+    checked = F.zip_with(positions(text, run, F.col(hits["entropy"])), F.col(hits["entropy"]), candidate)
     passed = F.filter(checked, lambda x: x["hit"]["first"].isNotNull())
-    worth_any = F.size("_entropy") > 0
+    worth_any = F.size(hits["entropy"]) > 0
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     added = F.transform(
         passed,
         lambda x: F.struct((x["at"]["start"] + x["hit"]["first"]).alias("start"), F.lit(3).alias("rank"), (x["at"]["start"] + x["hit"]["last"] + window).alias("end"), F.lit("entropy").alias("kind")),
     )
     spans.append(F.when(worth_any, added).otherwise(empty))
-    return found.select(*docs.columns, F.array_sort(F.concat(*spans)).alias("_spans"))
+    return found.select(*(F.col(f"`{c}`") for c in others), F.array_sort(F.concat(*spans)).alias(spans_col))
 
 
 def joined(spans: Column) -> Column:
@@ -137,7 +142,8 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace each maximal run of overlapping secret spans by ``[SECRET]``; columns stay, a null text stays null."""
-    scanned = scan(docs, text_col)
+    (spans_col,) = fresh(docs, "_spans")
+    scanned = scan(docs, text_col, spans_col=spans_col)
     text = F.col(f"`{text_col}`").cast("string")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -146,8 +152,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         first = F.when((s["start"] == 0) & (a["at"] == 0), F.lit("[SECRET]"))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.coalesce(gap, first, F.when(s["start"] >= a["at"], F.lit("[SECRET]")), F.lit(""))).alias("out"))
 
-    clean = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
-    value = F.when(F.size("_spans") > 0, clean).otherwise(text)
+    clean = F.aggregate(spans_col, begin, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+    value = F.when(F.size(spans_col) > 0, clean).otherwise(text)
     return scanned.select(*(value.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 

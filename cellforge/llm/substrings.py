@@ -50,8 +50,9 @@ def octets(data: np.ndarray) -> np.ndarray:
 def string_hashes(w: np.ndarray, at: np.ndarray | slice, size: int, n: int) -> np.ndarray:
     """Hashes of the ``size`` bytes from places ``at`` on, of ``n`` bytes whose octets are ``w``. They only bring equals together."""
     total = np.zeros(n if isinstance(at, slice) else len(at), dtype=np.uint64)
+    w = np.append(w, np.zeros(max(0, n + size - len(w)), dtype=np.uint64))
     for i, k in enumerate([*range(0, size - 8, 8), size - 8]):
-        part = w[k : k + n][at] if k + n <= len(w) else np.append(w[k:], np.zeros(k + n - len(w), dtype=np.uint64))[at]
+        part = w[k : k + n][at]
         total += (part ^ (part >> np.uint64(29))) * _PLACE[i % 8] + np.uint64(i)
     return mixed(total)
 

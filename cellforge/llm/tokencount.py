@@ -5,8 +5,13 @@ pre-tokens of a batch form a trie. The forward score of a node is that of the be
 of (forward score at an ancestor + score of the piece between), ties to fewer tokens. It is computed once for every
 pre-token that shares the prefix, level by level; where a pre-token ends, its number of tokens is stored.
 
-Pieces and scores come from a file of the sentencepiece library. A character that is no piece falls back to its UTF-8
-bytes, a token each, at a score below every piece's.
+Pieces come from a file of the sentencepiece library, or with their scores from the caller. A file of merges tells ranks
+and not probabilities, whose sums would mean nothing: its pieces get the logarithms of probabilities that fall with the
+rank by Zipf's law. Nothing is learned from texts. A character that is no piece falls back to its UTF-8 bytes, a token
+each, at a score below every piece's.
+
+Pre-tokens are made distinct, and their trie is built, in each batch: the trie of a block of documents stays in its task,
+so that no text and no word is shuffled, and how words are divided among batches changes nothing in their counts.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from . import bpe
 MARK = "▁"
 #: How far the score of a fallback byte lies below the least piece's.
 FALLBACK = 10.0
+#: Probabilities of a file of merges are in proportion to 1 / (rank + SHIFT), ranks from 0.
+SHIFT = 2.7
 
 
 class Pieces:
@@ -55,13 +62,24 @@ class Pieces:
         return np.where(self.keys[at] == keys, self.to[at], -1)
 
 
+def zipf(ranked: list[str]) -> dict[str, float]:
+    """Log-probabilities of pieces in order of their ranks."""
+    weight = 1.0 / (np.arange(len(ranked)) + SHIFT)
+    return dict(zip(ranked, np.log(weight / weight.sum()).tolist(), strict=True))
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
+    """The pieces of a file: with its scores if they are log-probabilities (type unigram), else by their ranks."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    plain = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
-    return Pieces({model.id_to_piece(i): model.get_score(i) for i in plain})
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
+    likely = np.exp(np.clip(list(scores.values()), -700.0, 700.0)).sum() if scores else 0.0
+    if 0.5 < likely < 2.0 and not all(float(x).is_integer() for x in scores.values()):
+        return Pieces(scores)
+    return Pieces(zipf(sorted(scores, key=lambda x: (-scores[x], x))))
 
 
 def counted(words: list[str], known: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -147,15 +165,15 @@ def counted(words: list[str], known: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return result, value
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: ``doc_id, n_pretokens, n_tokens, score``.
+def count_tokens(docs: DataFrame, path: str | None, id_col: str = "doc_id", text_col: str = "text", scores: dict[str, float] | None = None) -> DataFrame:
+    """One row a document: ``doc_id, n_pretokens, n_tokens, score``, with the pieces of a file or the ``scores`` of pieces.
 
     A text that is null, empty or white space has no pre-tokens, no tokens and score 0. Repeated rows are counted each;
     an empty table gives an empty one; other columns don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(path)
+        known = pieces(path) if scores is None else Pieces(scores)
         for whole in batches:
             for batch in bpe.blocks(whole, "text"):
                 words = pc.ascii_split_whitespace(pc.fill_null(batch.column("text"), ""))

@@ -134,7 +134,7 @@ def test_top_k_equals_brute_force(spark):
         others = np.flatnonzero(ids != ids[q])
         best = others[np.lexsort((ids[others], -s[others]))][:5]
         want += [(int(ids[q]), k + 1, int(ids[j]), int(s[j])) for k, j in enumerate(best)]
-    two = v[0][:2]  # vectors of two components have each other only
+    two = v[0][:2].astype(float)  # vectors of two components have each other only
     for block in (16, 4096):
         got = collected(knn.top_k(df, F.col("id") % 50 == 0, block=block), "query_id", "rank", "vec_id", "score")
         assert got == sorted(want)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellforge.llm import langid, linededup, minhash, packing, queries, secret_scan
-from cellforge.llm.common import stored
+from cellforge.llm.common import fresh, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,16 +25,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: lines that repeat an earlier one, but for an edit, go; so do documents of which nothing else was left."""
-    clean = linededup.deduplicate(docs)
-    empty = (F.col("_n_removed") > 0) & ~F.col("text").rlike(r"\S")
+    """Line dedup: lines of any length that repeat an earlier one, longer ones also if but for an edit, go; so do documents
+    of which nothing else was left."""
+    total, removed = fresh(docs, "_n_lines", "_n_removed")
+    clean = linededup.deduplicate(docs, short=True, added=(total, removed))
+    empty = (F.col(removed) > 0) & ~F.col("text").rlike(r"\S")
     return clean.where(~empty).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each group of similar documents the one with the smallest id stays."""
     gone = minhash.deduplicate(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs)
+            docs = stored(docs, after=[docs])
     return docs

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Spark deletes the shuffle files of a query at its end where this is set.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Share of the driver's heap from which finished plans are collected between steps.
+FULL = 0.4
+
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -47,6 +50,9 @@ def stored(df: DataFrame, after: Iterable[DataFrame] = ()) -> DataFrame:
     _filesystem(spark, at).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(at))
     for x in after:
         discard(x)
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() - runtime.freeMemory() > FULL * runtime.maxMemory():
+        spark._jvm.System.gc()  # plans of finished steps, in a driver of little memory that runs many
     out = spark.read.schema(schema).parquet(at)
     _PLACES[out] = at
     return out

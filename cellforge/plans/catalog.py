@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.algebra import compile_expression
 from ..operators import contour, fill, focal, grade, hydro, kernels, render, sampling, stats, visibility, zones
 from ..operators.grid import Grid, crop, dense, overview
+from ..streaming import windows
 from . import rasters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,7 +296,7 @@ def around_sql(weights: list[float]) -> str:
     w = f"[{', '.join(map(repr, weights))}]"
     mean = f"sum(b.v * {w}[b.col - a.col + {r + 1}] * {w}[b.\"row\" - a.\"row\" + {r + 1}]) / sum({w}[b.col - a.col + {r + 1}] * {w}[b.\"row\" - a.\"row\" + {r + 1}]) FILTER (b.v IS NOT NULL)"
     return f"""WITH {rasters.RELIEF} SELECT a."row", a.col, {sql_single(f'CASE WHEN any_value(a.v) IS NOT NULL THEN {mean} END')} AS v
-FROM cells a JOIN cells b ON abs(a."row" - b."row") <= {r} AND abs(a.col - b.col) <= {r} GROUP BY a."row", a.col"""
+FROM (SELECT "row", col, v, dy, dx FROM cells, range({-r}, {r + 1}) p(dy), range({-r}, {r + 1}) q(dx)) a JOIN cells b ON b."row" = a."row" + dy AND b.col = a.col + dx GROUP BY a."row", a.col"""
 
 
 @registered(around_sql([1.0] * 5))
@@ -311,11 +312,15 @@ def gaussian_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Direction of each cell: the steepest of eight strictly lower neighbours, earlier codes first.
+FALLS = ", ".join(
+    f"{{'steep': (v - {z}) / sqrt({dx * dx + dy * dy}), 'place': {-k}, 'code': {1 << k}, 'dx': {dx}, 'dy': {dy}}}"
+    for k, (z, dx, dy) in enumerate((("z5", 1, 0), ("z8", 1, 1), ("z7", 0, 1), ("z6", -1, 1), ("z3", -1, 0), ("z0", -1, -1), ("z1", 0, -1), ("z2", 1, -1)))
+)
 DIRECTION = f"""{rasters.RELIEF},
-dirs AS (SELECT * FROM (VALUES (1,1,0,0),(2,1,1,1),(4,0,1,2),(8,-1,1,3),(16,-1,0,4),(32,-1,-1,5),(64,0,-1,6),(128,1,-1,7)) t(code, dx, dy, place)),
-falls AS (SELECT a."row", a.col, code, dx, dy, row_number() OVER (PARTITION BY a."row", a.col ORDER BY (a.v - b.v) / sqrt(dx*dx + dy*dy) DESC, place) AS rn
-  FROM cells a, dirs JOIN cells b ON b."row" = a."row" + dy AND b.col = a.col + dx WHERE a.v > b.v),
-dir AS (SELECT c."row", c.col, CASE WHEN c.v IS NOT NULL THEN CAST(coalesce(code, 0) AS INT) END AS v, dx, dy FROM cells c LEFT JOIN falls f ON f."row" = c."row" AND f.col = c.col AND rn = 1)"""
+side AS (SELECT "row", col, v, lag(v) OVER (PARTITION BY "row" ORDER BY col) AS a, lead(v) OVER (PARTITION BY "row" ORDER BY col) AS e FROM cells),
+nine AS (SELECT "row", col, v, a AS z3, e AS z5, lag(a) OVER c AS z0, lag(v) OVER c AS z1, lag(e) OVER c AS z2, lead(a) OVER c AS z6, lead(v) OVER c AS z7, lead(e) OVER c AS z8 FROM side WINDOW c AS (PARTITION BY col ORDER BY "row")),
+best AS (SELECT "row", col, v, list_sort(list_filter([{FALLS}], lambda x: x.steep > 0), 'DESC')[1] AS b FROM nine),
+dir AS MATERIALIZED (SELECT "row", col, CASE WHEN v IS NOT NULL THEN CAST(coalesce(b.code, 0) AS INT) END AS v, b.dx AS dx, b.dy AS dy FROM best)"""
 
 
 @registered(f'WITH {DIRECTION} SELECT "row", col, v FROM dir')
@@ -688,7 +693,19 @@ def fitted_sql(source: str, value: str, axis: str) -> str:
 
 
 @registered(f"""WITH {rasters.QUANTITY}, across AS (SELECT "row", col, fit AS v FROM {fitted_sql('cells', 'v', 'col')}), down AS (SELECT "row", col, fit FROM {fitted_sql('across', 'v', '"row"')})
-SELECT c."row", c.col, CAST(round(c.v - fit, 3) AS FLOAT) + CAST(0 AS FLOAT) AS v FROM cells c LEFT JOIN down ON down."row" = c."row" AND down.col = c.col""")
+SELECT c."row", c.col, CAST(c.v - fit AS FLOAT) + CAST(0 AS FLOAT) AS v FROM cells c LEFT JOIN down ON down."row" = c."row" AND down.col = c.col""")
 def local_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """To three decimals: what is subtracted is a thousand times what is left."""
-    return kernels.local_relief(*rasters.quantity(spark, sf_dir), 6.0).withColumn("v", single(F.round(F.col("v").cast("double"), 3)))
+    return kernels.local_relief(*rasters.quantity(spark, sf_dir), 6.0).withColumn("v", single("v"))
+
+
+
+@registered("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(value) AS n, min(value) AS min, max(value) AS max, CAST(avg(value) AS FLOAT) AS mean, CAST(stddev_pop(value) AS FLOAT) AS std FROM events WHERE value IS NOT NULL GROUP BY 1, 2""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily statistics of the events as they arrive: the table is read as a stream until nothing is left."""
+    schema = rasters.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern: a stream reads folders, or files that match
+    # a time without a zone as one of UTC, and back: whatever the session's zone, days are those of the table
+    timed = stream.withColumn("at", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")))
+    found = windows.drained(windows.windowed(timed, "at", "value", "1 day", "1 hour", "event_type"))
+    start = F.expr("timestampadd(MICROSECOND, unix_micros(start), timestamp_ntz'1970-01-01 00:00:00')")
+    return found.withColumns({"start": start, **{c: single(c) for c in ("mean", "std")}})

@@ -52,7 +52,7 @@ def relief(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
 RELIEF = """given AS (SELECT o_orderkey * 8 + k AS at, CAST(max((CAST(round_even(o_totalprice * 100, 0) AS BIGINT) * (k * 37 + 11) % 100003) / 100.0::DOUBLE) AS FLOAT) AS v FROM orders, range(8) r(k) WHERE (o_orderkey * 8 + k) % 97 <> 5 GROUP BY 1),
 span AS (SELECT CAST(ceil(sqrt((max(o_orderkey) + 1) * 8)) AS BIGINT) AS w, (max(o_orderkey) + 1) * 8 AS n FROM orders),
 size AS (SELECT w, CAST(ceil(n / w) AS BIGINT) AS h FROM span),
-cells AS (SELECT CAST(i // w AS INT) AS "row", CAST(i % w AS INT) AS col, CAST(given.v AS DOUBLE) AS v FROM (SELECT w, unnest(range(w * h)) AS i FROM size) LEFT JOIN given ON given.at = i)"""
+cells AS MATERIALIZED (SELECT CAST(i // w AS INT) AS "row", CAST(i % w AS INT) AS col, CAST(given.v AS DOUBLE) AS v FROM (SELECT w, unnest(range(w * h)) AS i FROM size) LEFT JOIN given ON given.at = i)"""
 
 
 def days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:

@@ -1 +1 @@
-"""Streaming of the raster engine."""
+"""Statistics of values that arrive over time, by Structured Streaming."""

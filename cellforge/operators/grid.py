@@ -8,6 +8,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Cells up to which a raster may be broadcast.
+BROADCAST_CELLS = 1 << 17
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -103,11 +106,17 @@ def normalised(cells: DataFrame, value: str, nodata: float | None = None) -> Dat
     return cells.withColumn(value, F.when(~missing, v))
 
 
+def kept_apart(cells: DataFrame, count: int) -> DataFrame:
+    """``cells`` for one side of a join, never to be broadcast if they are many: estimates from the size of files don't see
+    the rows that an operator makes of one, and a broadcast goes through the driver."""
+    return cells.hint("merge") if count > BROADCAST_CELLS else cells
+
+
 def dense(cells: DataFrame, grid: Grid, *values: str) -> DataFrame:
     """A row for every cell of the grid; cells not given are null."""
     n = grid.width
     every = cells.sparkSession.range(grid.width * grid.height).select((F.col("id") / n).cast("int").alias("row"), (F.col("id") % n).cast("int").alias("col"))
-    return every.join(cells.select("row", "col", *values), ["row", "col"], "left")
+    return every.join(kept_apart(cells.select("row", "col", *values), grid.width * grid.height), ["row", "col"], "left")
 
 
 def crop(cells: DataFrame, grid: Grid, x: int, y: int, width: int, height: int, *values: str) -> tuple[DataFrame, Grid]:

@@ -164,3 +164,15 @@ def test_partitions_do_not_matter(spark, parts):
     assert got == read(focal.weighted(cells(spark, rows), weights, Grid(12, 9), rows=2))
     near = focal.neighbours(cells(spark, rows, parts), 12, 9)
     assert read(focal.slope(near)) == read(focal.slope(focal.neighbours(cells(spark, rows), 12, 9, rows=2)))
+
+
+def test_rasters_larger_than_their_files_are_not_broadcast(spark, tmp_path):
+    side = 512
+    at = str(tmp_path / "few")
+    spark.range(side * side // 64).coalesce(1).write.parquet(at)  # small on disk, 64 cells a row
+    key = F.col("id") * 64 + F.col("k")
+    found = spark.read.parquet(at).select("id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")).select(F.floor(key / side).cast("int").alias("row"), (key % side).cast("int").alias("col"), key.cast("float").alias("v"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    dense = grid.dense(found, Grid(side, side), "v")
+    assert "Broadcast" not in plan(dense) and dense.where("v IS NOT NULL").count() == side * side
+    assert "Broadcast" in plan(grid.dense(found.where("row < 8"), Grid(side, 8), "v"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 from .focal import neighbours
+from .grid import kept_apart
 
 #: Code, step east and step south of each of the eight directions, in order of precedence.
 DIRECTIONS = ((1, 1, 0), (2, 1, 1), (4, 0, 1), (8, -1, 1), (16, -1, 0), (32, -1, -1), (64, 0, -1), (128, 1, -1))
@@ -55,16 +56,17 @@ def flow_accumulation(directions: DataFrame) -> DataFrame:
     state = flow_edges(directions).select(key("row", "col").alias("id"), F.when(F.col("to_row").isNotNull(), key("to_row", "to_col")).alias("to"), F.lit(1).cast("long").alias("n"))
     state = stored(state)
     cells, rounds = state.count(), 0
-    while state.where("to IS NOT NULL").head(1):
+    while open_ := state.where("to IS NOT NULL").count():
         if 1 << rounds > cells:
             raise CycleError("flow directions hold a cycle")
-        arrives = state.where("to IS NOT NULL").groupBy("to").agg(F.sum("n").alias("more")).withColumnRenamed("to", "at")
-        after = state.select(F.col("id").alias("via"), F.col("to").alias("beyond"))
-        joined = state.join(arrives, F.col("id") == F.col("at"), "left").join(after, F.col("to") == F.col("via"), "left")
+        flows = state.where("to IS NOT NULL")
+        arrives = flows.groupBy("to").agg(F.sum("n").alias("more")).withColumnRenamed("to", "at")
+        after = flows.select(F.col("id").alias("via"), F.col("to").alias("beyond"))
+        joined = state.join(kept_apart(arrives, open_), F.col("id") == F.col("at"), "left").join(kept_apart(after, open_), F.col("to") == F.col("via"), "left")
         state = stored(joined.select("id", F.col("beyond").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), after=[state])
         rounds += 1
     valid = state.select("id.row", "id.col", (F.col("n") - 1).cast("float").alias("acc"))
-    return directions.select("row", "col").join(valid, ["row", "col"], "left").select("row", "col", F.col("acc").alias("v"))
+    return directions.select("row", "col").join(kept_apart(valid, cells), ["row", "col"], "left").select("row", "col", F.col("acc").alias("v"))
 
 
 def stream_cells(accumulation: DataFrame, threshold: float) -> DataFrame:

@@ -176,3 +176,5 @@ def test_rasters_larger_than_their_files_are_not_broadcast(spark, tmp_path):
     dense = grid.dense(found, Grid(side, side), "v")
     assert "Broadcast" not in plan(dense) and dense.where("v IS NOT NULL").count() == side * side
     assert "Broadcast" in plan(grid.dense(found.where("row < 8"), Grid(side, 8), "v"))
+    flows = hydro.flow_accumulation(found.select("row", "col", F.when(F.col("col") < side - 1, 1).otherwise(0).alias("v")))
+    assert "Broadcast" not in plan(flows) and flows.where("col = v").count() == side * side

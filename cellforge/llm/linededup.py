@@ -8,6 +8,8 @@ Without a fixed threshold the edits allowed grow with the shorter line (``allowe
 characters or more would be probed too often at that many edits: such lines meet by minimizers instead. The longest run
 of characters that the edits leave alone has a guaranteed length, and equal runs of that length have an equal minimizer
 at nearly the same place, so nothing is missed. Keys are made in rounds by the shorter line's length, to bound the disk.
+Rows of keys carry the line's length, the place and counts of its characters: most lines that meet by chance are told
+apart by these, before any text is fetched.
 
 A line occurrence is removed if an equal or linked line occurs earlier (by document id, then place); lines of fewer than
 ``min_chars`` characters allow no edits, and unless ``short`` is set aren't compared at all. Equal lines are combined before anything else. Keys with many
@@ -35,12 +37,16 @@ MIN_CHARS = 20
 #: Edits allowed by length: a tenth of the shorter line, at least and at most these.
 LEAST_EDITS, MOST_EDITS = 2, 8
 #: Shorter lines from this length on meet by minimizers; rounds of keys begin at these lengths of the shorter line.
-SPAN = 128
-ROUNDS = (0, 70, 95, 112, SPAN, 200, 312)
+SPAN = 112
+ROUNDS = (0, 70, 95, SPAN, 175, 272, 425)
 #: Minimizers meet within buckets of this many places.
 PLACES = 32
-#: Lines under one key up to which pairs are listed; and lines of a block beyond.
+#: Under one key, pairs are listed up to half of this for each line; and lines of a block beyond.
 SMALL, BLOCK = 16, 256
+#: Pairs of similar length for each line under a key up to which marks are compared.
+TRIED = 64
+#: Bits of a mark: counts of characters by group, modulo 16; the length; the place; whether the key is the line's own.
+GROUPS, LENGTH_BITS, PLACE_BITS = 10, 16, 7
 #: Characters of one side of the pairs that are verified at once.
 CELLS = 1 << 19
 #: Bytes of text whose substrings are hashed at once; the arrays take some fifty times that.
@@ -95,7 +101,7 @@ def rounds(threshold: int | None) -> list[tuple[int, int]]:
     return list(zip(ROUNDS, (*ROUNDS[1:], 1 << 40), strict=True)) if threshold is None else [(0, 1 << 40)]
 
 
-def keys_by_length(codes: np.ndarray, start: np.ndarray, length: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def keys_by_length(codes: np.ndarray, start: np.ndarray, length: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """As ``line_keys``, for pairs whose shorter line has ``low`` to ``high - 1`` characters and allows edits by its length."""
     sub = Substrings(codes)
     if low >= SPAN:
@@ -104,11 +110,11 @@ def keys_by_length(codes: np.ndarray, start: np.ndarray, length: np.ndarray, low
     for threshold in range(LEAST_EDITS, MOST_EDITS + 1):
         near = np.flatnonzero((allowed(length, None) >= threshold) & (allowed(length - threshold, None) <= threshold))
         if len(near):
-            for at, key, own in segment_keys(sub, start[near], length[near], threshold, low, high, True):
-                yield near[at], key, own
+            for at, key, place, own in segment_keys(sub, start[near], length[near], threshold, low, high, True):
+                yield near[at], key, place, own
 
 
-def minimizer_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def minimizer_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """Keys of minimizers, in classes of the shorter line's length; lines just beyond a class have its keys also."""
     a, longest = SPAN, int(length.max(initial=0))
     while a < min(high, longest + 1):
@@ -136,16 +142,16 @@ def minimizer_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, low:
                 bucket = (place[chosen] + side * (MOST_EDITS // 2)) // PLACES
                 new = np.ones(len(chosen), dtype=bool) if side < 0 else bucket != (place[chosen] - MOST_EDITS // 2) // PLACES
                 key = mixed(gram[chosen[new]] ^ mixed((bucket[new] * 4096 + a * (1 << 30)).astype(np.uint64))).view(np.int64)
-                yield lines[line[chosen[new]]], key, True
+                yield lines[line[chosen[new]]], key, place[chosen[new]], True
         a = b
 
 
-def line_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(lines, keys, indexed): keys of each line's own segments, then of the substrings it probes for shorter lines' ones."""
+def line_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(lines, keys, places, indexed): keys of each line's own segments, then of the substrings it probes for shorter lines' ones."""
     return segment_keys(Substrings(codes), start, length, threshold)
 
 
-def segment_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, threshold: int, low: int = 0, high: int = 1 << 40, tied: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def segment_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, threshold: int, low: int = 0, high: int = 1 << 40, tied: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """As ``line_keys``, for shorter lines of ``low`` to ``high - 1`` characters; ``tied``: that allow just this many edits."""
 
     def key(of_length: np.ndarray, i: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -157,7 +163,7 @@ def segment_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, thresho
     every = np.flatnonzero(meant(length))
     for i in range(threshold + 1):
         at, size = segment(length[every], i, threshold)
-        yield every, key(length[every], i, start[every] + at, size), True
+        yield every, key(length[every], i, start[every] + at, size), at, True
     for gap in range(threshold + 1):
         short = length - gap
         some = meant(short)
@@ -167,7 +173,52 @@ def segment_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, thresho
                 if gap == 0 and shift == 0:
                     continue  # that is the line's own segment
                 can = some & (short > threshold) & (at + shift >= 0) & (at + shift + size <= length)
-                yield np.flatnonzero(can), key(short[can], i, (start + at + shift)[can], size[can]), False
+                yield np.flatnonzero(can), key(short[can], i, (start + at + shift)[can], size[can]), (at + shift)[can], False
+
+
+def counts(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How often each line has characters of each group, modulo 16, in four bits each."""
+    line = np.repeat(np.arange(len(length)), length)
+    found = np.bincount(line * GROUPS + codes % GROUPS, minlength=GROUPS * len(length)).reshape(-1, GROUPS)
+    return ((found & 15).astype(np.uint64) << (np.arange(GROUPS, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+
+
+def marks(held: np.ndarray, length: np.ndarray, place: np.ndarray, own: bool) -> np.ndarray:
+    """What a row of a key tells of its line, in 64 bits."""
+    at = 4 * GROUPS
+    out = held | ((length & ((1 << LENGTH_BITS) - 1)) << at).astype(np.uint64) | ((place & ((1 << PLACE_BITS) - 1)) << (at + LENGTH_BITS)).astype(np.uint64)
+    return (out | np.uint64(own << (at + LENGTH_BITS + PLACE_BITS))).view(np.int64)
+
+
+def mark_length(mark: np.ndarray) -> np.ndarray:
+    return (mark >> (4 * GROUPS)) & ((1 << LENGTH_BITS) - 1)
+
+
+def mark_own(mark: np.ndarray) -> np.ndarray:
+    return (mark >> (4 * GROUPS + LENGTH_BITS + PLACE_BITS)) & 1 == 1
+
+
+def may_link(a: np.ndarray, b: np.ndarray, threshold: int | None, long: bool) -> np.ndarray:
+    """Which pairs of marks can be of lines within the edits allowed that agree at these places; ``long``: of lines whose
+    length may be beyond its field.
+
+    Edits before the place shift it, those after it make up the rest of the difference in length; an edit changes one
+    count, or two if it leaves the length. Differences are taken modulo the fields' ranges, so they are never too large.
+    """
+
+    def gap(shift: int, bits: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        half = 1 << (bits - 1)
+        return ((((a >> shift) - (b >> shift)) + half) & ((1 << bits) - 1)) - half
+
+    longer, moved = gap(4 * GROUPS, LENGTH_BITS, a, b), gap(4 * GROUPS + LENGTH_BITS, PLACE_BITS, a, b)
+    edits = np.full(len(a), most(threshold)) if long else allowed(np.minimum(mark_length(a), mark_length(b)), threshold)
+    out = np.abs(moved) + np.abs(longer - moved) <= edits
+    some = np.flatnonzero(out)
+    a, b, spare = a[some], b[some], 2 * edits[some] - np.abs(longer[some])
+    for k in range(GROUPS):
+        spare = spare - np.abs(gap(4 * k, 4, a, b))
+    out[some] = spare >= 0
+    return out
 
 
 def pair_histograms(lines: list[np.ndarray]) -> np.ndarray:
@@ -286,7 +337,7 @@ def occurrences(docs: DataFrame, min_chars: int, short: bool = False) -> DataFra
 
 
 def keyed(docs: DataFrame, threshold: int | None, min_chars: int, low: int = 0, high: int = 1 << 40) -> DataFrame:
-    """``key, own, h1, h2``: the keys of every line in a round from ``low`` to ``high``, each line once a batch."""
+    """``key, h1, mark``: the keys of every line in a round from ``low`` to ``high``, each line once a batch."""
     least, beyond = max(low, min_chars), high + most(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,40 +352,55 @@ def keyed(docs: DataFrame, threshold: int | None, min_chars: int, low: int = 0,
                 length = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
                 codes = np.frombuffer("".join(distinct).encode("utf-32-le"), dtype=np.uint32)
                 start = np.cumsum(length) - length
+                held = counts(codes, start, length)
                 found = keys_by_length(codes, start, length, low, high) if threshold is None else line_keys(codes, start, length, threshold)
-                for at, key, own in found:
-                    yield pa.record_batch([pa.array(key), pa.array(np.full(len(at), own)), pa.array(h[at, 0]), pa.array(h[at, 1])], names=["key", "own", "h1", "h2"])
+                for at, key, place, own in found:
+                    yield pa.record_batch([pa.array(key), pa.array(h[at, 0]), pa.array(marks(held[at], length[at], place, own))], names=["key", "h1", "mark"])
 
-    return docs.mapInArrow(run, f"key long, own boolean, {LINE}")
+    return docs.mapInArrow(run, "key long, h1 long, mark long")
 
 
-def met(keys: DataFrame) -> DataFrame:
-    """``key, a1, a2, b1, b2``: pairs of lines under small keys; under large ones each line alone, b1 and b2 null."""
+def met(keys: DataFrame, threshold: int | None, long: bool) -> DataFrame:
+    """``key, a, b``: pairs of lines (by h1) under a key whose marks allow a link; under keys with many of them each line
+    alone, b null. Lines that share an h1 are verified all, so half of the hash is enough here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
-            key, own, h1, h2 = (np.asarray(batch.column(c)) for c in ("key", "own", "h1", "h2"))
-            order = np.lexsort((~own, h2, h1, key))
-            key, own, h1, h2 = key[order], own[order], h1[order], h2[order]
+            key, h1, mark = (np.asarray(batch.column(c)) for c in ("key", "h1", "mark"))
+            again = key[1:] == key[:-1]
+            some = np.flatnonzero(np.append(again, False) | np.insert(again, 0, False))
+            if not len(some):
+                continue
+            key, h1, mark = key[some], h1[some], mark[some]
+            order = np.lexsort((mark, h1, mark_length(mark), key))
+            key, h1, mark = key[order], h1[order], mark[order]
             new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            key, own, h1, h2 = key[new], own[new], h1[new], h2[new]
+            new[1:] = (key[1:] != key[:-1]) | (h1[1:] != h1[:-1]) | (mark[1:] != mark[:-1])
+            key, h1, mark = key[new], h1[new], mark[new]
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(cut, len(key)))
-            place = np.arange(len(key)) - np.repeat(cut, size)
-            of = np.repeat(size, size)
-            out = [np.zeros((0, 5), dtype=np.int64)]
-            for gap in range(1, int(min(SMALL, size.max())) if len(size) else 0):
-                a = np.flatnonzero((of <= SMALL) & (place + gap < of))
-                a = a[own[a] | own[a + gap]]
-                out.append(np.stack((key[a], h1[a], h2[a], h1[a + gap], h2[a + gap]), axis=1))
-            pairs = np.concatenate(out)
-            alone = np.flatnonzero(of > SMALL)
-            columns = [np.concatenate((pairs[:, i], x[alone])) for i, x in enumerate((key, h1, h2))]
-            rest = [pa.array(np.append(pairs[:, i], np.zeros(len(alone), dtype=np.int64)), mask=np.arange(len(pairs) + len(alone)) >= len(pairs)) for i in (3, 4)]
-            yield pa.record_batch([*map(pa.array, columns), *rest], names=["key", "a1", "a2", "b1", "b2"])
-
-    return keys.repartition(tasks(keys), "key").sortWithinPartitions("key").mapInArrow(run, "key long, a1 long, a2 long, b1 long, b2 long")
+            group = np.repeat(np.arange(len(size)), size)
+            length, own = mark_length(mark), mark_own(mark)
+            place = (group << (LENGTH_BITS + 4)) + length
+            near = np.searchsorted(place, place + most(threshold), "right") - np.arange(len(key)) - 1
+            round_ = length >= (1 << LENGTH_BITS) - most(threshold)  # the lengths that follow begin at 0 again
+            large = (np.add.reduceat(near, cut) > TRIED * size) | (np.bincount(group[round_], minlength=len(size)) > 0)
+            near[large[group]] = 0
+            a = np.repeat(np.arange(len(key)), near)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(near) - near, near)
+            good = (own[a] | own[b]) & (h1[a] != h1[b])
+            a, b = a[good], b[good]
+            good = may_link(mark[a], mark[b], threshold, long)
+            a, b = a[good], b[good]
+            large |= np.bincount(group[a], minlength=len(size)) > SMALL // 2 * size
+            listed = ~large[group[a]]
+            a, b = a[listed], b[listed]
+            alone = np.flatnonzero((large & (np.bincount(group[own], minlength=len(size)) > 0))[group])
+            alone = alone[np.unique(np.stack((key[alone], h1[alone])), axis=1, return_index=True)[1]]
+            rest = pa.array(np.append(np.maximum(h1[a], h1[b]), h1[alone]), mask=np.arange(len(a) + len(alone)) >= len(a))
+            yield pa.record_batch([pa.array(np.append(key[a], key[alone])), pa.array(np.append(np.minimum(h1[a], h1[b]), h1[alone])), rest], names=["key", "a", "b"])
+
+    return keys.repartition(tasks(keys), "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -358,7 +424,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def fetched(docs: DataFrame, wanted: DataFrame, first: DataFrame) -> DataFrame:
     """``h1, h2, id, line, text``: the first occurrence of each wanted line, with its text."""
-    places = first.join(wanted, ["h1", "h2"])
+    places = first.join(wanted, "h1")
     by_doc = places.groupBy("id").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,17 +500,16 @@ def removals(docs: DataFrame, threshold: int | None, min_chars: int, short: bool
     """``id, gone``: for each document that loses lines, their numbers and hashes."""
     places = stored(occurrences(docs, min_chars, short))
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("x")).select("h1", "h2", "x.*")
-    pairs = reduce(DataFrame.union, [stored(met(keyed(docs, threshold, min_chars, a, b))) for a, b in rounds(threshold)])
-    listed = pairs.where("b1 IS NOT NULL").select("a1", "a2", "b1", "b2").distinct()
-    alone = pairs.where("b1 IS NULL").select("key", F.col("a1").alias("h1"), F.col("a2").alias("h2"))
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")))).alias("x")).select("x.*").where("h1 IS NOT NULL").distinct()
+    pairs = reduce(DataFrame.union, [stored(met(keyed(docs, threshold, min_chars, a, b), threshold, b > SPAN)) for a, b in rounds(threshold)])
+    listed = pairs.where("b IS NOT NULL").select(F.col("a").alias("of_a"), F.col("b").alias("of_b")).distinct()
+    alone = pairs.where("b IS NULL").select("key", F.col("a").alias("h1"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).where("h1 IS NOT NULL").distinct()
     lines = stored(fetched(docs, wanted, first))
     whole = F.struct("h1", "h2", "id", "line", "text")
-    a = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), whole.alias("a"))
-    b = lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), whole.alias("b"))
-    by_pair = later_of(listed.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"), threshold)
+    a, b = (lines.select(F.col("h1").alias(f"of_{x}"), whole.alias(x)) for x in "ab")
+    by_pair = later_of(listed.join(a, "of_a").join(b, "of_b").select("a", "b"), threshold)
     sizes = stored(alone.groupBy("key").agg(F.count("*").alias("size")))  # stored tables join in parts where a key is hot
-    by_key = later_in(alone.join(sizes, "key").join(lines, ["h1", "h2"]), threshold)
+    by_key = later_in(alone.join(sizes, "key").join(lines, "h1"), threshold)
     late = by_pair.union(by_key).distinct().withColumn("late", F.lit(True))
     judged = first.select("h1", "h2", F.col("id").alias("first_id"), F.col("line").alias("first_line")).join(late, ["h1", "h2"], "left")
     judged = stored(judged)

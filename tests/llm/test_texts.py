@@ -333,3 +333,32 @@ def test_short_lines_that_repeat_are_removed(spark):
     want = {1: "And ornd.\n\nWh the.\n ", 2: "\n\t\nWh thee.", 3: "x", 4: "", 5: "　"}
     assert {r.doc_id: r.kept_sha256 for r in got} == {i: sha(t) for i, t in want.items()}
     assert {r.doc_id: r.n_removed for r in got} == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
+def test_marks_tell_lines_apart_that_meet_by_chance():
+    rng = random.Random(5)
+    code = lambda lines: (np.array([ord(c) for x in lines for c in x], dtype=np.uint32), np.cumsum([0, *map(len, lines[:-1])]), np.array([len(x) for x in lines]))
+
+    def marked(lines, places):
+        codes, start, length = code(lines)
+        return linededup.marks(linededup.counts(codes, start, length), length, np.array(places), True)
+
+    lines = ["".join(rng.choice("abcdefghij klmno") for _ in range(rng.randint(120, 400))) for _ in range(300)]
+    others, moved = [], []
+    for x in lines:  # a run that no edit touches begins at place 60
+        before, after = x[:60], x[60:]
+        for _ in range(rng.randint(0, 8)):
+            if rng.random() < 0.5:
+                k = rng.randrange(len(before))
+                before = before[:k] + rng.choice(["", "x", "xy"]) + before[k + 1 :]
+            else:
+                k = rng.randrange(20, len(after))
+                after = after[:k] + rng.choice(["", "x", "xy"]) + after[k + 1 :]
+        others.append(before + after)
+        moved.append(len(before))
+    near = np.array([edit_distance(x, y) <= 8 for x, y in zip(lines, others, strict=True)])
+    a, b = marked(lines, [60] * 300), marked(others, moved)
+    # an edit that inserts two characters is two: only lines within 8 along this alignment have to be let through
+    along = np.array([edit_distance(x[:60], y[:p]) + edit_distance(x[60:], y[p:]) <= 8 for x, y, p in zip(lines, others, moved, strict=True)])
+    assert linededup.may_link(a, b, None, True)[near & along].all() and (near & along).sum() > 100
+    assert linededup.may_link(a, np.roll(b, 1), None, True).sum() < 5

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 from weakref import WeakKeyDictionary
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark deletes the shuffle files of a query at its end where this is set.
@@ -53,11 +54,31 @@ def stored(df: DataFrame, after: Iterable[DataFrame] = ()) -> DataFrame:
     runtime = spark._jvm.java.lang.Runtime.getRuntime()
     if runtime.totalMemory() - runtime.freeMemory() > FULL * runtime.maxMemory():
         spark._jvm.System.gc()  # plans of finished steps, in a driver of little memory that runs many
+    trim(spark)
     out = spark.read.schema(schema).parquet(at)
     _PLACES[out] = at
     return out
 
 
+def trim(spark: SparkSession) -> str | None:
+    """Return to the system what the driver's compilers and codecs have freed, which the C library keeps for each thread.
+
+    Takes milliseconds; what the virtual machine answers, or None where it has no such command.
+    """
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    # by reflection on the public interface: the server's own class isn't exported
+    kinds = new_array(jvm.java.lang.Class, 4)
+    for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = named(kind)
+    values = new_array(jvm.java.lang.Object, 4)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        return named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JJavaError:
+        return None
+
+
 def discard(df: DataFrame) -> None:
     """Delete the copy behind a stored result that nothing reads any more."""
     at = _PLACES.pop(df, None)

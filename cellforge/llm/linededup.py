@@ -45,6 +45,8 @@ PLACES = 32
 SMALL, BLOCK = 16, 256
 #: Pairs of similar length for each line under a key up to which marks are compared.
 TRIED = 64
+#: Rows of keys that a task holds before it hands them on, and sorted rows whose pairs are listed at once.
+HELD, MEETING = 1 << 19, 1 << 15
 #: Bits of a mark: counts of characters by group, modulo 16; the length; the place; whether the key is the line's own.
 GROUPS, LENGTH_BITS, PLACE_BITS = 10, 16, 7
 #: Characters of one side of the pairs that are verified at once.
@@ -337,10 +339,13 @@ def occurrences(docs: DataFrame, min_chars: int, short: bool = False) -> DataFra
 
 
 def keyed(docs: DataFrame, threshold: int | None, min_chars: int, low: int = 0, high: int = 1 << 40) -> DataFrame:
-    """``key, h1, mark``: the keys of every line in a round from ``low`` to ``high``, each line once a batch."""
-    least, beyond = max(low, min_chars), high + most(threshold)
+    """``part, rows``: the keys of every line in a round from ``low`` to ``high``, with h1 and a mark, each line once a
+    batch. Spark gets them as arrays (keys, then h1, then marks), one for each part of the keys that a task met."""
+    least, beyond, parts = max(low, min_chars), high + most(threshold), tasks(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        count = 0
         for whole in batches:
             for batch in bpe.blocks(whole, "text", KEY_BYTES):
                 lines, _, _ = split_lines(batch)
@@ -348,16 +353,33 @@ def keyed(docs: DataFrame, threshold: int | None, min_chars: int, low: int = 0,
                 distinct = pc.unique(lines.filter(pc.and_(pc.greater_equal(size, least), pc.less(size, beyond)))).to_pylist()
                 if not distinct:
                     continue
-                h = hashes(distinct)
+                h1 = hashes(distinct)[:, 0]
                 length = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
                 codes = np.frombuffer("".join(distinct).encode("utf-32-le"), dtype=np.uint32)
                 start = np.cumsum(length) - length
-                held = counts(codes, start, length)
+                chars = counts(codes, start, length)
                 found = keys_by_length(codes, start, length, low, high) if threshold is None else line_keys(codes, start, length, threshold)
                 for at, key, place, own in found:
-                    yield pa.record_batch([pa.array(key), pa.array(h[at, 0]), pa.array(marks(held[at], length[at], place, own))], names=["key", "h1", "mark"])
+                    held.append(np.stack((key, h1[at], marks(chars[at], length[at], place, own))))
+                    count += len(key)
+                    if count >= HELD:
+                        yield dealt(held, parts)
+                        held, count = [], 0
+        if count:
+            yield dealt(held, parts)
 
-    return docs.mapInArrow(run, "key long, h1 long, mark long")
+    return docs.mapInArrow(run, "part int, rows binary")
+
+
+def dealt(held: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """Rows of keys (columns of the arrays) as one array for each part."""
+    rows = np.concatenate(held, axis=1)
+    part = ((rows[0].view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+    order = np.argsort(part, kind="stable")
+    rows, part = rows[:, order], part[order]
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    ends = np.append(cut[1:], len(part))
+    return pa.record_batch([pa.array(part[cut].astype(np.int32)), pa.array([rows[:, x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())], names=["part", "rows"])
 
 
 def met(keys: DataFrame, threshold: int | None, long: bool) -> DataFrame:
@@ -365,61 +387,51 @@ def met(keys: DataFrame, threshold: int | None, long: bool) -> DataFrame:
     alone, b null. Lines that share an h1 are verified all, so half of the hash is enough here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
-            key, h1, mark = (np.asarray(batch.column(c)) for c in ("key", "h1", "mark"))
-            again = key[1:] == key[:-1]
-            some = np.flatnonzero(np.append(again, False) | np.insert(again, 0, False))
-            if not len(some):
-                continue
-            key, h1, mark = key[some], h1[some], mark[some]
-            order = np.lexsort((mark, h1, mark_length(mark), key))
-            key, h1, mark = key[order], h1[order], mark[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (h1[1:] != h1[:-1]) | (mark[1:] != mark[:-1])
-            key, h1, mark = key[new], h1[new], mark[new]
-            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.append(cut, len(key)))
-            group = np.repeat(np.arange(len(size)), size)
-            length, own = mark_length(mark), mark_own(mark)
-            place = (group << (LENGTH_BITS + 4)) + length
-            near = np.searchsorted(place, place + most(threshold), "right") - np.arange(len(key)) - 1
-            round_ = length >= (1 << LENGTH_BITS) - most(threshold)  # the lengths that follow begin at 0 again
-            large = (np.add.reduceat(near, cut) > TRIED * size) | (np.bincount(group[round_], minlength=len(size)) > 0)
-            near[large[group]] = 0
-            a = np.repeat(np.arange(len(key)), near)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(near) - near, near)
-            good = (own[a] | own[b]) & (h1[a] != h1[b])
-            a, b = a[good], b[good]
-            good = may_link(mark[a], mark[b], threshold, long)
-            a, b = a[good], b[good]
-            large |= np.bincount(group[a], minlength=len(size)) > SMALL // 2 * size
-            listed = ~large[group[a]]
-            a, b = a[listed], b[listed]
-            alone = np.flatnonzero((large & (np.bincount(group[own], minlength=len(size)) > 0))[group])
-            alone = alone[np.unique(np.stack((key[alone], h1[alone])), axis=1, return_index=True)[1]]
-            rest = pa.array(np.append(np.maximum(h1[a], h1[b]), h1[alone]), mask=np.arange(len(a) + len(alone)) >= len(a))
-            yield pa.record_batch([pa.array(np.append(key[a], key[alone])), pa.array(np.append(np.minimum(h1[a], h1[b]), h1[alone])), rest], names=["key", "a", "b"])
-
-    return keys.repartition(tasks(keys), "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
-
-
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches sorted by key, cut again so that no key spans two."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.asarray(batch.column("key"))
-        last = int(np.searchsorted(key, key[-1]))
-        if last or (held and held[-1].column("key")[-1].as_py() != key[0]):
-            if last:
-                held.append(batch.slice(0, last))
-            if held:
-                yield pa.Table.from_batches(held)
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
+        held = [np.frombuffer(x, dtype=np.int64).reshape(3, -1) for batch in batches for x in batch.column("rows").to_pylist()]
+        if not held:
+            return
+        rows = np.concatenate(held, axis=1)
+        held = []
+        rows = rows[:, np.argsort(rows[0])]
+        again = rows[0, 1:] == rows[0, :-1]
+        rows = rows[:, np.append(again, False) | np.insert(again, 0, False)]
+        if not rows.shape[1]:
+            return
+        first = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+        begins = first[np.flatnonzero(np.diff(first // MEETING, prepend=-1))]  # no key spans two slices
+        for x, y in zip(begins, np.append(begins[1:], rows.shape[1]), strict=True):
+            yield of(*rows[:, x:y])
+
+    def of(key: np.ndarray, h1: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((mark, h1, mark_length(mark), key))
+        key, h1, mark = key[order], h1[order], mark[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (h1[1:] != h1[:-1]) | (mark[1:] != mark[:-1])
+        key, h1, mark = key[new], h1[new], mark[new]
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(cut, len(key)))
+        group = np.repeat(np.arange(len(size)), size)
+        length, own = mark_length(mark), mark_own(mark)
+        place = (group << (LENGTH_BITS + 4)) + length
+        near = np.searchsorted(place, place + most(threshold), "right") - np.arange(len(key)) - 1
+        round_ = length >= (1 << LENGTH_BITS) - most(threshold)  # the lengths that follow begin at 0 again
+        large = (np.add.reduceat(near, cut) > TRIED * size) | (np.bincount(group[round_], minlength=len(size)) > 0)
+        near[large[group]] = 0
+        a = np.repeat(np.arange(len(key)), near)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(near) - near, near)
+        good = (own[a] | own[b]) & (h1[a] != h1[b])
+        a, b = a[good], b[good]
+        good = may_link(mark[a], mark[b], threshold, long)
+        a, b = a[good], b[good]
+        large |= np.bincount(group[a], minlength=len(size)) > SMALL // 2 * size
+        listed = ~large[group[a]]
+        a, b = a[listed], b[listed]
+        alone = np.flatnonzero((large & (np.bincount(group[own], minlength=len(size)) > 0))[group])
+        alone = alone[np.unique(np.stack((key[alone], h1[alone])), axis=1, return_index=True)[1]]
+        rest = pa.array(np.append(np.maximum(h1[a], h1[b]), h1[alone]), mask=np.arange(len(a) + len(alone)) >= len(a))
+        return pa.record_batch([pa.array(np.append(key[a], key[alone])), pa.array(np.append(np.minimum(h1[a], h1[b]), h1[alone])), rest], names=["key", "a", "b"])
+
+    return keys.repartitionById(tasks(keys), "part").mapInArrow(run, "key long, a long, b long")
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, first: DataFrame) -> DataFrame:
@@ -467,24 +479,50 @@ def later_of(pairs: DataFrame, threshold: int | None) -> DataFrame:
     return pairs.mapInArrow(run, LINE)
 
 
+def met_before(keys: pa.ChunkedArray, key: int) -> np.ndarray:
+    """Which lines of a group share a key below its own; ``keys``: a list for each line."""
+    lists = keys.combine_chunks()
+    row, values = np.asarray(pc.list_parent_indices(lists)), np.asarray(lists.flatten())
+    row, values = row[values < key], values[values < key]
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(times > 1)
+    out = np.zeros((len(lists), len(lists)), dtype=bool)
+    for k in range(0, len(common), 1 << 12):
+        number = np.full(len(times), -1)
+        number[common[k : k + (1 << 12)]] = np.arange(len(common[k : k + (1 << 12)]))
+        some = number[column] >= 0
+        has = np.zeros((len(lists), len(common[k : k + (1 << 12)])), dtype=np.float32)
+        has[row[some], number[column[some]]] = 1
+        out |= has @ has.T > 0
+    return out
+
+
 def later_in(members: DataFrame, threshold: int | None) -> DataFrame:
-    """``h1, h2`` of the lines of ``members(key, size, h1, h2, id, line, text)`` with an earlier neighbour under their key."""
+    """``h1, h2`` of the ``open`` lines of ``members(key, size, open, keys, h1, h2, id, line, text)`` with an earlier neighbour
+    under their key. Two lines are compared under the least of the ``keys`` that both are members of."""
     parts = F.ceil(F.col("size") / BLOCK).cast("long")
     dealt = members.withColumn("side", F.pmod(F.xxhash64("h1"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = dealt.select("key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "h1", "h2", "id", "line", "text")
+    dealt = dealt.select("key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "open", "keys", "h1", "h2", "id", "line", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["key", "p", "q"]):
-            rows = sorted(table.to_pylist(), key=lambda r: (r["id"], r["line"]))
+            order = np.lexsort((np.asarray(table.column("line")), np.asarray(table.column("id"))))
+            keys = table.column("keys").take(order)
+            rows = table.drop_columns(["keys"]).take(order).to_pylist()
             codes = [characters(r["text"]) for r in rows]
             size = np.array([len(x) for x in codes])
+            sought = np.array([r["open"] for r in rows])
             after, before = np.tril_indices(len(rows), -1)
+            first = sought[after] & ~met_before(keys, rows[0]["key"])[after, before]
+            after, before = after[first], before[first]
             some = np.abs(size[after] - size[before]) <= allowed(np.minimum(size[after], size[before]), threshold)
             after, before = after[some], before[some]
+            earliest = np.argsort(before, kind="stable")  # most lines are settled by early ones
+            after, before = after[earliest], before[earliest]
             found = np.zeros(len(rows), dtype=bool)
             pairs = pair_histograms(codes)
-            for k in range(0, len(after), 1 << 14):
-                a, b = after[k : k + (1 << 14)], before[k : k + (1 << 14)]
+            for k in range(0, len(after), 1 << 12):
+                a, b = after[k : k + (1 << 12)], before[k : k + (1 << 12)]
                 open_ = ~found[a]
                 a, b = a[open_], b[open_]
                 near = similar(pairs[a], pairs[b], allowed(np.minimum(size[a], size[b]), threshold))
@@ -501,16 +539,24 @@ def removals(docs: DataFrame, threshold: int | None, min_chars: int, short: bool
     places = stored(occurrences(docs, min_chars, short))
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("x")).select("h1", "h2", "x.*")
     pairs = reduce(DataFrame.union, [stored(met(keyed(docs, threshold, min_chars, a, b), threshold, b > SPAN)) for a, b in rounds(threshold)])
-    listed = pairs.where("b IS NOT NULL").select(F.col("a").alias("of_a"), F.col("b").alias("of_b")).distinct()
     alone = pairs.where("b IS NULL").select("key", F.col("a").alias("h1"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).where("h1 IS NOT NULL").distinct()
     lines = stored(fetched(docs, wanted, first))
+    # under common keys all lines are compared with the first, which many keys share; then those left open with all others
+    members = stored(alone.join(lines.select("h1", "h2", "id", "line"), "h1").select("key", "h1", "h2", "id", "line"))
+    sizes = stored(members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "line", "h1")).alias("head")))  # stored tables join in parts where a key is hot
+    members = members.join(sizes, "key").withColumn("later", (F.col("id") != F.col("head.id")) | (F.col("line") != F.col("head.line")))
+    headed = members.where("later AND h1 <> head.h1").select(F.least("h1", "head.h1").alias("of_a"), F.greatest("h1", "head.h1").alias("of_b"))
+    listed = pairs.where("b IS NOT NULL").select(F.col("a").alias("of_a"), F.col("b").alias("of_b")).union(headed).distinct()
     whole = F.struct("h1", "h2", "id", "line", "text")
     a, b = (lines.select(F.col("h1").alias(f"of_{x}"), whole.alias(x)) for x in "ab")
-    by_pair = later_of(listed.join(a, "of_a").join(b, "of_b").select("a", "b"), threshold)
-    sizes = stored(alone.groupBy("key").agg(F.count("*").alias("size")))  # stored tables join in parts where a key is hot
-    by_key = later_in(alone.join(sizes, "key").join(lines, "h1"), threshold)
-    late = by_pair.union(by_key).distinct().withColumn("late", F.lit(True))
+    by_pair = stored(later_of(listed.join(a, "of_a").join(b, "of_b").select("a", "b"), threshold).distinct().withColumn("late", F.lit(True)))
+    members = stored(members.join(by_pair, ["h1", "h2"], "left").select("key", "size", (F.col("later") & F.col("late").isNull()).alias("open"), "h1", "h2"))
+    unsettled = stored(members.where("open").select("key").distinct())
+    by_line = members.join(unsettled, "key").groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "size", "open")).alias("of"))
+    shared = by_line.join(lines, ["h1", "h2"]).select(F.explode("of").alias("x"), F.col("of.key").alias("keys"), "h1", "h2", "id", "line", "text")
+    by_key = later_in(shared.select("x.*", "keys", "h1", "h2", "id", "line", "text"), threshold)
+    late = by_pair.union(by_key.withColumn("late", F.lit(True))).distinct()
     judged = first.select("h1", "h2", F.col("id").alias("first_id"), F.col("line").alias("first_line")).join(late, ["h1", "h2"], "left")
     judged = stored(judged)
     repeated = (F.col("id") != F.col("first_id")) | (F.col("line") != F.col("first_line")) | F.coalesce("late", F.lit(False))

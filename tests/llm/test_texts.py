@@ -296,6 +296,25 @@ def test_lines_under_common_keys(spark, monkeypatch):
     assert {r.doc_id for r in got if r._n_removed} == late
 
 
+def test_lines_like_the_first_under_a_key_are_compared_with_it_alone(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SMALL", 4)
+    monkeypatch.setattr(linededup, "MEETING", 16)
+    compared, later_in = [], linededup.later_in
+    monkeypatch.setattr(linededup, "later_in", lambda members, threshold: compared.append(members.count()) or later_in(members, threshold))
+    first = "a passage that was copied with a mistake in each of its copies, " * 3
+    copies = [first, *(first[:k] + "#" + first[k + 1 :] for k in range(0, 180, 5))]
+    got = linededup.digest(documents(spark, list(enumerate(copies)))).collect()
+    assert sorted(r.doc_id for r in got if r.n_removed) == list(range(1, len(copies)))
+    assert compared == [0]
+
+
+def test_lines_that_share_several_keys_are_compared_under_the_least():
+    keys = pa.chunked_array([pa.array([[1, 5, 9], [5, 9], [9]], pa.list_(pa.int64())), pa.array([[1, 9, 12], [12, 9]], pa.list_(pa.int64()))])
+    got = linededup.met_before(keys, 9)
+    assert {(i, j) for i, j in zip(*np.nonzero(got), strict=True) if i < j} == {(0, 1), (0, 3)}
+    assert not linededup.met_before(keys, 1).any()
+
+
 def test_banded_distance():
     rng = random.Random(9)
     code = lambda s: np.array([ord(c) for c in s], dtype=np.int32)

@@ -38,9 +38,13 @@ MIN_CHARS = 20
 LEAST_EDITS, MOST_EDITS = 2, 8
 #: Shorter lines from this length on meet by minimizers; rounds of keys begin at these lengths of the shorter line.
 SPAN = 112
-ROUNDS = (0, 70, 95, SPAN, 175, 272, 425)
+ROUNDS = (0, SPAN, 218)
+#: Classes of the shorter line's length below; all of a class allow as many edits.
+CLASSES = (3, 6, 12, 20, 30, 40, 50, 60, 70, 80, 96, SPAN)
+#: Of lines from this length on only the beginning makes keys, of as many characters and those that edits can add.
+BEGINNING = 425
 #: Minimizers meet within buckets of this many places.
-PLACES = 32
+PLACES = 64
 #: Under one key, pairs are listed up to half of this for each line; and lines of a block beyond.
 SMALL, BLOCK = 16, 256
 #: Pairs of similar length for each line under a key up to which marks are compared.
@@ -103,78 +107,123 @@ def rounds(threshold: int | None) -> list[tuple[int, int]]:
     return list(zip(ROUNDS, (*ROUNDS[1:], 1 << 40), strict=True)) if threshold is None else [(0, 1 << 40)]
 
 
-def keys_by_length(codes: np.ndarray, start: np.ndarray, length: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """As ``line_keys``, for pairs whose shorter line has ``low`` to ``high - 1`` characters and allows edits by its length."""
-    sub = Substrings(codes)
-    if low >= SPAN:
-        yield from minimizer_keys(sub, start, length, low, high)
-        return
-    for threshold in range(LEAST_EDITS, MOST_EDITS + 1):
-        near = np.flatnonzero((allowed(length, None) >= threshold) & (allowed(length - threshold, None) <= threshold))
-        if len(near):
-            for at, key, place, own in segment_keys(sub, start[near], length[near], threshold, low, high, True):
-                yield near[at], key, place, own
-
-
-def minimizer_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """Keys of minimizers, in classes of the shorter line's length; lines just beyond a class have its keys also."""
+def keys_by_length(codes: np.ndarray, start: np.ndarray, length: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lines, keys, places, indexed) for pairs whose shorter line has ``low`` to ``high - 1`` characters and allows edits
+    by its length; lines just beyond a class have its keys also."""
+    for a, b in zip(CLASSES, CLASSES[1:], strict=False):
+        lines = np.flatnonzero((length >= a) & (length < b + most_edits(b - 1))) if max(a, low) < min(b, high) else np.zeros(0, dtype=np.int64)
+        if (length[lines] < b).any():
+            yield grid_keys(codes, start, length, lines, a, b)
     a, longest = SPAN, int(length.max(initial=0))
     while a < min(high, longest + 1):
-        b = a + a // 4
+        b = a + a // 4 if a < BEGINNING else 1 << 40
         if a < low < b:
             raise ValueError("a round begins within a class of lengths")
         lines = np.flatnonzero((length >= a) & (length < b + MOST_EDITS)) if a >= low else np.zeros(0, dtype=np.int64)
-        run = -(-(a - MOST_EDITS) // (MOST_EDITS + 1))  # characters in a row that no edit touches, at least
-        size = min(16, 3 * run // 4)
-        window = run - size + 1
-        if len(lines):
-            count = length[lines] - size + 1
-            line = np.repeat(np.arange(len(lines)), count)
-            place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
-            gram = sub.of(start[lines][line] + place, np.full(len(line), size))
-            least = ((gram >> np.uint64(32)) << np.uint64(32)) | np.arange(len(line), dtype=np.uint64)
-            width = 1
-            while width < window:
-                step = min(width, window - width)
-                least = np.minimum(least[:-step], least[step:])
-                width += step
-            whole = place[: len(least)] + window <= count[line[: len(least)]]
-            chosen = np.unique((least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-            for side in (-1, 1):
-                bucket = (place[chosen] + side * (MOST_EDITS // 2)) // PLACES
-                new = np.ones(len(chosen), dtype=bool) if side < 0 else bucket != (place[chosen] - MOST_EDITS // 2) // PLACES
-                key = mixed(gram[chosen[new]] ^ mixed((bucket[new] * 4096 + a * (1 << 30)).astype(np.uint64))).view(np.int64)
-                yield lines[line[chosen[new]]], key, place[chosen[new]], True
+        if (length[lines] < b).any():
+            yield minimizer_keys(codes, start, np.minimum(length, a + MOST_EDITS) if a >= BEGINNING else length, lines, a)
         a = b
 
 
-def line_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """(lines, keys, places, indexed): keys of each line's own segments, then of the substrings it probes for shorter lines' ones."""
-    return segment_keys(Substrings(codes), start, length, threshold)
+def most_edits(length: int) -> int:
+    return int(allowed(np.array([length]), None)[0])
+
+
+@lru_cache(maxsize=64)
+def probes(edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment and shift of the substrings in which a longer line can hold a segment of a shorter one.
+
+    Of one segment more than edits, take the first up to which there are no more edits than segments before it: it is
+    whole, as many edits as its number come before it, and those left make up the rest of the difference in length.
+    """
+    found = [(i, shift) for i in range(edits + 1) for shift in range(-min(i, edits - i), i + 1)]
+    return np.array([x for x, _ in found]), np.array([x for _, x in found])
+
+
+def grid_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, lines: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a class of lines, of ``a`` to ``b - 1`` characters: segments at places that don't depend on the length, so
+    that one probe finds them in shorter lines of any length."""
+    edits = most_edits(b - 1)
+    segments, shifts = probes(edits)
+    size = a // (edits + 1)
+    at, own = segments * size + shifts, shifts == 0
+    chars, first = packed(codes, start, length, lines)
+    gram, _ = grams(chars, size)
+    line, probe = np.nonzero((at[None, :] + size <= length[lines][:, None]) & (own[None, :] | (length[lines] > a)[:, None]))
+    key = mixed(gram[first[line] + at[probe]] ^ mixed((segments + 4096 * a + (1 << 40)).astype(np.uint64))[probe]).view(np.int64)
+    return lines[line], key, at[probe], own[probe] & (length[lines] < b)[line]
+
+
+def packed(codes: np.ndarray, start: np.ndarray, length: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of these lines alone, up to these lengths, and where each begins."""
+    first = np.cumsum(length[lines]) - length[lines]
+    at = np.arange(length[lines].sum())
+    at += np.repeat(start[lines] - first, length[lines])
+    return codes[at], first
+
+
+def grams(chars: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Hashes of the substrings of this size at each place, whose upper bits are mixed best, and their number."""
+    power, inverse = powers(1 << max(10, int(len(chars)).bit_length()))
+    prefix = np.zeros(len(chars) + 1, dtype=np.uint64)
+    np.cumsum(characteristic()[chars & 0xFFFF] * power[: len(chars)], out=prefix[1:])
+    out = prefix[size:] - prefix[:-size]
+    out *= inverse[: len(out)]
+    return out, len(out)
 
 
-def segment_keys(sub: Substrings, start: np.ndarray, length: np.ndarray, threshold: int, low: int = 0, high: int = 1 << 40, tied: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """As ``line_keys``, for shorter lines of ``low`` to ``high - 1`` characters; ``tied``: that allow just this many edits."""
+@lru_cache(maxsize=1)
+def characteristic() -> np.ndarray:
+    """A number for each character; those that agree in 16 bits share one, as keys only name candidates."""
+    return mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
+def minimizer_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, lines: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the minimizers of a class of lines, the shortest of which has ``a`` characters."""
+    run = -(-(a - MOST_EDITS) // (MOST_EDITS + 1))  # characters in a row that no edit touches, at least
+    size = min(16, 3 * run // 4)
+    window = run - size + 1
+    chars, first = packed(codes, start, length, lines)
+    gram, n = grams(chars, size)
+    least = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    width = 1
+    while width < window:
+        step = min(width, window - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    new = np.append(True, least[1:] != least[:-1])
+    whole = np.repeat(first + length[lines] - run, length[lines])[: len(least)] >= np.arange(len(least))  # within one line
+    new |= np.append(True, ~whole[:-1])
+    chosen = (least[whole & new] & np.uint64(0xFFFFFFFF)).astype(np.int64)  # places of minima never go back
+    line = np.searchsorted(first, chosen, "right") - 1
+    place = chosen - first[line]
+    bucket = (place - MOST_EDITS // 2) // PLACES
+    beyond = np.flatnonzero((place + MOST_EDITS // 2) // PLACES != bucket)
+    at = np.append(np.arange(len(chosen)), beyond)
+    bucket = np.append(bucket, bucket[beyond] + 1)
+    key = mixed(gram[chosen[at]] ^ mixed((bucket * 4096 + a * (1 << 30)).astype(np.uint64))).view(np.int64)
+    return lines[line[at]], key, place[at], np.ones(len(at), dtype=bool)
+
+
+def line_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(lines, keys, places, indexed): keys of each line's own segments, then of the substrings it probes for shorter lines' ones."""
+    sub = Substrings(codes)
 
     def key(of_length: np.ndarray, i: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         return mixed(sub.of(at, size) ^ mixed(of_length.astype(np.uint64) * np.uint64(64) + np.uint64(i))).view(np.int64)
 
-    def meant(short: np.ndarray) -> np.ndarray:
-        return (short >= low) & (short < high) & (not tied or allowed(short, None) == threshold)
-
-    every = np.flatnonzero(meant(length))
+    every = np.arange(len(length))
     for i in range(threshold + 1):
-        at, size = segment(length[every], i, threshold)
-        yield every, key(length[every], i, start[every] + at, size), at, True
+        at, size = segment(length, i, threshold)
+        yield every, key(length, i, start + at, size), at, True
     for gap in range(threshold + 1):
         short = length - gap
-        some = meant(short)
         for i in range(threshold + 1):
             at, size = segment(short, i, threshold)
             for shift in range(max(-i, gap - (threshold - i)), min(i, gap + threshold - i) + 1):
                 if gap == 0 and shift == 0:
                     continue  # that is the line's own segment
-                can = some & (short > threshold) & (at + shift >= 0) & (at + shift + size <= length)
+                can = (short > threshold) & (at + shift >= 0) & (at + shift + size <= length)
                 yield np.flatnonzero(can), key(short[can], i, (start + at + shift)[can], size[can]), (at + shift)[can], False
 
 
@@ -185,11 +234,11 @@ def counts(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
     return ((found & 15).astype(np.uint64) << (np.arange(GROUPS, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
 
 
-def marks(held: np.ndarray, length: np.ndarray, place: np.ndarray, own: bool) -> np.ndarray:
+def marks(held: np.ndarray, length: np.ndarray, place: np.ndarray, own: np.ndarray | bool) -> np.ndarray:
     """What a row of a key tells of its line, in 64 bits."""
     at = 4 * GROUPS
     out = held | ((length & ((1 << LENGTH_BITS) - 1)) << at).astype(np.uint64) | ((place & ((1 << PLACE_BITS) - 1)) << (at + LENGTH_BITS)).astype(np.uint64)
-    return (out | np.uint64(own << (at + LENGTH_BITS + PLACE_BITS))).view(np.int64)
+    return (out | (np.asarray(own, dtype=np.uint64) << np.uint64(at + LENGTH_BITS + PLACE_BITS))).view(np.int64)
 
 
 def mark_length(mark: np.ndarray) -> np.ndarray:
@@ -276,17 +325,20 @@ def _within(a: list[np.ndarray], b: list[np.ndarray], m: np.ndarray, n: np.ndarr
     down = np.zeros(len(a), dtype=np.uint64)
     cost = np.minimum(m, t)  # of row j + t in column j; of row m once that is passed
     out, left = np.full(len(a), t + 1), np.arange(len(a))
-    for j in range(1, int(n.max(initial=0)) + 1):
-        if j % 16 == 0:  # the cost falls by 2 * t at most from here
+    end = int(n.max(initial=0))
+    for j in range(1, end + 1):
+        if j % 16 == 1:  # the cost falls by 2 * t at most from here
             keep = cost <= 3 * t
             if 2 * keep.sum() < len(keep):
                 rows, columns = rows[:, keep], columns[:, keep]
                 up, down, cost, m, n, left = (x[keep] for x in (up, down, cost, m, n, left))
             if not len(left):
                 break
-        equal = np.zeros(len(left), dtype=np.uint64)
-        for k in range(2 * t + 1):
-            equal |= (rows[j - 1 + k] == columns[j - 1]).astype(np.uint64) << np.uint64(k)
+            ahead = min(16, end + 1 - j)
+            equals = np.zeros((ahead, len(left)), dtype=np.uint64)
+            for k in range(2 * t + 1):
+                equals |= (rows[j - 1 + k : j - 1 + k + ahead] == columns[j - 1 : j - 1 + ahead]).astype(np.uint64) << np.uint64(k)
+        equal = equals[(j - 1) % 16]
         same = ((((equal & up) + up) ^ up) | equal | down) & full
         rises = (down | ~(same | up)) & full
         falls = same & up
@@ -294,9 +346,10 @@ def _within(a: list[np.ndarray], b: list[np.ndarray], m: np.ndarray, n: np.ndarr
         below = live & (j + t <= m)
         cost = cost + (below & ((same >> np.uint64(2 * t)) & one == 0))
         along = live & ~below
-        last = np.clip(m - j + t, 0, 2 * t).astype(np.uint64)
-        cost += along & ((rises >> last) & one == 1)
-        cost -= along & ((falls >> last) & one == 1)
+        if along.any():
+            last = np.minimum(np.maximum(m - j + t, 0), 2 * t).astype(np.uint64)
+            cost += along & ((rises >> last) & one == 1)
+            cost -= along & ((falls >> last) & one == 1)
         up = (falls | ~((same >> one) | rises)) & full
         down = (same >> one) & rises
     out[left] = cost

@@ -381,3 +381,29 @@ def test_marks_tell_lines_apart_that_meet_by_chance():
     along = np.array([edit_distance(x[:60], y[:p]) + edit_distance(x[60:], y[p:]) <= 8 for x, y, p in zip(lines, others, moved, strict=True)])
     assert linededup.may_link(a, b, None, True)[near & along].all() and (near & along).sum() > 100
     assert linededup.may_link(a, np.roll(b, 1), None, True).sum() < 5
+
+
+def test_keys_by_length_are_few_and_miss_no_pair():
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("abcdefghij klmno") for _ in range(n)) for n in (20, 29, 30, 49, 69, 79, 80, 95, 96, 111, 112, 139, 217, 300, 424, 425, 433, 900) for _ in range(12)]
+    others = []
+    for x in pool:
+        y = list(x)
+        for _ in range(max(2, min(8, len(x) // 10))):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+        others.append("".join(y))
+    lines = [*pool, *others]
+    length = np.array([len(x) for x in lines])
+    codes, start = np.array([ord(c) for x in lines for c in x], dtype=np.uint32), np.cumsum(length) - length
+    held, made = {}, np.zeros(len(lines), dtype=int)
+    for low, high in linededup.rounds(None):
+        for at, key, place, own in linededup.keys_by_length(codes, start, length, low, high):
+            mark = linededup.marks(linededup.counts(codes, start, length)[at], length[at], place, own)
+            np.add.at(made, at, 1)
+            for i, k, m in zip(at.tolist(), key.tolist(), mark.tolist(), strict=True):
+                held.setdefault((high, k), []).append((i, m))
+    met = {(i, j) for (high, _), of in held.items() for i, a in of for j, b in of if j == i + len(pool) and (linededup.mark_own(a) or linededup.mark_own(b)) and linededup.may_link(np.array([a]), np.array([b]), None, high > linededup.SPAN)[0]}
+    near = {(i, i + len(pool)) for i, (x, y) in enumerate(zip(pool, others, strict=True)) if edit_distance(x, y) <= max(2, min(8, min(len(x), len(y)) // 10))}
+    assert near <= met and len(near) > 150
+    assert made.max() <= 122

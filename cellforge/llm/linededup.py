@@ -181,7 +181,7 @@ def characteristic() -> np.ndarray:
 def minimizer_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, lines: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the minimizers of a class of lines, the shortest of which has ``a`` characters."""
     run = -(-(a - MOST_EDITS) // (MOST_EDITS + 1))  # characters in a row that no edit touches, at least
-    size = min(16, 3 * run // 4)
+    size = min(12, 3 * run // 4)
     window = run - size + 1
     chars, first = packed(codes, start, length, lines)
     gram, n = grams(chars, size)
@@ -521,13 +521,17 @@ def later_of(pairs: DataFrame, threshold: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            x, y = ([characters(r["text"]) for r in side] for side in (a, b))
-            edits = allowed(np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], dtype=np.int64), threshold)
-            near = np.flatnonzero(similar(pair_histograms(x), pair_histograms(y), edits))
-            good = near[within([x[k] for k in near], [y[k] for k in near], threshold)] if len(near) else near
-            late = [max(a[k], b[k], key=lambda r: (r["id"], r["line"])) for k in good]
-            yield pa.record_batch([pa.array([x[c] for x in late], pa.int64()) for c in ("h1", "h2")], names=["h1", "h2"])
+            a, b = batch.column("a"), batch.column("b")
+            texts = pa.chunked_array([pc.struct_field(side, "text") for side in (a, b)]).combine_chunks().dictionary_encode()
+            codes = [characters(x) for x in texts.dictionary.to_pylist()]  # a line is in many pairs
+            x, y = np.asarray(texts.indices)[: len(a)], np.asarray(texts.indices)[len(a) :]
+            size = np.array([len(c) for c in codes], dtype=np.int64)
+            pairs = pair_histograms(codes)
+            near = np.flatnonzero(similar(pairs[x], pairs[y], allowed(np.minimum(size[x], size[y]), threshold)))
+            good = near[within([codes[k] for k in x[near]], [codes[k] for k in y[near]], threshold)] if len(near) else near
+            (a_id, a_line, *of_a), (b_id, b_line, *of_b) = ([np.asarray(pc.struct_field(side, c))[good] for c in ("id", "line", "h1", "h2")] for side in (a, b))
+            second = (b_id > a_id) | ((b_id == a_id) & (b_line > a_line))
+            yield pa.record_batch([pa.array(np.where(second, q, p)) for p, q in zip(of_a, of_b, strict=True)], names=["h1", "h2"])
 
     return pairs.mapInArrow(run, LINE)
 

@@ -25,7 +25,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -47,12 +47,15 @@ BEGINNING = 425
 PLACES = 64
 #: Under one key, pairs are listed up to half of this for each line; and lines of a block beyond.
 SMALL, BLOCK = 16, 256
-#: Pairs of similar length for each line under a key up to which marks are compared.
-TRIED = 64
+#: Pairs of similar length for each line under a key up to which marks are compared, and pairs that are compared at once.
+TRIED, PAIRS = 4096, 1 << 18
 #: Rows of keys that a task holds before it hands them on, and sorted rows whose pairs are listed at once.
-HELD, MEETING = 1 << 19, 1 << 15
-#: Bits of a mark: counts of characters by group, modulo 16; the length; the place; whether the key is the line's own.
-GROUPS, LENGTH_BITS, PLACE_BITS = 10, 16, 7
+HELD, MEETING = 1 << 18, 1 << 15
+#: Bits of a mark: counts of characters by group, modulo 16; the length; the place; whether the key is the line's own; and
+#: whether only the beginning's characters are counted.
+GROUPS, LENGTH_BITS, PLACE_BITS = 10, 15, 7
+#: Lines that a task has met and leaves out when they come again.
+SEEN = 1 << 18
 #: Characters of one side of the pairs that are verified at once.
 CELLS = 1 << 19
 #: Bytes of text whose substrings are hashed at once; the arrays take some fifty times that.
@@ -110,10 +113,16 @@ def rounds(threshold: int | None) -> list[tuple[int, int]]:
 def keys_by_length(codes: np.ndarray, start: np.ndarray, length: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(lines, keys, places, indexed) for pairs whose shorter line has ``low`` to ``high - 1`` characters and allows edits
     by its length; lines just beyond a class have its keys also."""
+    for _, found in keys_by_class(codes, start, length, low, high):
+        yield found
+
+
+def keys_by_class(codes: np.ndarray, start: np.ndarray, length: np.ndarray, low: int, high: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The least length of each class, and its keys."""
     for a, b in zip(CLASSES, CLASSES[1:], strict=False):
         lines = np.flatnonzero((length >= a) & (length < b + most_edits(b - 1))) if max(a, low) < min(b, high) else np.zeros(0, dtype=np.int64)
         if (length[lines] < b).any():
-            yield grid_keys(codes, start, length, lines, a, b)
+            yield a, grid_keys(codes, start, length, lines, a, b)
     a, longest = SPAN, int(length.max(initial=0))
     while a < min(high, longest + 1):
         b = a + a // 4 if a < BEGINNING else 1 << 40
@@ -121,7 +130,7 @@ def keys_by_length(codes: np.ndarray, start: np.ndarray, length: np.ndarray, low
             raise ValueError("a round begins within a class of lengths")
         lines = np.flatnonzero((length >= a) & (length < b + MOST_EDITS)) if a >= low else np.zeros(0, dtype=np.int64)
         if (length[lines] < b).any():
-            yield minimizer_keys(codes, start, np.minimum(length, a + MOST_EDITS) if a >= BEGINNING else length, lines, a)
+            yield a, minimizer_keys(codes, start, np.minimum(length, a + MOST_EDITS) if a >= BEGINNING else length, lines, a)
         a = b
 
 
@@ -148,7 +157,7 @@ def grid_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, lines: n
     size = a // (edits + 1)
     at, own = segments * size + shifts, shifts == 0
     chars, first = packed(codes, start, length, lines)
-    gram, _ = grams(chars, size)
+    gram = grams(chars, size)
     line, probe = np.nonzero((at[None, :] + size <= length[lines][:, None]) & (own[None, :] | (length[lines] > a)[:, None]))
     key = mixed(gram[first[line] + at[probe]] ^ mixed((segments + 4096 * a + (1 << 40)).astype(np.uint64))[probe]).view(np.int64)
     return lines[line], key, at[probe], own[probe] & (length[lines] < b)[line]
@@ -157,19 +166,32 @@ def grid_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, lines: n
 def packed(codes: np.ndarray, start: np.ndarray, length: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The characters of these lines alone, up to these lengths, and where each begins."""
     first = np.cumsum(length[lines]) - length[lines]
-    at = np.arange(length[lines].sum())
+    total = int(length[lines].sum())
+    if len(lines) and (start[lines] - first == start[lines[0]]).all():  # they lie side by side
+        return codes[start[lines[0]] : start[lines[0]] + total], first
+    at = np.arange(total)
     at += np.repeat(start[lines] - first, length[lines])
     return codes[at], first
 
 
-def grams(chars: np.ndarray, size: int) -> tuple[np.ndarray, int]:
-    """Hashes of the substrings of this size at each place, whose upper bits are mixed best, and their number."""
-    power, inverse = powers(1 << max(10, int(len(chars)).bit_length()))
-    prefix = np.zeros(len(chars) + 1, dtype=np.uint64)
-    np.cumsum(characteristic()[chars & 0xFFFF] * power[: len(chars)], out=prefix[1:])
-    out = prefix[size:] - prefix[:-size]
-    out *= inverse[: len(out)]
-    return out, len(out)
+def grams(chars: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the substrings of this size at each place, whose upper bits are mixed best."""
+    base = 0x9E3779B97F4A7C15
+    step, width = characteristic()[chars & 0xFFFF], 1  # of substrings of width characters; out: of done characters
+    out, done = None, 0
+    while True:
+        if size & width:
+            if out is None:
+                out = step
+            else:
+                out = out[: len(out) - width] * np.uint64(pow(base, width, 1 << 64))
+                out += step[done : done + len(out)]
+            done += width
+        if done == size:
+            return out
+        longer = step[: len(step) - width] * np.uint64(pow(base, width, 1 << 64))
+        longer += step[width:]
+        step, width = longer, 2 * width
 
 
 @lru_cache(maxsize=1)
@@ -184,19 +206,23 @@ def minimizer_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, lin
     size = min(12, 3 * run // 4)
     window = run - size + 1
     chars, first = packed(codes, start, length, lines)
-    gram, n = grams(chars, size)
-    least = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    gram = grams(chars, size)
+    within_line = np.arange(len(chars), dtype=np.int32)
+    within_line -= np.repeat(first.astype(np.int32), length[lines])
+    # the hash above the place, which is below 512: of equal hashes the first is least
+    least = ((gram >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFE00)) | within_line[: len(gram)].astype(np.uint32)
     width = 1
     while width < window:
         step = min(width, window - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
+    whole = within_line[run - 1 : run - 1 + len(least)] >= run - 1  # within one line
     new = np.append(True, least[1:] != least[:-1])
-    whole = np.repeat(first + length[lines] - run, length[lines])[: len(least)] >= np.arange(len(least))  # within one line
-    new |= np.append(True, ~whole[:-1])
-    chosen = (least[whole & new] & np.uint64(0xFFFFFFFF)).astype(np.int64)  # places of minima never go back
-    line = np.searchsorted(first, chosen, "right") - 1
-    place = chosen - first[line]
+    new[1:] |= ~whole[:-1]
+    windows = np.flatnonzero(whole & new)
+    line = np.repeat(np.arange(len(lines)), np.diff(np.searchsorted(windows, np.append(first, len(chars)))))
+    place = (least[windows] & np.uint32(511)).astype(np.int64)
+    chosen = first[line] + place
     bucket = (place - MOST_EDITS // 2) // PLACES
     beyond = np.flatnonzero((place + MOST_EDITS // 2) // PLACES != bucket)
     at = np.append(np.arange(len(chosen)), beyond)
@@ -227,18 +253,42 @@ def line_keys(codes: np.ndarray, start: np.ndarray, length: np.ndarray, threshol
                 yield np.flatnonzero(can), key(short[can], i, (start + at + shift)[can], size[can]), (at + shift)[can], False
 
 
+@lru_cache(maxsize=1)
+def lanes() -> tuple[np.ndarray, np.ndarray]:
+    """For each character one in the lane of its group, of 12 bits; the groups of the lower half, and of the upper."""
+    group = np.arange(1 << 16, dtype=np.uint64) % np.uint64(GROUPS)
+    half = np.uint64(GROUPS // 2)
+    lane = np.uint64(1) << (group % half * np.uint64(12))
+    return np.where(group < half, lane, np.uint64(0)), np.where(group < half, np.uint64(0), lane)
+
+
 def counts(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """How often each line has characters of each group, modulo 16, in four bits each."""
-    line = np.repeat(np.arange(len(length)), length)
-    found = np.bincount(line * GROUPS + codes % GROUPS, minlength=GROUPS * len(length)).reshape(-1, GROUPS)
-    return ((found & 15).astype(np.uint64) << (np.arange(GROUPS, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+    out = np.zeros(len(length), dtype=np.uint64)
+    some = np.flatnonzero(length)
+    if length.max(initial=0) >> 12:  # a lane can't hold so many
+        line = np.repeat(np.arange(len(length)), length)
+        at = np.arange(len(line)) + np.repeat(start - (np.cumsum(length) - length), length)
+        found = np.bincount(line * GROUPS + (codes[at] & 0xFFFF) % GROUPS, minlength=GROUPS * len(length)).reshape(-1, GROUPS)
+        return ((found & 15).astype(np.uint64) << (np.arange(GROUPS, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+    if not len(some):
+        return out
+    begin, end = int(start[some[0]]), int(start[some[-1]] + length[some[-1]])
+    bounds = np.stack((start[some], start[some] + length[some]), axis=1).ravel() - begin
+    low = np.append(codes[begin:end] & 0xFFFF, 0)  # the last bound lies beyond
+    for k, table in enumerate(lanes()):
+        sums = np.add.reduceat(table[low], bounds)[::2]
+        for g in range(GROUPS // 2):
+            out[some] |= (sums >> np.uint64(12 * g) & np.uint64(15)) << np.uint64(4 * (g + k * (GROUPS // 2)))
+    return out
 
 
-def marks(held: np.ndarray, length: np.ndarray, place: np.ndarray, own: np.ndarray | bool) -> np.ndarray:
+def marks(held: np.ndarray, length: np.ndarray, place: np.ndarray | int, own: np.ndarray | bool, begun: bool = False) -> np.ndarray:
     """What a row of a key tells of its line, in 64 bits."""
     at = 4 * GROUPS
-    out = held | ((length & ((1 << LENGTH_BITS) - 1)) << at).astype(np.uint64) | ((place & ((1 << PLACE_BITS) - 1)) << (at + LENGTH_BITS)).astype(np.uint64)
-    return (out | (np.asarray(own, dtype=np.uint64) << np.uint64(at + LENGTH_BITS + PLACE_BITS))).view(np.int64)
+    out = held.view(np.int64) | ((length & ((1 << LENGTH_BITS) - 1)) << at) | (np.asarray(place, dtype=np.int64) & ((1 << PLACE_BITS) - 1)) << (at + LENGTH_BITS)
+    out |= np.asarray(own, dtype=np.int64) << (at + LENGTH_BITS + PLACE_BITS)
+    return out | np.int64(-1 << 63) if begun else out
 
 
 def mark_length(mark: np.ndarray) -> np.ndarray:
@@ -254,7 +304,8 @@ def may_link(a: np.ndarray, b: np.ndarray, threshold: int | None, long: bool) ->
     length may be beyond its field.
 
     Edits before the place shift it, those after it make up the rest of the difference in length; an edit changes one
-    count, or two if it leaves the length. Differences are taken modulo the fields' ranges, so they are never too large.
+    count, or two if it leaves the length; in the beginnings, which are of one length, it changes two at most. Differences
+    are taken modulo the fields' ranges, so they are never too large.
     """
 
     def gap(shift: int, bits: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -265,7 +316,8 @@ def may_link(a: np.ndarray, b: np.ndarray, threshold: int | None, long: bool) ->
     edits = np.full(len(a), most(threshold)) if long else allowed(np.minimum(mark_length(a), mark_length(b)), threshold)
     out = np.abs(moved) + np.abs(longer - moved) <= edits
     some = np.flatnonzero(out)
-    a, b, spare = a[some], b[some], 2 * edits[some] - np.abs(longer[some])
+    a, b = a[some], b[some]
+    spare = 2 * edits[some] - np.where(a & b < 0, 0, np.abs(longer[some]))  # below zero: both begun
     for k in range(GROUPS):
         spare = spare - np.abs(gap(4 * k, 4, a, b))
     out[some] = spare >= 0
@@ -368,52 +420,90 @@ def split_lines(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray
     return lists.flatten(), row, np.arange(len(row)) - np.repeat(at[:-1] - at[0], counts)
 
 
+def digests(lines: list[str]) -> list[bytes]:
+    """128 bits of each line."""
+    return [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in lines]
+
+
 def hashes(lines: list[str]) -> np.ndarray:
     """128 bits of each line, as two 64-bit integers."""
-    return np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=16).digest() for x in lines), dtype=np.int64).reshape(-1, 2)
+    return np.frombuffer(b"".join(digests(lines)), dtype=np.int64).reshape(-1, 2)
 
 
-def occurrences(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
-    """``id, line, h1, h2`` of every line that is long enough; ``short``: and of every shorter one that isn't blank."""
+def occurrences(docs: DataFrame, min_chars: int, short: bool = False, texts: int = 0) -> DataFrame:
+    """``id, line, h1, h2, lead, text`` of every line that is long enough; ``short``: and of every shorter one that isn't
+    blank. ``lead``: whether it is the earliest of the equal lines that a task has at hand. Lines of fewer than ``texts`` characters have their text where a task meets them first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for whole in batches:
             for batch in bpe.blocks(whole, "text"):
                 lines, row, number = split_lines(batch)
-                long = np.asarray(pc.greater_equal(pc.utf8_length(lines), min_chars))
+                long = np.array(pc.greater_equal(pc.utf8_length(lines), min_chars))
                 if short:
-                    long = long | np.asarray(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(lines)), 0))
+                    under = np.flatnonzero(~long)
+                    long[under] = np.asarray(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(lines.take(pa.array(under)))), 0))
                 coded = lines.filter(pa.array(long)).dictionary_encode()
-                h = hashes(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+                distinct = coded.dictionary.to_pylist()
+                named, at = digests(distinct), np.asarray(coded.indices)
+                h = np.frombuffer(b"".join(named), dtype=np.int64).reshape(-1, 2)[at]
+                text = np.full(len(at), None, dtype=object)
+                if texts:
+                    kept = [x if min_chars <= len(x) < texts and d not in seen else None for x, d in zip(distinct, named, strict=True)]
+                    seen.update(d for d, x in zip(named, kept, strict=True) if x is not None)
+                    first = np.unique(at, return_index=True)[1]  # codes are numbered from 0
+                    text[first] = kept
+                    if len(seen) > SEEN:
+                        seen.clear()
                 ids = batch.column("id").take(pa.array(row[long]))
-                yield pa.record_batch([ids, pa.array(number[long]), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["id", "line", "h1", "h2"])
+                order = np.lexsort((number[long], np.asarray(ids), at))
+                lead = np.zeros(len(at), dtype=bool)
+                lead[order[np.diff(at[order], prepend=-1) != 0]] = True
+                yield pa.record_batch([ids, pa.array(number[long]), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(lead), pa.array(text, pa.string())], names=["id", "line", "h1", "h2", "lead", "text"])
 
-    return docs.mapInArrow(run, f"id long, line long, {LINE}")
+    return docs.mapInArrow(run, f"id long, line long, {LINE}, lead boolean, text string")
 
 
 def keyed(docs: DataFrame, threshold: int | None, min_chars: int, low: int = 0, high: int = 1 << 40) -> DataFrame:
-    """``part, rows``: the keys of every line in a round from ``low`` to ``high``, with h1 and a mark, each line once a
-    batch. Spark gets them as arrays (keys, then h1, then marks), one for each part of the keys that a task met."""
+    """``part, rows``: the keys of every line in a round from ``low`` to ``high``, with h1 and a mark, each line about once
+    a task. Spark gets them as arrays (of key, h1 and mark), one for each part of the keys that a task met."""
     least, beyond, parts = max(low, min_chars), high + most(threshold), tasks(docs)
+    own_at = 4 * GROUPS + LENGTH_BITS + PLACE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        count = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        count, seen = 0, set()
         for whole in batches:
             for batch in bpe.blocks(whole, "text", KEY_BYTES):
                 lines, _, _ = split_lines(batch)
                 size = pc.utf8_length(lines)
                 distinct = pc.unique(lines.filter(pc.and_(pc.greater_equal(size, least), pc.less(size, beyond)))).to_pylist()
-                if not distinct:
+                named = digests(distinct)
+                fresh = [k for k, d in enumerate(named) if d not in seen]
+                if not fresh:
                     continue
-                h1 = hashes(distinct)[:, 0]
-                length = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
-                codes = np.frombuffer("".join(distinct).encode("utf-32-le"), dtype=np.uint32)
-                start = np.cumsum(length) - length
-                chars = counts(codes, start, length)
-                found = keys_by_length(codes, start, length, low, high) if threshold is None else line_keys(codes, start, length, threshold)
-                for at, key, place, own in found:
-                    held.append(np.stack((key, h1[at], marks(chars[at], length[at], place, own))))
+                seen.update(named)
+                if len(seen) > SEEN:
+                    seen.clear()
+                length = np.array([len(distinct[k]) for k in fresh], dtype=np.int64)
+                order = np.argsort(length, kind="stable")  # lines of a class side by side
+                length, fresh = length[order], [fresh[k] for k in order]
+                h1 = np.frombuffer(b"".join([named[k] for k in fresh]), dtype=np.int64)[::2]
+                held_of = BEGINNING + MOST_EDITS if threshold is None else int(length[-1])  # longer lines make keys of no more
+                codes = np.frombuffer("".join([distinct[k][:held_of] for k in fresh]).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+                start = np.cumsum(np.minimum(length, held_of)) - np.minimum(length, held_of)
+                if threshold is None:
+                    found = keys_by_class(codes, start, length, low, high)
+                else:
+                    found = ((0, x) for x in line_keys(codes, start, length, threshold))
+                x, y = np.searchsorted(length, (BEGINNING, held_of + 1))  # those before y make keys whole, those from x by their beginnings
+                plain, begun = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
+                plain[:y] = marks(counts(codes, start[:y], length[:y]), length[:y], 0, False)
+                begun[x:] = marks(counts(codes, start[x:], np.full(len(length) - x, BEGINNING)), length[x:], 0, False, True) if threshold is None else 0
+                for a, (at, key, place, own) in found:
+                    mark = (begun if a >= BEGINNING else plain)[at]
+                    mark |= (place & ((1 << PLACE_BITS) - 1)) << (4 * GROUPS + LENGTH_BITS) | np.asarray(own, dtype=np.int64) << own_at
+                    held.append((key, h1[at], mark))
                     count += len(key)
                     if count >= HELD:
                         yield dealt(held, parts)
@@ -424,15 +514,19 @@ def keyed(docs: DataFrame, threshold: int | None, min_chars: int, low: int = 0,
     return docs.mapInArrow(run, "part int, rows binary")
 
 
-def dealt(held: list[np.ndarray], parts: int) -> pa.RecordBatch:
+def dealt(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
     """Rows of keys (columns of the arrays) as one array for each part."""
-    rows = np.concatenate(held, axis=1)
-    part = ((rows[0].view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+    key = np.concatenate([x[0] for x in held])
+    part = (((key.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
     order = np.argsort(part, kind="stable")
-    rows, part = rows[:, order], part[order]
+    part, rows = part[order], np.empty((len(key), 3), dtype=np.int64)
+    rows[:, 0] = key
+    for c in (1, 2):
+        np.concatenate([x[c] for x in held], out=rows[:, c])
+    rows = rows.take(order, axis=0)
     cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     ends = np.append(cut[1:], len(part))
-    return pa.record_batch([pa.array(part[cut].astype(np.int32)), pa.array([rows[:, x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())], names=["part", "rows"])
+    return pa.record_batch([pa.array(part[cut].astype(np.int32)), pa.array([rows[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())], names=["part", "rows"])
 
 
 def met(keys: DataFrame, threshold: int | None, long: bool) -> DataFrame:
@@ -440,49 +534,68 @@ def met(keys: DataFrame, threshold: int | None, long: bool) -> DataFrame:
     alone, b null. Lines that share an h1 are verified all, so half of the hash is enough here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, dtype=np.int64).reshape(3, -1) for batch in batches for x in batch.column("rows").to_pylist()]
+        held = [np.frombuffer(x, dtype=np.int64).reshape(-1, 3) for batch in batches for x in batch.column("rows").to_pylist()]
         if not held:
             return
-        rows = np.concatenate(held, axis=1)
+        rows = np.concatenate(held)
         held = []
-        rows = rows[:, np.argsort(rows[0])]
-        again = rows[0, 1:] == rows[0, :-1]
-        rows = rows[:, np.append(again, False) | np.insert(again, 0, False)]
-        if not rows.shape[1]:
+        # keys but for their last bits, which give way to the row's number; keys that agree so far are one group
+        bits = np.uint64(max(1, (len(rows) - 1).bit_length()))
+        order = np.sort(((rows[:, 0].view(np.uint64) >> bits) << bits) | np.arange(len(rows), dtype=np.uint64))
+        group = order >> bits
+        again = group[1:] == group[:-1]
+        some = np.append(again, False) | np.insert(again, 0, False)
+        if not some.any():
             return
-        first = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+        group = group[some]
+        rows = rows.take((order[some] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), axis=0)
+        del order, again, some
+        group = np.cumsum(np.append(False, group[1:] != group[:-1]))
+        first = np.flatnonzero(np.diff(group, prepend=-1))
         begins = first[np.flatnonzero(np.diff(first // MEETING, prepend=-1))]  # no key spans two slices
-        for x, y in zip(begins, np.append(begins[1:], rows.shape[1]), strict=True):
-            yield of(*rows[:, x:y])
+        for x, y in zip(begins, np.append(begins[1:], len(rows)), strict=True):
+            yield of(group[x:y] - group[x], *rows[x:y].T)
 
-    def of(key: np.ndarray, h1: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((mark, h1, mark_length(mark), key))
-        key, h1, mark = key[order], h1[order], mark[order]
+    def of(group: np.ndarray, key: np.ndarray, h1: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(((group << LENGTH_BITS | mark_length(mark)) << 24) | ((h1 ^ mark >> 32) & ((1 << 24) - 1)))
+        group, key, h1, mark = group[order], key[order], h1[order], mark[order]
         new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (h1[1:] != h1[:-1]) | (mark[1:] != mark[:-1])
-        key, h1, mark = key[new], h1[new], mark[new]
-        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        new[1:] = (h1[1:] != h1[:-1]) | (mark[1:] != mark[:-1]) | (key[1:] != key[:-1])
+        group, key, h1, mark = group[new], key[new], h1[new], mark[new]
+        cut = np.flatnonzero(np.diff(group, prepend=-1))
         size = np.diff(np.append(cut, len(key)))
-        group = np.repeat(np.arange(len(size)), size)
         length, own = mark_length(mark), mark_own(mark)
         place = (group << (LENGTH_BITS + 4)) + length
         near = np.searchsorted(place, place + most(threshold), "right") - np.arange(len(key)) - 1
         round_ = length >= (1 << LENGTH_BITS) - most(threshold)  # the lengths that follow begin at 0 again
         large = (np.add.reduceat(near, cut) > TRIED * size) | (np.bincount(group[round_], minlength=len(size)) > 0)
         near[large[group]] = 0
-        a = np.repeat(np.arange(len(key)), near)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(near) - near, near)
-        good = (own[a] | own[b]) & (h1[a] != h1[b])
-        a, b = a[good], b[good]
-        good = may_link(mark[a], mark[b], threshold, long)
-        a, b = a[good], b[good]
-        large |= np.bincount(group[a], minlength=len(size)) > SMALL // 2 * size
-        listed = ~large[group[a]]
-        a, b = a[listed], b[listed]
+        listed, found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))], np.zeros(len(size), dtype=np.int64)
+        with_ = np.flatnonzero(near)
+        for rows in np.split(with_, np.flatnonzero(np.diff(np.cumsum(near[with_]) // PAIRS)) + 1):
+            rows = rows[~large[group[rows]]]
+            if not len(rows):
+                continue
+            a = np.repeat(rows, near[rows])
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(near[rows]) - near[rows], near[rows])
+            good = (own[a] | own[b]) & (h1[a] != h1[b])
+            a, b = a[good], b[good]
+            good = may_link(mark[a], mark[b], threshold, long)
+            a, b = a[good], b[good]
+            listed.append((a, b))
+            found += np.bincount(group[a], minlength=len(size))
+            large |= found > SMALL // 2 * size
+        a, b = (np.concatenate(x) for x in zip(*listed, strict=True))
+        small = ~large[group[a]]
+        a, b = a[small], b[small]
         alone = np.flatnonzero((large & (np.bincount(group[own], minlength=len(size)) > 0))[group])
         alone = alone[np.unique(np.stack((key[alone], h1[alone])), axis=1, return_index=True)[1]]
-        rest = pa.array(np.append(np.maximum(h1[a], h1[b]), h1[alone]), mask=np.arange(len(a) + len(alone)) >= len(a))
-        return pa.record_batch([pa.array(np.append(key[a], key[alone])), pa.array(np.append(np.minimum(h1[a], h1[b]), h1[alone])), rest], names=["key", "a", "b"])
+        least, greatest = np.minimum(h1[a], h1[b]), np.maximum(h1[a], h1[b])
+        once = np.lexsort((greatest, least))
+        once = once[np.append(True, (np.diff(least[once]) != 0) | (np.diff(greatest[once]) != 0))[: len(once)]]  # many meet under several keys
+        a, least, greatest = a[once], least[once], greatest[once]
+        rest = pa.array(np.append(greatest, h1[alone]), mask=np.arange(len(a) + len(alone)) >= len(a))
+        return pa.record_batch([pa.array(np.append(key[a], key[alone])), pa.array(np.append(least, h1[alone])), rest], names=["key", "a", "b"])
 
     return keys.repartitionById(tasks(keys), "part").mapInArrow(run, "key long, a long, b long")
 
@@ -593,31 +706,34 @@ def later_in(members: DataFrame, threshold: int | None) -> DataFrame:
 
 def removals(docs: DataFrame, threshold: int | None, min_chars: int, short: bool = False) -> DataFrame:
     """``id, gone``: for each document that loses lines, their numbers and hashes."""
-    places = stored(occurrences(docs, min_chars, short))
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("x")).select("h1", "h2", "x.*")
-    pairs = reduce(DataFrame.union, [stored(met(keyed(docs, threshold, min_chars, a, b), threshold, b > SPAN)) for a, b in rounds(threshold)])
+    held = ROUNDS[-1] + MOST_EDITS if threshold is None else 0
+    places = stored(occurrences(docs, min_chars, short, held))
+    brief = places.where("text IS NOT NULL").select("text")
+    first = stored(places.where("lead").select("id", "line", "h1", "h2").repartition("h1", "h2").groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("x")).select("h1", "h2", "x.*"))
+    pairs = reduce(DataFrame.union, [stored(met(keyed(brief if b + most(threshold) <= held else docs, threshold, min_chars, a, b), threshold, b > SPAN)) for a, b in rounds(threshold)])
     alone = pairs.where("b IS NULL").select("key", F.col("a").alias("h1"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).where("h1 IS NOT NULL").distinct()
     lines = stored(fetched(docs, wanted, first))
     # under common keys all lines are compared with the first, which many keys share; then those left open with all others
-    members = stored(alone.join(lines.select("h1", "h2", "id", "line"), "h1").select("key", "h1", "h2", "id", "line"))
-    sizes = stored(members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "line", "h1")).alias("head")))  # stored tables join in parts where a key is hot
-    members = members.join(sizes, "key").withColumn("later", (F.col("id") != F.col("head.id")) | (F.col("line") != F.col("head.line")))
+    members = alone.join(lines.select("h1", "h2", "id", "line"), "h1").select("key", "h1", "h2", "id", "line")
+    of_key = Window.partitionBy("key")
+    members = members.select("key", "h1", "h2", "id", "line", F.count("*").over(of_key).alias("size"), F.min(F.struct("id", "line", "h1")).over(of_key).alias("head"))
+    members = stored(members.withColumn("later", (F.col("id") != F.col("head.id")) | (F.col("line") != F.col("head.line"))))
     headed = members.where("later AND h1 <> head.h1").select(F.least("h1", "head.h1").alias("of_a"), F.greatest("h1", "head.h1").alias("of_b"))
     listed = pairs.where("b IS NOT NULL").select(F.col("a").alias("of_a"), F.col("b").alias("of_b")).union(headed).distinct()
     whole = F.struct("h1", "h2", "id", "line", "text")
     a, b = (lines.select(F.col("h1").alias(f"of_{x}"), whole.alias(x)) for x in "ab")
     by_pair = stored(later_of(listed.join(a, "of_a").join(b, "of_b").select("a", "b"), threshold).distinct().withColumn("late", F.lit(True)))
-    members = stored(members.join(by_pair, ["h1", "h2"], "left").select("key", "size", (F.col("later") & F.col("late").isNull()).alias("open"), "h1", "h2"))
-    unsettled = stored(members.where("open").select("key").distinct())
-    by_line = members.join(unsettled, "key").groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "size", "open")).alias("of"))
+    members = members.join(by_pair, ["h1", "h2"], "left").select("key", "size", (F.col("later") & F.col("late").isNull()).alias("open"), "h1", "h2")
+    unsettled = members.withColumn("unsettled", F.max("open").over(of_key)).where("unsettled")
+    by_line = unsettled.groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "size", "open")).alias("of"))
     shared = by_line.join(lines, ["h1", "h2"]).select(F.explode("of").alias("x"), F.col("of.key").alias("keys"), "h1", "h2", "id", "line", "text")
     by_key = later_in(shared.select("x.*", "keys", "h1", "h2", "id", "line", "text"), threshold)
     late = by_pair.union(by_key.withColumn("late", F.lit(True))).distinct()
     judged = first.select("h1", "h2", F.col("id").alias("first_id"), F.col("line").alias("first_line")).join(late, ["h1", "h2"], "left")
     judged = stored(judged)
     repeated = (F.col("id") != F.col("first_id")) | (F.col("line") != F.col("first_line")) | F.coalesce("late", F.lit(False))
-    return places.join(judged, ["h1", "h2"]).where(repeated).groupBy("id").agg(F.collect_list(F.struct("line", "h1")).alias("gone"))
+    return places.select("id", "line", "h1", "h2").join(judged, ["h1", "h2"]).where(repeated).groupBy("id").agg(F.collect_list(F.struct("line", "h1")).alias("gone"))
 
 
 def deduplicate(docs: DataFrame, threshold: int | None = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False, added: tuple[str, str] = ("_n_lines", "_n_removed")) -> DataFrame:

@@ -407,3 +407,32 @@ def test_keys_by_length_are_few_and_miss_no_pair():
     near = {(i, i + len(pool)) for i, (x, y) in enumerate(zip(pool, others, strict=True)) if edit_distance(x, y) <= max(2, min(8, min(len(x), len(y)) // 10))}
     assert near <= met and len(near) > 150
     assert made.max() <= 122
+
+
+def test_lines_that_meet_by_chance_are_told_apart_under_common_keys(spark):
+    rng = random.Random(5)
+    lines = ["the same beginning " + "".join(rng.choice(some) for _ in range(41)) for some in (rng.sample("abcdefghijklmnopqrstuvwxyz", 5) for _ in range(200))]
+    docs = documents(spark, list(enumerate(lines))).selectExpr("doc_id AS id", "text")
+    met = linededup.met(linededup.keyed(docs.coalesce(1), None, 20, 0, linededup.SPAN), None, False)
+    assert met.where("b IS NULL").count() == 0  # more than 64 lines of like length share a key, but few have like characters
+
+
+def test_beginnings_of_long_lines_within_the_edits_may_link():
+    rng = random.Random(7)
+    alphabet = "abcdefgh ijklmnop"
+    lines = ["".join(rng.choice(alphabet) for _ in range(rng.choice([425, 431, 440, 900, 33_000]))) for _ in range(60)]
+    others = []
+    for x in lines:
+        y = list(x)
+        for _ in range(8):
+            k = rng.randrange(30, min(len(y), 500))
+            y[k : k + rng.randint(0, 1)] = rng.choice(["", *alphabet])
+        others.append("".join(y))
+    marked = []
+    for some in (lines, others):
+        length = np.array([len(x) for x in some])
+        codes, start = np.array([ord(c) for x in some for c in x]), np.cumsum(length) - length
+        marked.append(linededup.marks(linededup.counts(codes, start, np.full(60, linededup.BEGINNING)), length, np.zeros(60, dtype=int), True, True))
+    good = np.array([len(y) >= linededup.BEGINNING and abs(len(x) - len(y)) <= 8 for x, y in zip(lines, others, strict=True)])
+    assert good.sum() > 40 and linededup.may_link(*marked, None, True)[good].all()
+    assert linededup.may_link(marked[0], np.roll(marked[1], 1), None, True).sum() < 5

@@ -436,3 +436,31 @@ def test_beginnings_of_long_lines_within_the_edits_may_link():
     good = np.array([len(y) >= linededup.BEGINNING and abs(len(x) - len(y)) <= 8 for x, y in zip(lines, others, strict=True)])
     assert good.sum() > 40 and linededup.may_link(*marked, None, True)[good].all()
     assert linededup.may_link(marked[0], np.roll(marked[1], 1), None, True).sum() < 5
+
+
+def test_lines_go_to_spark_as_arrays(spark):
+    given = [(i, "\n".join(f"line number {(i * k) % 211:04d} of all that are here" for k in range(1, 6))) for i in range(300)]
+    given += [(7, given[7][1]), (3, "line number 0000 of all that are here\n" + given[3][1])]  # rows that share an id
+    docs = documents(spark, given).selectExpr("doc_id AS id", "text")
+    places = linededup.occurrences(docs.coalesce(2), 20, True, 226).persist()
+    first = linededup.firsts(places).persist()
+    assert places.count() < 40 and first.count() < 40  # 1,511 lines
+    want = {}
+    for i, k, x in sorted({(i, k, x) for i, t in given for k, x in enumerate(t.split("\n"))}):
+        want.setdefault(x, []).append((i, k))
+    found = linededup.unpacked(first.where("rows IS NOT NULL").select("rows"), "h1", "h2", "id", "line").collect()
+    gone = linededup.unpacked(places.select("gone").union(first.select("gone")).where("gone IS NOT NULL"), "id", "line", "h1").collect()
+    assert sorted((r.id, r.line) for r in found) == sorted(at[0] for at in want.values())
+    assert {(r.id, r.line, r.h1) for r in gone} == {(*p, int(linededup.hashes([x])[0, 0])) for x, at in want.items() for p in at[1:]}
+    texts = b"\n".join(r.text for r in places.where("text IS NOT NULL").select("text").collect()).decode().split("\n")
+    assert set(texts) == set(want)
+
+
+def test_lines_are_trimmed_before_they_are_compared():
+    rng, code = random.Random(4), lambda s: np.array([ord(c) for c in s], dtype=np.int32)
+    for _ in range(2000):
+        x = "".join(rng.choice("ab") for _ in range(rng.randint(0, 20)))
+        y = x[: (k := rng.randint(0, len(x)))] + rng.choice(["", "a", "ba", "x"]) + x[k + rng.randint(0, 2) :]
+        x, y = sorted((x, y), key=len, reverse=True)
+        a, b, near = linededup.trimmed(code(x), code(y), 2)
+        assert edit_distance(x, y) == edit_distance("".join(map(chr, a)), "".join(map(chr, b))) and near <= (edit_distance(x, y) <= 2)

@@ -10,7 +10,7 @@ of characters that the edits leave alone has a guaranteed length, and equal runs
 at nearly the same place, so nothing is missed. Keys are made in rounds by the shorter line's length, to bound the disk.
 Keys of shorter lines are made from lines that were stored once a task, the longest lines' from the documents. Rows of
 keys carry the line's length, the place and counts of its characters: most lines that meet by chance are told apart by
-these, before any text is fetched.
+these, before any text is fetched. Places of lines, keys and pairs go through Spark as arrays, each for a part of the hashes.
 
 A line occurrence is removed if an equal or linked line occurs earlier (by document id, then place); lines of fewer than
 ``min_chars`` characters allow no edits, and unless ``short`` is set aren't compared at all. Equal lines are combined before anything else. Keys with many
